@@ -49,7 +49,7 @@ def bars_sql(name: str, tf: int) -> dict[str, str]:
                 buy_volume / (sell_volume + {EPS}) AS buy_sell_ratio, CASE WHEN volume > 0 THEN notional_volume / (volume + {EPS}) ELSE close END AS vwap, (high - low) / greatest(close, {EPS}) AS price_range
             FROM {name}""",
         f"{name}_returns": "SELECT *, "
-        + ", ".join(f"coalesce(ln(greatest(close, {EPS})) - ln(greatest(lag(close, {k}) OVER w, {EPS})), 0.0e0) AS ret_{k}s" for k in (1, 3, 5, 10))
+        + ", ".join(f"CASE WHEN lag(close, {k}) OVER w IS NULL THEN 0.0e0 ELSE ln(greatest(close, {EPS})) - ln(greatest(lag(close, {k}) OVER w, {EPS})) END AS ret_{k}s" for k in (1, 3, 5, 10))
         + f" FROM {name}_ratios WINDOW w AS (PARTITION BY symbol ORDER BY timestamp_s)",
     }
 
@@ -114,8 +114,8 @@ CTES: dict[str, str] = {
     **touch("f", "five_rows", str(STEPS), e(TP / 100.0), e(SL / 100.0), e(COST)),
     "grid": "SELECT * FROM (VALUES " + ", ".join(f"({h}, {e(t)}, {e(s)})" for h, t, s in SWEEP) + ") g(steps, tp_pct, sl_pct)",
     "hour_grid": "SELECT * FROM hour_rows, grid",
-    **{k: v.replace("(SELECT symbol, i, timestamp_s, high, low, close FROM hour_grid)", "hour_rows") for k, v in touch("g", "hour_grid", "a.steps", "(a.tp_pct / 100.0e0)", "(a.sl_pct / 100.0e0)", "0.0005e0", "steps, tp_pct, sl_pct").items()},
-    "label_rows": "SELECT o.*, h.* EXCLUDE (symbol, i, close, timestamp_s) FROM hour_rows o JOIN h_labelled h USING (symbol, i)",
+    **{k: v.replace("(SELECT symbol, i, timestamp_s, high, low, close FROM hour_grid)", "hour_rows") for k, v in touch("g", "hour_grid", "steps", "(tp_pct / 100.0e0)", "(sl_pct / 100.0e0)", "0.0005e0", "steps, tp_pct, sl_pct").items()},
+    "label_rows": "SELECT o.*, h.* EXCLUDE (symbol, i, close, timestamp_s, side) FROM hour_rows o JOIN h_labelled h USING (symbol, i)",
     "logits": "SELECT *, timestamp_s * 1000 AS timestamp_ms, " + ", ".join(" + ".join([*[f"{c} * ({e(k)})" for c, k in co.items()], f"({e(b)})"]) + f" AS z{i}" for i, (co, b) in enumerate(zip(COEFFICIENTS, INTERCEPTS, strict=True))) + " FROM label_rows",
     "scores": "SELECT *, " + ", ".join(f"exp(z{i} - greatest(z0, z1, z2)) / (exp(z0 - greatest(z0, z1, z2)) + exp(z1 - greatest(z0, z1, z2)) + exp(z2 - greatest(z0, z1, z2))) AS {p}" for i, p in enumerate(("p_no_trade", "p_long", "p_short"))) + ", CASE WHEN z0 >= z1 AND z0 >= z2 THEN 0 WHEN z1 >= z2 THEN 1 ELSE 2 END AS argmax FROM logits",
     "decided": f"""SELECT *, CASE pred WHEN 1 THEN 'LONG_SETUP' WHEN 2 THEN 'SHORT_SETUP' ELSE 'NO_TRADE' END AS pred_name FROM (SELECT *, CASE WHEN p_long >= {e(THRESHOLDS[0])} AND p_long > p_short AND p_long >= p_no_trade + {e(THRESHOLDS[2])} THEN 1
@@ -127,7 +127,7 @@ CTES: dict[str, str] = {
             greatest(ceil(time_to_exit_s), 1)::BIGINT AS hold_s FROM decided WHERE pred <> 0) WHERE return_pct IS NOT NULL AND time_to_exit_s IS NOT NULL""",
     "walk": """SELECT symbol, min(timestamp_ms) AS t FROM candidates GROUP BY symbol UNION ALL
             SELECT w.symbol, (SELECT min(n.timestamp_ms) FROM candidates n WHERE n.symbol = w.symbol AND n.timestamp_ms >= w.t + c.hold_s * 1000) FROM walk w JOIN candidates c ON c.symbol = w.symbol AND c.timestamp_ms = w.t WHERE w.t IS NOT NULL""",
-    "taken": "SELECT c.*, product(1.0e0 + return_pct / 100.0e0) OVER (PARTITION BY symbol ORDER BY timestamp_ms) AS equity_after FROM candidates c JOIN walk w ON w.symbol = c.symbol AND w.t = c.timestamp_ms",
+    "taken": "SELECT c.*, product(1.0e0 + return_pct / 100.0e0) OVER (PARTITION BY c.symbol ORDER BY c.timestamp_ms) AS equity_after FROM candidates c JOIN walk w ON w.symbol = c.symbol AND w.t = c.timestamp_ms",
     "settings": "SELECT * FROM (VALUES " + ", ".join(f"({e(a)}, {e(b)}, {e(m)})" for a, b, m in GRID) + ") g(long_at, short_at, margin)",
     "decided_all": """SELECT *, CASE WHEN p_long >= long_at AND p_long > p_short AND p_long >= p_no_trade + margin THEN 1 WHEN p_short >= short_at AND p_short > p_long AND p_short >= p_no_trade + margin THEN 2 ELSE 0 END AS pred FROM scores, settings""",
     "candidates_all": """SELECT * FROM (SELECT *, CASE pred WHEN 1 THEN 'LONG' ELSE 'SHORT' END AS side, CASE pred WHEN 1 THEN long_net_return_pct ELSE short_net_return_pct END AS return_pct, greatest(ceil(time_to_exit_s), 1)::BIGINT AS hold_s
@@ -135,7 +135,7 @@ CTES: dict[str, str] = {
     "walk_all": """SELECT symbol, long_at, margin, min(timestamp_ms) AS t FROM candidates_all GROUP BY symbol, long_at, margin UNION ALL
             SELECT w.symbol, w.long_at, w.margin, (SELECT min(n.timestamp_ms) FROM candidates_all n WHERE n.symbol = w.symbol AND n.long_at = w.long_at AND n.margin = w.margin AND n.timestamp_ms >= w.t + c.hold_s * 1000)
             FROM walk_all w JOIN candidates_all c ON c.symbol = w.symbol AND c.long_at = w.long_at AND c.margin = w.margin AND c.timestamp_ms = w.t WHERE w.t IS NOT NULL""",
-    "taken_all": "SELECT c.*, product(1.0e0 + return_pct / 100.0e0) OVER (PARTITION BY symbol, long_at, margin ORDER BY timestamp_ms) AS equity_after FROM candidates_all c JOIN walk_all w ON w.symbol = c.symbol AND w.long_at = c.long_at AND w.margin = c.margin AND w.t = c.timestamp_ms",
+    "taken_all": "SELECT c.*, product(1.0e0 + return_pct / 100.0e0) OVER (PARTITION BY c.symbol, c.long_at, c.margin ORDER BY c.timestamp_ms) AS equity_after FROM candidates_all c JOIN walk_all w ON w.symbol = c.symbol AND w.long_at = c.long_at AND w.margin = c.margin AND w.t = c.timestamp_ms",
     "dirty": """SELECT event_type AS symbol, CASE WHEN event_id % 53 <> 0 THEN epoch_us(ts) // 600000000 * 600000 END AS timestamp_ms, CASE WHEN event_id % 41 <> 0 THEN event_id % 3 END::INT AS label, CASE WHEN event_id % 37 <> 0 THEN value END AS close,
             user_id::DOUBLE AS f1, CASE WHEN event_id % 31 = 0 THEN 'nan'::DOUBLE WHEN event_id % 29 = 0 THEN 'inf'::DOUBLE ELSE value END AS f2, event_id AS ingest_seq FROM events""",
     "once": "SELECT * FROM dirty WHERE timestamp_ms IS NOT NULL AND label IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, timestamp_ms ORDER BY ingest_seq DESC) = 1",
@@ -213,7 +213,7 @@ FINAL: dict[str, str] = {
     "standardized": "SELECT symbol, timestamp_ms, label, split, " + ", ".join(f"round((((x{i}::DOUBLE - m{i}::FLOAT::DOUBLE) / s{i}::FLOAT::DOUBLE)::FLOAT)::DOUBLE, 3) + 0.0e0 AS x{i}" for i in range(12)) + " FROM parts, moments",
     "class_weights": f"SELECT label, round(weight, 6) AS weight FROM ({weights('parts', TRAIN)})",
     "softmax_scores": f"SELECT symbol, timestamp_ms, argmax, {r('p_no_trade p_long p_short')} FROM scores",
-    "log_loss": f"SELECT symbol, round(sum(weight * -ln(CASE label WHEN 0 THEN p_no_trade WHEN 1 THEN p_long ELSE p_short END)) / sum(weight), 6) AS loss FROM scores JOIN ({weights('scores')}) USING (label) GROUP BY symbol",
+    "log_loss": f"SELECT symbol, round(sum(weight * -ln(greatest(CASE label WHEN 0 THEN p_no_trade WHEN 1 THEN p_long ELSE p_short END, 1e-300))) / sum(weight), 6) AS loss FROM scores JOIN ({weights('scores')}) USING (label) GROUP BY symbol",
     "decisions": "SELECT symbol, timestamp_ms, label, pred, pred_name FROM decided",
     "confusion": "SELECT symbol, label, pred, n FROM cells",
     "classification_report": """SELECT symbol, CASE x WHEN 0 THEN 'NO_TRADE' WHEN 1 THEN 'LONG_SETUP' ELSE 'SHORT_SETUP' END AS class, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1, s::BIGINT AS support FROM rates

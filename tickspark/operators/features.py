@@ -29,7 +29,8 @@ def _last(n: int):
 def log_returns(bars: DataFrame, lags: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
     """bars with ret_{k}s, the log return over k bars; 0 without such a bar."""
     log = lambda c: F.ln(F.greatest(c, F.lit(EPS)))
-    return bars.withColumns({f"ret_{k}s": F.coalesce(log(F.col("close")) - log(F.lag("close", k).over(_w())), F.lit(0.0)) for k in lags})
+    before = lambda k: F.lag("close", k).over(_w())  # noqa: E731  greatest() passes over nulls, so they are asked for
+    return bars.withColumns({f"ret_{k}s": F.when(before(k).isNull(), 0.0).otherwise(log(F.col("close")) - log(before(k))) for k in lags})
 
 
 def rolling_sums(bars: DataFrame, n: int = 5) -> DataFrame:
