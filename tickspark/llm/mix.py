@@ -79,9 +79,8 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3,
 
 def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed: str = "mix") -> DataFrame:
     """The mixed documents with the columns of docs: each row as often as mix_plan() has it."""
-    keep = [c for c in docs.columns if c not in ("doc_id", "source")]
-    clash = {c: f"own_{i}" for i, c in enumerate(keep) if c in ("size", "source_size", "target", "copies", "text")}
-    inner = docs.withColumns({new: F.col(old) for old, new in clash.items()}).drop(*[c for c in clash if c != "text"])
-    plan = mix_plan(inner, weights, most, seed, keep=[clash.get(c, c) for c in keep])
+    own = {f"own_{i}": c for i, c in enumerate(docs.columns)}
+    inner = docs.select("doc_id", "source", "text", *[F.col(f"`{c}`").alias(new) for new, c in own.items()])
+    plan = mix_plan(inner, weights, most, seed, keep=list(own))
     out = plan.where("copies > 0").withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
-    return out.select(*[F.col(clash.get(c, c)).alias(c) for c in docs.columns])
+    return out.select(*[F.col(new).alias(c) for new, c in own.items()])

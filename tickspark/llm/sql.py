@@ -1,5 +1,74 @@
-"""DuckDB SQL of the queries that SQL can express, written from their contracts and methods."""
+"""DuckDB SQL of the queries that SQL can express, written from their contracts and methods.
+
+Language ID, chat windows, packing, personal data, pictures and the ring have no SQL (trained models, greedy
+walks, tokenizers and checksums that DuckDB lacks); brute force checks those in tests/llm.
+"""
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+MIXING = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS source_rows, (ARRAY[5, 2, 1])[1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3] AS weight FROM d GROUP BY source),
+o AS (SELECT *, 3 * source_size AS lim, sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER w, 0) AS lft, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS weigh
+    FROM s WINDOW w AS (ORDER BY 3 * source_size / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, lim * weigh <= lft * weight AS filled FROM o),
+t AS (SELECT *, CASE WHEN filled THEN lim::DOUBLE ELSE weight * (SELECT arg_min(lft / weigh, lim / weight) FROM f WHERE NOT filled) END AS target FROM f),
+r AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CASE WHEN source_size > 0 THEN target / source_size ELSE 1.0e0 END AS rate, ceil(source_rows / 64.0e0) AS strata,
+    ('0x' || substr(md5(d.doc_id || '|mix'), 1, 13))::BIGINT / 4503599627370496.0e0 AS unit FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT *, floor(unit * strata)::BIGINT AS stratum FROM r),
+n AS (SELECT *, row_number() OVER (PARTITION BY source, stratum ORDER BY size, unit, doc_id)::DOUBLE AS rnk, ('0x' || substr(md5(coalesce(source, '~') || '|' || stratum || '|mix'), 1, 13))::BIGINT / 4503599627370496.0e0 AS begins, rate - floor(rate) AS part FROM k)
+SELECT doc_id, size, source_size, target, size * (floor(rate) + floor(begins + rnk * part) - floor(begins + (rnk - 1) * part))::BIGINT AS taken FROM n
+"""
+
+NEARDUP = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (SELECT DISTINCT doc_id, CASE WHEN len(words) < 3 THEN array_to_string(words, ' ') ELSE words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] END AS gram
+    FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 2))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(doc_id, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.seen FROM reach r JOIN e ON e.a = r.doc_id WHERE r.seen <= e.b)
+SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.seen) AS component_id, r.doc_id = min(r.seen) AS kept FROM reach r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+VECTORS = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98e0),
+reach(vec_id, seen) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT p.b, r.seen FROM reach r JOIN p ON p.a = r.vec_id WHERE r.seen <= p.b),
+n AS (SELECT a AS vec_id, count(*) AS n FROM p GROUP BY a)
+SELECT r.vec_id, coalesce(any_value(n.n), 0)::BIGINT AS n_links, min(r.seen) AS component_id, r.vec_id = min(r.seen) AS kept FROM reach r LEFT JOIN n ON n.vec_id = r.vec_id GROUP BY r.vec_id
+"""
+
+
+def _merged(name: str, source: str, parent: str, branch: str) -> str:
+    """Siblings pooled unless a branch's share of blocked urls differs from theirs."""
+    return f"""
+{name}_j AS (SELECT {parent}, {branch}, n, b, sum(n) OVER w AS na, sum(b) OVER w AS ba FROM {source} WINDOW w AS (PARTITION BY {parent})),
+{name}_a AS (SELECT *, (b * na - n * ba)::DOUBLE * (b * na - n * ba) > 1.96e0 * 1.96e0 * n * ba * (na - ba) AS alone FROM {name}_j),
+{name} AS (SELECT {parent}, {branch}, n, b, CASE WHEN alone THEN n ELSE sum(n) FILTER (NOT alone) OVER w END AS pn, CASE WHEN alone THEN b ELSE sum(b) FILTER (NOT alone) OVER w END AS pb FROM {name}_a WINDOW w AS (PARTITION BY {parent}))"""
+
+
+URLS = f"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+k AS (SELECT h.*, (SELECT arg_max((k.name, k.verdict), length(k.name)) FROM (VALUES ('net', '/', 'net/', 'block'), ('example.net', '/en/', 'example.net/en/', 'allow'), ('example.com', '/de/', 'example.com/de/', 'block'), ('org', '/fr/', 'org/fr/', 'allow')) k(host, path, name, verdict)
+    WHERE (h.host = k.host OR ends_with(h.host, '.' || k.host)) AND starts_with(h.path, k.path)) AS found FROM h),
+r AS (SELECT page_id, host, path, found[1] AS rule, found[2] AS ruled, (found IS NOT NULL)::INT AS n, (coalesce(found[2], '') = 'block')::INT AS b, regexp_extract(host, '^[^.]*\\.(.*)$', 1) AS domain,
+    coalesce(str_split(path, '/')[2], '') AS s1, coalesce(str_split(path, '/')[3], '') AS s2 FROM k),
+r1 AS (SELECT *, CASE WHEN regexp_matches(s1, '[0-9]') OR count(DISTINCT s1) FILTER (NOT regexp_matches(s1, '[0-9]')) OVER (PARTITION BY host) > 16 THEN '*' ELSE s1 END AS t1 FROM r),
+r2 AS (SELECT *, CASE WHEN regexp_matches(s2, '[0-9]') OR count(DISTINCT s2) FILTER (NOT regexp_matches(s2, '[0-9]')) OVER (PARTITION BY host, t1) > 16 THEN '*' ELSE s2 END AS t2 FROM r1),
+leaf AS (SELECT domain, host, t1, t2, sum(n) AS n, sum(b) AS b FROM r2 GROUP BY ALL),{_merged('two', 'leaf', 'domain, host, t1', 't2')},
+mid AS (SELECT domain, host, t1, sum(n) AS n, sum(b) AS b FROM two GROUP BY ALL),{_merged('one', 'mid', 'domain, host', 't1')},
+hosts AS (SELECT domain, host, sum(n) AS n, sum(b) AS b FROM one GROUP BY ALL),
+domains AS (SELECT domain, sum(n) AS n, sum(b) AS b FROM hosts GROUP BY ALL),
+p0 AS (SELECT CASE WHEN sum(n) > 0 THEN sum(b) / sum(n) END AS p FROM domains),
+p1 AS (SELECT domain, (b + 4.0e0 * p) / (n + 4.0e0) AS p FROM domains, p0),
+p2 AS (SELECT host, domain, (b + 4.0e0 * p) / (n + 4.0e0) AS p FROM hosts JOIN p1 USING (domain)),
+p3 AS (SELECT host, t1, (pb + 4.0e0 * p) / (pn + 4.0e0) AS p FROM one JOIN p2 USING (host)),
+p4 AS (SELECT host, t1, t2, (pb + 4.0e0 * p) / (pn + 4.0e0) AS p FROM two JOIN p3 USING (host, t1))
+SELECT page_id, r2.host, path, rule, CASE WHEN rule IS NOT NULL THEN ruled WHEN p >= 0.5e0 THEN 'block' ELSE 'allow' END AS verdict, '/' || r2.t1 || '/' || r2.t2 AS template, round(p, 6) AS purity FROM r2 JOIN p4 USING (host, t1, t2)
+"""
+
+SQL: dict[str, str] = {"op2_mixing": MIXING, "op4_neardup": NEARDUP, "op5_urls": URLS, "op7_vectors": VECTORS}

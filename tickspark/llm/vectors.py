@@ -101,7 +101,7 @@ def near_vectors(df: DataFrame, threshold: float = 0.98, key: str = "vec_id", ve
     classes = rows.where("fine").groupBy(*same).agg(F.min("id").alias("id"), F.count("*").alias("n"), F.max("v").alias("v"))
     classes = written(classes.where("id is not null"), "classes")
     drawn = classes.select("v", F.xxhash64(F.lit("pivot"), "h1").alias("o")).orderBy("o").limit(PIVOTS).collect()
-    pivots = [unit(np.array([r.v]))[0] for r in drawn]
+    pivots = [unit(np.array([r.v]))[0] for r in drawn] or [np.zeros(0)]
     dealt = celled(classes, pivots)
     block = ["label", "dim", "cell", "block"]
     held = dealt.groupBy(*block[:3]).agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).alias("blocks"))
