@@ -25,6 +25,11 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.trades_from_events(events(spark, sf_dir))
 
 
+def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols that trade in range, from two columns of the table."""
+    return S.range_filter(trades(spark, sf_dir), START_MS, END_MS).select("symbol").distinct()
+
+
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.raw_from_events(events(spark, sf_dir))
 
@@ -143,8 +148,8 @@ QUERIES: dict[str, Query] = {
     "class_counts": lambda s, d: (lambda r: evaluate.class_counts(r, "label", "symbol").join(evaluate.class_counts(r, "pred", "symbol").toDF("symbol", "pred_no_trade", "pred_long", "pred_short"), "symbol"))(decided(s, d)),
     "trade_candidates": q(lambda s, d: B.trade_candidates(decided(s, d)).select("symbol", "timestamp_ms", "side", "event", "exit_reason", "hold_s", "return_pct")),
     "trades_gated": q(lambda s, d: B.backtest(decided(s, d))[0].select("symbol", "timestamp_ms", "side", "close", "p_no_trade", "p_long", "p_short", "event", "exit_reason", "hold_s", "return_pct", "equity_after")),
-    "backtest_report": q(lambda s, d: B.backtest(decided(s, d))[1]),
-    "threshold_sweep": q(lambda s, d: B.threshold_sweep(scored(s, d).select("symbol", "timestamp_ms", "long_event", "short_event", "long_net_return_pct", "short_net_return_pct", "exit_reason", "time_to_exit_s", "p_no_trade", "p_long", "p_short"), GRID)),
+    "backtest_report": q(lambda s, d: B.backtest(decided(s, d), every=symbols(s, d))[1]),
+    "threshold_sweep": q(lambda s, d: B.threshold_sweep(scored(s, d).select("symbol", "timestamp_ms", "long_event", "short_event", "long_net_return_pct", "short_net_return_pct", "exit_reason", "time_to_exit_s", "p_no_trade", "p_long", "p_short"), GRID, symbols(s, d))),
     "ingest_report": lambda s, d: quality.ingest_report(raw(s, d), files.sanitize_trades(raw(s, d)), S.day_spine(s, START_MS, END_MS)),
     "profile_orders": q(lambda s, d: quality.profile(adapters.table(s, d, "orders").withColumn("o_custkey", F.when(F.col("o_orderkey") % 10 != 0, F.col("o_custkey")))).drop("dtype")),
     "class_distribution": q(lambda s, d: quality.class_distribution(adapters.table(s, d, "labels").withColumn("quality", F.when(F.col("doc_id") % 7 != 0, F.col("quality"))), "quality")),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -56,44 +56,59 @@ def equity_curve(trades: DataFrame, *keys: str) -> DataFrame:
     return trades.withColumn("equity_after", F.product(1.0 + F.col("return_pct") / 100.0).over(w))
 
 
+def with_falls(curve: DataFrame, *keys: str) -> DataFrame:
+    """curve with fall, the share lost since the running peak, which starts at 1."""
+    w = W.partitionBy(*(keys or ["symbol"])).orderBy("timestamp_ms").rowsBetween(W.unboundedPreceding, 0)
+    return curve.withColumn("fall", 1.0 - F.col("equity_after") / F.greatest(F.lit(1.0), F.max("equity_after").over(w)))
+
+
+def drawdown_column() -> Column:
+    return (F.greatest(F.max("fall"), F.lit(0.0)) * 100.0).alias("max_drawdown_pct")
+
+
+def sharpe_column() -> Column:
+    r, s = F.col("return_pct") / 100.0, F.stddev_samp(F.col("return_pct") / 100.0)
+    return F.when((F.count("*") < 2) | (s <= 1e-12), 0.0).otherwise(F.avg(r) / s * F.sqrt(F.count("*").cast("double"))).alias("sharpe")
+
+
 def max_drawdown(curve: DataFrame, *keys: str) -> DataFrame:
-    """(keys, max_drawdown_pct): the largest fall below the running peak, which starts at 1."""
-    own = list(keys) or ["symbol"]
-    w = W.partitionBy(*own).orderBy("timestamp_ms").rowsBetween(W.unboundedPreceding, 0)
-    peak = F.greatest(F.lit(1.0), F.max("equity_after").over(w))
-    rows = curve.withColumn("fall", 1.0 - F.col("equity_after") / peak)
-    return rows.groupBy(*own).agg((F.greatest(F.max("fall"), F.lit(0.0)) * 100.0).alias("max_drawdown_pct"))
+    """(keys, max_drawdown_pct): the largest fall below the running peak."""
+    return with_falls(curve, *keys).groupBy(*(keys or ["symbol"])).agg(drawdown_column())
 
 
 def sharpe(trades: DataFrame, *keys: str) -> DataFrame:
     """(keys, sharpe): mean over sample deviation of trade returns, times the root of their number; 0 below two trades or without deviation."""
-    r, s = F.col("return_pct") / 100.0, F.stddev_samp(F.col("return_pct") / 100.0)
-    return trades.groupBy(*(keys or ["symbol"])).agg(F.when((F.count("*") < 2) | (s <= 1e-12), 0.0).otherwise(F.avg(r) / s * F.sqrt(F.count("*").cast("double"))).alias("sharpe"))
+    return trades.groupBy(*(keys or ["symbol"])).agg(sharpe_column())
 
 
-def trade_summary(trades: DataFrame, symbols: DataFrame, *keys: str) -> DataFrame:
+def trade_summary(trades: DataFrame, symbols: DataFrame, *keys: str, more: tuple[Column, ...] = ()) -> DataFrame:
     """One row for each row of symbols (of the keys): counts, rates, returns, profits; zeros without trades, infinite factor without losses."""
     own, r = list(keys) or ["symbol"], F.col("return_pct")
     sums = trades.groupBy(*own).agg(
         F.count("*").alias("trade_count"), F.count_if(F.col("side") == "LONG").alias("long_count"), F.count_if(F.col("side") == "SHORT").alias("short_count"),
         (F.count_if(r > 0) / F.count("*") * 100.0).alias("win_rate_pct"), F.avg(r).alias("avg_return_pct"), ((F.product(1.0 + r / 100.0) - 1.0) * 100.0).alias("cumulative_return_pct"),
-        F.sum(F.when(r > 0, r).otherwise(0.0)).alias("gross_profit_pct"), F.abs(F.sum(F.when(r < 0, r).otherwise(0.0))).alias("gross_loss_pct"), F.avg("hold_s").alias("avg_hold_s"),
+        F.sum(F.when(r > 0, r).otherwise(0.0)).alias("gross_profit_pct"), F.abs(F.sum(F.when(r < 0, r).otherwise(0.0))).alias("gross_loss_pct"), F.avg("hold_s").alias("avg_hold_s"), *more,
     )
     factor = F.when(F.col("trade_count").isNull(), 0.0).when(F.col("gross_loss_pct") > 0, F.try_divide("gross_profit_pct", "gross_loss_pct")).otherwise(F.lit(float("inf")))
     rows = symbols.join(sums, own, "left").withColumn("profit_factor", factor)
     return rows.na.fill(0).na.fill(0.0)
 
 
-def backtest(decided: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
-    """The trades with their equity, and one summary row for each key of decided."""
+def backtest(decided: DataFrame, *keys: str, every: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The trades with their equity, and one summary row for each row of `every` (default: each key of decided).
+
+    The summary is one aggregation over the curve, whose windows it shares, so nothing is computed twice; a cheap
+    list of keys in `every` spares another pass over decided.
+    """
     own = list(keys) or ["symbol"]
     curve = equity_curve(gate_trades(trade_candidates(decided), *own), *own)
-    report = trade_summary(curve, decided.select(*own).distinct(), *own).join(max_drawdown(curve, *own), own, "left").join(sharpe(curve, *own), own, "left")
-    return curve, report.na.fill(0.0)
+    every = decided.select(*own).distinct() if every is None else every
+    return curve, trade_summary(with_falls(curve, *own), every, *own, more=(drawdown_column(), sharpe_column()))
 
 
-def threshold_sweep(scored: DataFrame, grid: list[tuple[float, float, float]]) -> DataFrame:
+def threshold_sweep(scored: DataFrame, grid: list[tuple[float, float, float]], symbols: DataFrame | None = None) -> DataFrame:
     """Backtest summary of each symbol and setting (long, short, margin). The grid is a list in the program, so its table is small."""
     settings = F.broadcast(scored.sparkSession.createDataFrame(grid, "long_at double, short_at double, margin double"))
     decided = threshold_decisions(scored.crossJoin(settings), "long_at", "short_at", "margin")
-    return backtest(decided, "symbol", "long_at", "short_at", "margin")[1]
+    every = (scored.select("symbol").distinct() if symbols is None else symbols).crossJoin(settings)
+    return backtest(decided, "symbol", "long_at", "short_at", "margin", every=every)[1]
