@@ -136,6 +136,17 @@ def test_feature_columns_and_first_returns(spark):
     assert len(features.build_features(trades(spark, rows), None, 60, T0, T0 + 600_000).columns) == 32
 
 
+def test_chunks_change_nothing(spark):
+    rows = some_trades(70, 3000, 7)
+    klines = spark.createDataFrame([(s, T0 + 60_000 * m, 100.0 + m, 101.0 + m, 99.0, 100.5, m) for s in "ab" for m in (3, 4, 20, 41)], "symbol string, open_time long, open double, high double, low double, close double, seq long")
+    whole = features.build_features(trades(spark, rows), klines, 10, T0, T0 + 3_000_000)
+    cut = features.build_features(trades(spark, rows), klines, 10, T0, T0 + 3_000_000, chunk=37)
+    digits = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    assert digits(whole) == digits(cut) and whole.count() == 600
+    bare = whole.drop(*features.CONTEXT)
+    assert digits(labels.build_labels(bare, 5)) == digits(labels.build_labels_in_chunks(bare, T0, 10, 41, 5))
+
+
 BAR = "symbol string, timestamp string, timestamp_ms long, timestamp_s long, timeframe_s long, open double, high double, low double, close double"
 
 

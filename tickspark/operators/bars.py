@@ -67,15 +67,45 @@ def traded_bars(trades: DataFrame, timeframe_s: int, start_ms: int, end_ms: int)
     return rows.groupBy("symbol", "timestamp_s").agg(*_measures(), F.min("second_s").alias("first_s"), F.max_by("price", "p").alias("first_s_close"))
 
 
-def fill_bars(spine: DataFrame, bars: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+#: Bars of a symbol that one task's window holds at most; longer histories are dealt out in chunks of so many.
+CHUNK = 50_000
+
+
+def in_chunks(rows: DataFrame, start_ms: int, timeframe_s: int, size: int, before: int = 0, after: int = 0) -> DataFrame:
+    """rows with chunk and own: each row in its chunk (own), and copies of the last `before` and first `after` rows of a chunk in the neighbours'."""
+    i = F.floor((F.col("timestamp_s") - start_ms // 1000) / timeframe_s)
+    c = F.floor(i / size)
+    near = F.array_compact(F.array(c, F.when(i % size >= size - before, c + 1), F.when((i % size < after) & (c > 0), c - 1)))
+    return rows.withColumn("chunk", F.explode(near) if before or after else c).withColumn("own", F.col("chunk") == c)
+
+
+def last_known(rows: DataFrame, value: str, out: str, chunked: bool, with_own: bool = False) -> DataFrame:
+    """rows with out: the last known value before each row (with_own: or its own), per symbol in time order.
+
+    With chunks, a row looks back inside its chunk, and then at a table with one row for each chunk.
+    """
+    end = 0 if with_own else -1
+    if not chunked:
+        return rows.withColumn(out, F.last(value, ignorenulls=True).over(W.partitionBy("symbol").orderBy("timestamp_s").rowsBetween(W.unboundedPreceding, end)))
+    ends = rows.groupBy("symbol", "chunk").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("timestamp_s"))).alias("end"))
+    earlier = W.partitionBy("symbol").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select("symbol", "chunk", F.last("end", ignorenulls=True).over(earlier).alias("end_before"))
+    w = W.partitionBy("symbol", "chunk").orderBy("timestamp_s").rowsBetween(W.unboundedPreceding, end)
+    return rows.join(ends, ["symbol", "chunk"]).withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(w), F.col("end_before"))).drop("end_before")
+
+
+def fill_bars(spine: DataFrame, bars: DataFrame, chunked: bool = False) -> DataFrame:
     """Every bar of the spine. A bar opens at the last close before it if no trade falls into its first second.
 
-    Before a symbol's first trade, the close of the first traded second stands in.
+    Before a symbol's first trade, the close of the first traded second stands in. A chunked spine has a column chunk, which stays.
     """
-    w = W.partitionBy("symbol").orderBy("timestamp_s")
-    rows = spine.join(bars, ["symbol", "timestamp_s"], "left")
-    before = F.last("close", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.withColumn("carry", F.coalesce(before, F.first("first_s_close", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))))
+    rows = last_known(spine.join(bars, ["symbol", "timestamp_s"], "left"), "close", "carry", chunked)
+    if chunked:
+        first = bars.groupBy("symbol").agg(F.min_by("first_s_close", "timestamp_s").alias("start_close"))
+        rows = rows.join(first, "symbol")
+    else:  # in the window's own order, so nothing is computed twice
+        rows = rows.withColumn("start_close", F.first("first_s_close", ignorenulls=True).over(W.partitionBy("symbol").orderBy("timestamp_s").rowsBetween(0, W.unboundedFollowing)))
+    rows = rows.withColumn("carry", F.coalesce("carry", "start_close"))
     there, late = F.col("close").isNotNull(), F.col("first_s") > F.col("timestamp_s")
     price = lambda c, own: F.when(~there, F.col("carry")).when(late, own).otherwise(F.col(c))
     rows = rows.withColumns({
@@ -86,15 +116,18 @@ def fill_bars(spine: DataFrame, bars: DataFrame, keep: tuple[str, ...] = ()) ->
         "trade_count": F.coalesce("trade_count", F.lit(0)).cast("long"),
         **{c: F.coalesce(c, F.lit(0.0)) for c in AMOUNTS[1:]},
     })
-    return rows.select("symbol", "timestamp_s", *keep, "open", "high", "low", "close", *AMOUNTS)
+    return rows.select("symbol", "timestamp_s", *(["chunk"] if chunked else []), "open", "high", "low", "close", *AMOUNTS)
 
 
-def build_bars(trades: DataFrame, timeframe_s: int, start_ms: int, end_ms: int) -> DataFrame:
+def build_bars(trades: DataFrame, timeframe_s: int, start_ms: int, end_ms: int, chunk: int = CHUNK) -> DataFrame:
     """Dense OHLCV bars of every symbol that trades in range."""
     if end_ms <= start_ms or timeframe_s <= 0:
         raise ValueError("an empty range or time frame")
     bars = traded_bars(trades, timeframe_s, start_ms, end_ms)
-    return fill_bars(bar_spine(bars.select("symbol").distinct(), start_ms, end_ms, timeframe_s), bars)
+    spine = bar_spine(range_filter(trades, start_ms, end_ms).select("symbol").distinct(), start_ms, end_ms, timeframe_s)
+    if chunked := (end_ms - start_ms) > chunk * timeframe_s * 1000:
+        spine = in_chunks(spine, start_ms, timeframe_s, chunk).drop("own")
+    return fill_bars(spine, bars, chunked).drop("chunk")
 
 
 def bar_ratios(bars: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tickspark.functions.scalars import EPS
-from tickspark.operators.bars import bar_ratios, build_bars
+from tickspark.operators.bars import CHUNK, bar_ratios, build_bars, in_chunks, last_known
 
 #: The columns of a feature table, in order, and those of kline context.
 FEATURES = [
@@ -18,37 +19,42 @@ FEATURES = [
 CONTEXT = ["dist_from_1m_open", "dist_from_1m_high", "dist_from_1m_low", "dist_from_1m_close"]
 
 
-def _w():
-    return W.partitionBy("symbol").orderBy("timestamp_s")
+#: Earlier bars that the features of a bar look at.
+REACH = 30
 
 
-def _last(n: int):
-    return _w().rowsBetween(-(n - 1), 0)
+def _w(rows: DataFrame) -> WindowSpec:
+    """Time order per symbol, or per chunk of a symbol where rows are dealt out in chunks."""
+    return W.partitionBy("symbol", *(["chunk"] if "chunk" in rows.columns else [])).orderBy("timestamp_s")
+
+
+def _last(rows: DataFrame, n: int) -> WindowSpec:
+    return _w(rows).rowsBetween(-(n - 1), 0)
 
 
 def log_returns(bars: DataFrame, lags: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
     """bars with ret_{k}s, the log return over k bars; 0 without such a bar."""
     log = lambda c: F.ln(F.greatest(c, F.lit(EPS)))
-    before = lambda k: F.lag("close", k).over(_w())  # noqa: E731  greatest() passes over nulls, so they are asked for
+    before = lambda k: F.lag("close", k).over(_w(bars))  # noqa: E731  greatest() passes over nulls, so they are asked for
     return bars.withColumns({f"ret_{k}s": F.when(before(k).isNull(), 0.0).otherwise(log(F.col("close")) - log(before(k))) for k in lags})
 
 
 def rolling_sums(bars: DataFrame, n: int = 5) -> DataFrame:
-    return bars.withColumns({f"{c}_{n}s": F.sum(c).over(_last(n)) for c in ("trade_count", "signed_volume", "notional_volume")})
+    return bars.withColumns({f"{c}_{n}s": F.sum(c).over(_last(bars, n)) for c in ("trade_count", "signed_volume", "notional_volume")})
 
 
 def rolling_mean(bars: DataFrame, n: int = 5) -> DataFrame:
-    return bars.withColumn(f"avg_trade_size_{n}s", F.avg("avg_trade_size").over(_last(n)))
+    return bars.withColumn(f"avg_trade_size_{n}s", F.avg("avg_trade_size").over(_last(bars, n)))
 
 
 def rolling_volatility(bars: DataFrame, sizes: tuple[int, ...] = (10, 30)) -> DataFrame:
     """bars with the sample deviation of 1-bar returns; 0 below two of them."""
-    return bars.withColumns({f"volatility_{n}s": F.coalesce(F.stddev_samp("ret_1s").over(_last(n)), F.lit(0.0)) for n in sizes})
+    return bars.withColumns({f"volatility_{n}s": F.coalesce(F.stddev_samp("ret_1s").over(_last(bars, n)), F.lit(0.0)) for n in sizes})
 
 
 def rolling_zscore(bars: DataFrame, n: int = 30, least: int = 5) -> DataFrame:
     """bars with the notional's z-score among the last n bars; 0 below `least` of them, or where all are equal."""
-    x, w = F.col("notional_volume"), _last(n)
+    x, w = F.col("notional_volume"), _last(bars, n)
     even = F.max(x).over(w) == F.min(x).over(w)
     return bars.withColumn(f"volume_zscore_{n}s", F.when((F.count(x).over(w) < least) | even, 0.0).otherwise((x - F.avg(x).over(w)) / F.stddev_pop(x).over(w)))
 
@@ -59,7 +65,7 @@ def dedupe_klines(klines: DataFrame, order: str = "seq") -> DataFrame:
     return klines.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
 
 
-def join_kline_context(bars: DataFrame, klines: DataFrame) -> DataFrame:
+def join_kline_context(bars: DataFrame, klines: DataFrame, chunked: bool = False) -> DataFrame:
     """bars with the kline of the minute in which each starts; on a miss that of the bar before; before any hit the first kline.
 
     The first kline of a symbol is one row, joined by symbol; the minutes join by (symbol, minute), so no symbol is one task there.
@@ -67,8 +73,7 @@ def join_kline_context(bars: DataFrame, klines: DataFrame) -> DataFrame:
     k = klines.select("symbol", F.col("open_time").alias("minute_ms"), F.struct("open", "high", "low", "close").alias("k"))
     first = klines.groupBy("symbol").agg(F.min_by(F.struct("open", "high", "low", "close"), "open_time").alias("k0"))
     rows = bars.withColumn("minute_ms", F.floor(F.col("timestamp_s") / 60) * 60000).join(k, ["symbol", "minute_ms"], "left").join(first, "symbol", "left")
-    used = F.coalesce(F.last("k", ignorenulls=True).over(_w().rowsBetween(W.unboundedPreceding, 0)), F.col("k0"))
-    return rows.withColumn("kline", used).drop("k", "k0", "minute_ms")
+    return last_known(rows, "k", "kline", chunked, with_own=True).withColumn("kline", F.coalesce("kline", "k0")).drop("k", "k0", "minute_ms")
 
 
 def kline_distances(rows: DataFrame) -> DataFrame:
@@ -87,14 +92,17 @@ def window_features(bars: DataFrame) -> DataFrame:
     return rolling_volatility(rows)
 
 
-def build_features(trades: DataFrame, klines: DataFrame | None, timeframe_s: int, start_ms: int, end_ms: int) -> DataFrame:
-    """The feature table of [start_ms, end_ms), with kline context if klines are given."""
-    bars = build_bars(trades, timeframe_s, start_ms, end_ms)
+def build_features(trades: DataFrame, klines: DataFrame | None, timeframe_s: int, start_ms: int, end_ms: int, chunk: int = CHUNK) -> DataFrame:
+    """The feature table of [start_ms, end_ms), with kline context if klines are given. Histories of over `chunk` bars are dealt out in chunks."""
+    rows = build_bars(trades, timeframe_s, start_ms, end_ms, chunk)
+    chunked = (end_ms - start_ms) > chunk * timeframe_s * 1000
     if klines is not None:
         low, high = start_ms // 60000 * 60000, -(-end_ms // 60000) * 60000
-        bars = join_kline_context(bars, dedupe_klines(klines).where((F.col("open_time") >= low) & (F.col("open_time") < high)))
-    rows = window_features(bars)
-    rows = bar_times(kline_distances(rows) if klines is not None else rows, timeframe_s)
+        known = dedupe_klines(klines).where((F.col("open_time") >= low) & (F.col("open_time") < high))
+        rows = in_chunks(rows, start_ms, timeframe_s, chunk).drop("own") if chunked else rows
+        rows = kline_distances(join_kline_context(rows, known, chunked)).drop("chunk")
+    rows = window_features(in_chunks(rows, start_ms, timeframe_s, chunk, before=REACH) if chunked else rows)
+    rows = bar_times(rows.where("own") if chunked else rows, timeframe_s)
     plain = {f"{c}_1s": F.col(c).cast("double") for c in ("vwap", "trade_count", "volume", "notional_volume", "buy_volume", "sell_volume", "signed_volume", "trade_imbalance", "buy_sell_ratio", "avg_trade_size", "max_trade_size", "price_range")}
     rows = rows.withColumns(plain | {"trade_count_5s": F.col("trade_count_5s").cast("double")})
     return rows.select("symbol", *FEATURES, *(CONTEXT if klines is not None else []))

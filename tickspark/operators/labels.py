@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
+
+from tickspark.operators.bars import in_chunks
 
 NO_TRADE, LONG, SHORT = 0, 1, 2
 #: Names of the classes, and the columns that a label table begins with.
@@ -18,24 +21,25 @@ FRONT = [
 ]
 
 
-def _ahead(steps: int):
-    return W.partitionBy("symbol").orderBy("timestamp_ms").rowsBetween(1, steps)
+def _ahead(bars: DataFrame, steps: int) -> WindowSpec:
+    """The next rows of the symbol, or of its chunk where rows are dealt out in chunks (bars.in_chunks with a halo of `steps` rows after each)."""
+    return W.partitionBy("symbol", *(["chunk"] if "chunk" in bars.columns else [])).orderBy("timestamp_ms").rowsBetween(1, steps)
 
 
 def future_frame(bars: DataFrame, steps: int) -> DataFrame:
     """bars with `future`, the next `steps` rows (fewer at the end) in order."""
-    return bars.withColumn("future", F.collect_list(F.struct("high", "low", "close", "timestamp_s")).over(_ahead(steps)))
+    return bars.withColumn("future", F.collect_list(F.struct("high", "low", "close", "timestamp_s")).over(_ahead(bars, steps)))
 
 
 def future_extremes(bars: DataFrame, steps: int) -> DataFrame:
     """bars with the largest rise and fall of the next rows, in percent of the close; null without any."""
     change = lambda c: (c / F.col("close") - 1.0) * 100.0
-    return bars.withColumns({"future_max_upside_pct": change(F.max("high").over(_ahead(steps))), "future_max_downside_pct": change(F.min("low").over(_ahead(steps)))})
+    return bars.withColumns({"future_max_upside_pct": change(F.max("high").over(_ahead(bars, steps))), "future_max_downside_pct": change(F.min("low").over(_ahead(bars, steps)))})
 
 
 def horizon_returns(bars: DataFrame, steps: int, cost: float) -> DataFrame:
     """bars with the returns of holding to the last of the next rows, after cost."""
-    last = F.last("close").over(_ahead(steps))
+    last = F.last("close").over(_ahead(bars, steps))
     return bars.withColumns({"long_horizon_return_pct": (last / F.col("close") - 1.0 - cost) * 100.0, "short_horizon_return_pct": (F.col("close") / last - 1.0 - cost) * 100.0})
 
 
@@ -104,6 +108,12 @@ def build_labels(bars: DataFrame, steps: int = 12, tp_pct: float = 0.35, sl_pct:
     return rows.select("symbol", *front, *[c for c in bars.columns if c not in (*front, "symbol")])
 
 
+def build_labels_in_chunks(bars: DataFrame, start_ms: int, timeframe_s: int, chunk: int, steps: int = 12, *args: float) -> DataFrame:
+    """build_labels() of dense bars whose histories are too long for one task: chunks of `chunk` bars with the next `steps` rows copied in."""
+    rows = build_labels(in_chunks(bars, start_ms, timeframe_s, chunk, after=steps), steps, *args)
+    return rows.where("own").drop("chunk", "own")
+
+
 def label_sweep(bars: DataFrame, settings: list[tuple[int, float, float]], cost: float = 0.0005) -> DataFrame:
     """(steps, tp_pct, sl_pct, label, n) for each setting: the future is collected once, and sliced per setting.
 
