@@ -104,7 +104,7 @@ def fill_bars(spine: DataFrame, bars: DataFrame, chunked: bool = False) -> DataF
         first = bars.groupBy("symbol").agg(F.min_by("first_s_close", "timestamp_s").alias("start_close"))
         rows = rows.join(first, "symbol")
     else:  # in the window's own order, so nothing is computed twice
-        rows = rows.withColumn("start_close", F.first("first_s_close", ignorenulls=True).over(W.partitionBy("symbol").orderBy("timestamp_s").rowsBetween(0, W.unboundedFollowing)))
+        rows = rows.withColumn("start_close", F.first("first_s_close", ignorenulls=True).over(W.partitionBy("symbol").orderBy("timestamp_s").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     rows = rows.withColumn("carry", F.coalesce("carry", "start_close"))
     there, late = F.col("close").isNotNull(), F.col("first_s") > F.col("timestamp_s")
     price = lambda c, own: F.when(~there, F.col("carry")).when(late, own).otherwise(F.col(c))
