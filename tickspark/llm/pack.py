@@ -32,7 +32,7 @@ WINDOW, END = 2048, 1
 #: Ids that a block holds at most before it is packed (unless one document has more).
 BLOCK = 4 << 20
 #: Lengths that are combined to triples, and words that a task remembers.
-FREQUENT, REMEMBERED = 64, 1_000_000
+FREQUENT, REMEMBERED = 64, 700_000
 #: Words whose ids are those of the lower-case letters, then those of the points.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
 
@@ -52,6 +52,9 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.forget()
 
     @classmethod
@@ -61,9 +64,9 @@ class Words:
         return cls.kept[path]
 
     def forget(self) -> None:
-        self.place = Places()
+        self.place = Places({b"": 0})
         self.ids = np.zeros(0, np.uint32)
-        self.at = np.zeros(1, np.int64)
+        self.at = np.zeros(2, np.int64)  # the empty word has no ids
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, END after each, and the n + 1 offsets of the texts in them."""
@@ -79,36 +82,51 @@ class Words:
         if len(unknown := np.flatnonzero(which < 0)):
             self.learn(list({words[i] for i in unknown.tolist()}))
             which[unknown] = [self.place[words[i]] for i in unknown.tolist()]
+        flat, upto = self.gather(which)
+        return flat, upto[np.array([0, *ends])]
+
+    def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words by their places, and the offsets of the words in them."""
         lengths = self.at[which + 1] - self.at[which]
         upto = np.concatenate([[0], np.cumsum(lengths)])
-        flat = self.ids[np.repeat(self.at[which] - upto[:-1], lengths) + np.arange(upto[-1])]
-        return flat, upto[np.array([0, *ends])]
+        return self.ids[np.repeat(self.at[which] - upto[:-1], lengths) + np.arange(upto[-1])], upto
 
     def learn(self, new: list[bytes]) -> None:
         """Capitals and closing points don't touch a plain word's ids: such words share one encoding."""
-        heads, tails, split, whole = [], [], [], set()
+        heads, tails, split, plain, rest = [], [], [], set(), set()
         for w in new:
-            if (m := PLAIN.fullmatch(w.decode())) and (m[2] or m[1] != m[1].lower()):
+            if not (m := PLAIN.fullmatch(w.decode())):
+                rest.add(w)
+            elif m[2] or m[1] != m[1].lower():
                 split.append(w)
                 heads.append(m[1].lower().encode())
                 tails.append(m[2].encode())
             else:
-                whole.add(w)
-        whole.update(b for x in (heads, tails) for b in x if b and b not in self.place)
-        once = list(whole)
-        found = [[END] if w == b"\n" else e.ids for w, e in zip(once, self.tokenizer.encode_batch_fast([w.decode() for w in once], add_special_tokens=False), strict=True)]
-        self.add(once, found)
-        known: dict[bytes, list[int]] = {b"": []}
-        for w in {*heads, *tails} - {b""}:
-            k = self.place[w]
-            known[w] = self.ids[self.at[k] : self.at[k + 1]].tolist()
-        self.add(split, [known[a] + known[b] for a, b in zip(heads, tails, strict=True)])
-
-    def add(self, words: list[bytes], ids: list[list[int]]) -> None:
-        if words:
-            self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
-            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.uint32)])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in ids])])
+                plain.add(w)
+        plain.update(w for w in heads if self.place[w] < 0)
+        rest.update(w for w in tails if self.place[w] < 0)
+        self.add(list(plain), *self.plain_ids(list(plain)))
+        single = list(rest)
+        found = [[END] if w == b"\n" else e.ids for w, e in zip(single, self.tokenizer.encode_batch_fast([w.decode() for w in single], add_special_tokens=False), strict=True)]
+        self.add(single, np.fromiter(chain.from_iterable(found), np.uint32), np.array([len(x) for x in found], np.int64))
+        both = np.array([[self.place[a] for a in heads], [self.place[b] for b in tails]], np.int64).T
+        flat, upto = self.gather(both.ravel())
+        self.add(split, flat, np.diff(upto[::2]))
+
+    def plain_ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and numbers of ids of lower-case words of letters; many are encoded as one text, as each ends with a token that says so."""
+        lines = [b" ".join(words[a : a + 200]).decode() for a in range(0, len(words), 200)]
+        flat = np.concatenate([np.zeros(0, np.uint32), *[np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]])
+        ends = np.flatnonzero(self.ends[flat])
+        if len(ends) != len(words):  # not a tokenizer of that kind
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(found), np.uint32), np.array([len(x) for x in found], np.int64)
+        return flat, np.diff(ends, prepend=-1)
+
+    def add(self, words: list[bytes], flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
+        self.ids = np.concatenate([self.ids, flat.astype(np.uint32)])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lengths)])
 
 
 def combinations(histogram: np.ndarray, window: int = WINDOW) -> np.ndarray:
