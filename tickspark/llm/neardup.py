@@ -8,8 +8,9 @@ text) the set is empty and links with nothing. Documents link if their sets' Jac
 1. Each set becomes a sketch of REGISTERS registers, each the exponentially spaced minimum of exponential
    hash values (base BASE, rate RATE). Sketches merge by maxima, and registers of two sets agree about as
    often as the sets' Jaccard similarity. Equal sets are one class from here on, under their smallest id.
-2. BANDS bands of WIDTH registers bring classes together: a pair of similarity 0.85 shares no band with
-   probability 9e-7, one of 0.9 with 4e-10. A band's bucket is cut into blocks of BLOCK classes, and blocks are paired, so
+2. Bands of registers bring classes together. Their width is the largest with which a pair at the threshold
+   shares no band with probability below MISS: 7 (36 bands) at 0.85, where it is 9e-7, and 6 (42 bands) at 0.8, where
+   it is 3e-6; pairs above are missed far less often. A band's bucket is cut into blocks of BLOCK classes, and blocks are paired, so
    that no task holds a bucket of any size.
 3. Inside a bucket, the joint likelihood of the two sketches (numbers of larger, equal and smaller registers,
    and the known set sizes) says whether the similarity's estimate is at least LOOSE; the classes that this
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from tickspark.llm.common import mix64, slices, utf8, written
 from tickspark.llm.graph import components
 
-REGISTERS, BANDS, WIDTH = 256, 36, 7
+REGISTERS, MISS = 256, 1e-5
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
 BLOCK = 256
 #: Similarity below the threshold, more than four standard errors of the estimate away, where a pair still is a candidate.
@@ -52,7 +53,7 @@ BYTE[65:91] = BYTE[97:123]
 FACTOR = U(0x9E3779B97F4A7C15)
 LOW = np.cumprod(np.concatenate([[U(1)], np.full(65535, FACTOR)]))
 HIGH = np.cumprod(np.concatenate([[U(1)], np.full(4095, U(pow(int(FACTOR), 65536, 1 << 64)))]))
-SALT = _rng.integers(0, 2**64, BANDS * WIDTH, dtype=np.uint64) | U(1)
+SALT = _rng.integers(0, 2**64, REGISTERS, dtype=np.uint64) | U(1)
 
 
 def word_hashes(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,9 +139,17 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-def band_keys(registers: np.ndarray) -> np.ndarray:
-    used = (registers[:, : BANDS * WIDTH].astype(U) + U(1)) * SALT
-    return mix64(used.reshape(len(registers), BANDS, WIDTH).sum(2, dtype=U) + np.arange(1, BANDS + 1, dtype=U) * FACTOR).view(np.int64)
+def band_shape(similarity: float) -> tuple[int, int]:
+    """Number and width of bands for a threshold."""
+    for width in range(16, 1, -1):
+        if (1 - similarity**width) ** (REGISTERS // width) <= MISS:
+            return REGISTERS // width, width
+    return REGISTERS, 1
+
+
+def band_keys(registers: np.ndarray, bands: int, width: int) -> np.ndarray:
+    used = (registers[:, : bands * width].astype(U) + U(1)) * SALT[: bands * width]
+    return mix64(used.reshape(len(registers), bands, width).sum(2, dtype=U) + np.arange(1, bands + 1, dtype=U) * FACTOR).view(np.int64)
 
 
 def _p(x: np.ndarray) -> np.ndarray:
@@ -257,9 +266,10 @@ def _edges(pairs: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["a", "b"])
 
 
-def sketched(docs: DataFrame, shingle: int) -> DataFrame:
+def sketched(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(id, n, h1, h2, registers, bands) of each document; two sums of its shingles' hashes stand for the set."""
     names = ["id", "n", "h1", "h2", "registers", "bands"]
+    count, width = band_shape(similarity)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
@@ -272,7 +282,7 @@ def sketched(docs: DataFrame, shingle: int) -> DataFrame:
             registers = sketches(sets, at)
             raw = np.ascontiguousarray(registers).tobytes()
             held = pa.Array.from_buffers(pa.binary(), len(registers), [None, pa.py_buffer((np.arange(len(registers) + 1) * 2 * REGISTERS).astype(np.int32)), pa.py_buffer(raw)])
-            bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * BANDS)]), pa.int32()), pa.array(band_keys(registers[full]).ravel()))
+            bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * count)]), pa.int32()), pa.array(band_keys(registers[full], count, width).ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), *sums, held, bands], names)
 
     return docs.mapInArrow(make, "id long, n long, h1 long, h2 long, registers binary, bands array<long>")
@@ -372,7 +382,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
     """(doc_id, n_shingles, component_id) of each document."""
     bound, loose = percent / 100, percent / 100 - LOOSE_BELOW
     base = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = written(sketched(base, shingle), "sketches")
+    rows = written(sketched(base, shingle, bound), "sketches")
     same = ["n", "h1", "h2"]
     classes = rows.where("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("id"))
     head = written(rows.select("id", "n", "h1", "h2", "bands").where("n > 0").join(classes, ["id", *same], "left_semi").dropDuplicates(["id"]).select("id", "n", "bands"), "bands")
