@@ -30,9 +30,9 @@ from tickspark.llm.common import slices
 
 WINDOW, END = 2048, 1
 #: Ids that a block holds at most before it is packed (unless one document has more).
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Lengths that are combined to triples, and words that a task remembers.
-FREQUENT, REMEMBERED = 64, 700_000
+FREQUENT, REMEMBERED = 64, 500_000
 #: Words whose ids are those of the lower-case letters, then those of the points.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
 
@@ -227,9 +227,12 @@ def place(sizes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.concatenate(rows)
 
 
-def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, start, length, ids, doc_tokens, sequence_id, offset) of each piece; sequence_id is unique over all tasks."""
-    names = [key, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+    """(key, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset) of each piece; sequence_id is unique over all tasks.
+
+    The checksum is that of the piece's ids as little-endian unsigned 32-bit numbers; with_ids=False leaves the ids out.
+    """
+    names = [key, "start", "length", *(["ids"] if with_ids else []), "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, keys, parts, sizes = Words.of(tokenizer), [], [], []
@@ -237,19 +240,22 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
 
         def packed() -> Iterator[pa.RecordBatch]:
             nonlocal first
-            flat, size = np.concatenate(parts), np.concatenate(sizes)
+            flat, size = np.concatenate(parts).astype("<u4"), np.concatenate(sizes)
             rows = place(size)
             begin = (np.cumsum(size) - size)[rows[:, 0]] + rows[:, 1]
-            every = pa.chunked_array(keys).combine_chunks()
-            for a in range(0, len(rows), 8192):
-                r, b = rows[a : a + 8192], begin[a : a + 8192]
-                upto = np.concatenate([[0], np.cumsum(r[:, 2])])
-                ids = flat[np.repeat(b - upto[:-1], r[:, 2]) + np.arange(upto[-1])]
-                yield pa.RecordBatch.from_arrays([every.take(pa.array(r[:, 0])), pa.array(r[:, 1]), pa.array(r[:, 2]), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids.astype(np.int32))), pa.array(size[r[:, 0]]), pa.array(first + r[:, 3]), pa.array(r[:, 4])], names)
+            every, raw = pa.chunked_array(keys).combine_chunks(), memoryview(flat).cast("B")
+            for a in range(0, len(rows), 512):
+                r, b = rows[a : a + 512], begin[a : a + 512]
+                crc = [zlib.crc32(raw[4 * x : 4 * (x + n)]) for x, n in zip(b.tolist(), r[:, 2].tolist(), strict=True)]
+                ids = []
+                if with_ids:
+                    upto = np.concatenate([[0], np.cumsum(r[:, 2])])
+                    ids = [pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(flat[np.repeat(b - upto[:-1], r[:, 2]) + np.arange(upto[-1])].astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays([every.take(pa.array(r[:, 0])), pa.array(r[:, 1]), pa.array(r[:, 2]), *ids, pa.array(crc, pa.int64()), pa.array(size[r[:, 0]]), pa.array(first + r[:, 3]), pa.array(r[:, 4])], names)
             first += int(rows[:, 3].max()) + 1
 
         held = 0
-        for batch in slices(batches, text, 4 << 20):
+        for batch in slices(batches, text, 1 << 20):
             flat, at = words.encode([x or "" for x in batch.column(1).to_pylist()])
             keys.append(batch.column(0))
             parts.append(flat)
@@ -261,19 +267,5 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
         if parts:
             yield from packed()
 
-    return docs.select(key, text).mapInArrow(blocks, f"{key} {dict(docs.dtypes)[key]}, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long")
-
-
-def piece_facts(pieces: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The pieces with ids_crc32 (of little-endian unsigned 32-bit ids) in place of the ids."""
-    names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(3)
-            at = lists.offsets.to_numpy() * 4
-            raw = memoryview(lists.values.to_numpy().astype("<u4").tobytes())
-            crc = [zlib.crc32(raw[a:b]) for a, b in zip(at, at[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(crc, pa.int64()), *batch.columns[4:]], names)
-
-    return pieces.select(key, "start", "length", "ids", "doc_tokens", "sequence_id", "offset").mapInArrow(digest, f"{key} {dict(pieces.dtypes)[key]}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    ids = "ids array<int>, " if with_ids else ""
+    return docs.select(key, text).mapInArrow(blocks, f"{key} {dict(docs.dtypes)[key]}, start long, length long, {ids}ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -51,7 +51,7 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack.piece_facts(pack.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
+    return pack.pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
 def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
