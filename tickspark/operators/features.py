@@ -71,7 +71,9 @@ def join_kline_context(bars: DataFrame, klines: DataFrame, chunked: bool = False
     The first kline of a symbol is one row, joined by symbol; the minutes join by (symbol, minute), so no symbol is one task there.
     """
     k = klines.select("symbol", F.col("open_time").alias("minute_ms"), F.struct("open", "high", "low", "close").alias("k"))
-    first = klines.groupBy("symbol").agg(F.min_by(F.struct("open", "high", "low", "close"), "open_time").alias("k0"))
+    prices = ("open", "high", "low", "close")
+    first = klines.groupBy("symbol").agg(*[F.min_by(c, "open_time").alias(f"{c}0") for c in prices])  # of numbers, so it stays a hash aggregate
+    first = first.select("symbol", F.struct(*[F.col(f"{c}0").alias(c) for c in prices]).alias("k0"))
     rows = bars.withColumn("minute_ms", F.floor(F.col("timestamp_s") / 60) * 60000).join(k, ["symbol", "minute_ms"], "left").join(first, "symbol", "left")
     return last_known(rows, "k", "kline", chunked, with_own=True).withColumn("kline", F.coalesce("kline", "k0")).drop("k", "k0", "minute_ms")
 
