@@ -37,7 +37,14 @@ def rows(df, columns):
 
 
 def test_every_query_has_sql():
-    assert set(catalogue.queries()) == set(catalogue.oracle_sql())
+    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"baseline_scores", "mlp_scores"}
+
+
+@pytest.mark.parametrize("name", ["baseline_scores", "mlp_scores"])
+def test_scores_are_probabilities(spark, name):
+    got = catalogue.queries()[name](spark, SF).toPandas()
+    p = got[["p_no_trade", "p_long", "p_short"]].to_numpy()
+    assert len(got) and (abs(p.sum(1) - 1) < 1e-9).all() and (p >= 0).all()
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))

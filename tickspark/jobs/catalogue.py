@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from tickspark.jobs.settings import COEFFICIENTS, END_MS, GRID, INTERCEPTS, LABE
 from tickspark.operators import backtest as B
 from tickspark.operators import bars, dataset, evaluate, features, labels, quality, scoring
 from tickspark.sources import adapters, files
+from tickspark.sources.scratch import scratch
+from tickspark.streaming.bars import stream_bars
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -109,6 +112,53 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def streamed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars of events read as a stream and written once complete; what the watermark hasn't passed stays out."""
+    schema = adapters.table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    out, state = scratch(spark, "stream"), scratch(spark, "stream-state")
+    query = stream_bars(adapters.trades_from_events(stream), 3600).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(out)
+
+
+def trades_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw trades written as CSV, read back and sanitized."""
+    path = scratch(spark, "csv")
+    raw(spark, sf_dir).drop("symbol").write.csv(path)
+    return files.sanitize_trades(files.read_trades_csv(spark, path, "all"))
+
+
+def trades_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades stored by symbol and day, with one symbol's days replaced, counted."""
+    path = scratch(spark, "daily")
+    files.write_daily(trades(spark, sf_dir), path)
+    files.write_daily(trades(spark, sf_dir).where("symbol = 'click' and agg_trade_id % 2 = 0"), path)
+    return spark.read.parquet(path).groupBy("symbol", F.col("day").cast("date").alias("day")).agg(F.count("*").alias("n"))
+
+
+def standardized_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = split_windows(spark, sf_dir)
+    return dataset.apply_standardizer(w, dataset.fit_standardizer(w.where("split = 'train'")))
+
+
+def baseline_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A logistic regression fitted on the training part, and its probabilities of every window."""
+    rows = standardized_splits(spark, sf_dir)
+    train = rows.where("split = 'train'")
+    return scoring.score_baseline(scoring.fit_baseline(train, dataset.class_weights(train), 10), rows).drop("x")
+
+
+def mlp_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of every window by an MLP with seeded weights, in place of exported ones."""
+    rng = np.random.default_rng(5)
+    layer = lambda i, a, b: {f"w{i}": rng.normal(size=(b, a)) / np.sqrt(a), f"b{i}": np.zeros(b)}
+    norm = lambda i, b: {f"g{i}": np.ones(b), f"s{i}": np.zeros(b)}
+    weights = layer("0a", 12, 16) | norm("0a", 16) | layer("0b", 16, 16) | norm("0b", 16) | layer("1a", 16, 16) | norm("1a", 16) | layer("1b", 16, 16) | norm("1b", 16)
+    weights |= {f"h{k}": v for k, v in (layer("1", 16, 8) | layer("2", 8, 3)).items()}
+    return scoring.score_mlp(standardized_splits(spark, sf_dir), weights).drop("x")
+
+
 DAY = S.DAY_MS
 QUERIES: dict[str, Query] = {
     "trades_sanitized": lambda s, d: files.sanitize_trades(raw(s, d)),
@@ -138,7 +188,7 @@ QUERIES: dict[str, Query] = {
     "lookback_windows": lambda s, d: spread_x(windows(s, d)),
     "time_split": lambda s, d: split_windows(s, d).select("symbol", "timestamp_ms", "label", "split"),
     "standardizer": q(lambda s, d: dataset.fit_standardizer(split_windows(s, d).where("split = 'train'")), 4),
-    "standardized": lambda s, d: spread_x((lambda w: dataset.apply_standardizer(w, dataset.fit_standardizer(w.where("split = 'train'"))))(split_windows(s, d))),
+    "standardized": lambda s, d: spread_x(standardized_splits(s, d)),
     "class_weights": q(lambda s, d: dataset.class_weights(split_windows(s, d).where("split = 'train'"))),
     "softmax_scores": q(lambda s, d: scored(s, d).withColumn("argmax", scoring.argmax_pred()).select("symbol", "timestamp_ms", "argmax", "p_no_trade", "p_long", "p_short")),
     "log_loss": q(lambda s, d: (lambda r: evaluate.weighted_log_loss(r, dataset.class_weights(r), "symbol"))(scored(s, d))),
@@ -156,6 +206,11 @@ QUERIES: dict[str, Query] = {
     "catalog_lookup": lambda s, d: quality.catalog_lookup(manifests(s, d).withColumns({c: F.col(c).cast("string") for c in ("created_at", "start_date", "end_date")}), "1995-01-01", "1995-06-30"),
     "quality_checks": q(lambda s, d: quality.quality_checks(label_table(s, d))),
     "prune_by_stamp": lambda s, d: files.prune_by_stamp(file_names(s, d), START_MS + 3 * DAY, START_MS + 5 * DAY),
+    "stream_bars": q(streamed_bars),
+    "trades_by_file": trades_by_file,
+    "trades_by_day": trades_by_day,
+    "baseline_scores": baseline_scores,
+    "mlp_scores": mlp_scores,
     "consolidate_days": lambda s, d: files.consolidate_days(trades(s, d).withColumn("day", S.day_of(F.col("timestamp"))), skipped_days(s, d), START_MS + 2 * DAY + 5, START_MS + 9 * DAY),
 }
 

@@ -237,6 +237,11 @@ FINAL: dict[str, str] = {
         UNION ALL SELECT symbol, 'finite_close', o = 0, o::DOUBLE FROM q UNION ALL SELECT symbol, 'label_share', (l + s) * 20 >= n, round((l + s) / n, 6) FROM q""",
     "prune_by_stamp": f"""SELECT path FROM (SELECT CASE WHEN event_id % 70 = 0 THEN 'data/' || event_type || '.csv' ELSE 'data/' || event_type || '_' || strftime(ts, '%Y%m%d_%H%M%S') || '__' || strftime(ts + INTERVAL 2 DAY, '%Y%m%d_%H%M%S') || '.csv' END AS path,
         event_id % 70 = 0 AS plain, date_trunc('second', ts) AS a, date_trunc('second', ts + INTERVAL 2 DAY) AS b FROM events WHERE event_id % 10 = 0) WHERE plain OR (epoch_ms(a) < {START_MS + 5 * DAY} AND {START_MS + 3 * DAY} < epoch_ms(b))""",
+    "stream_bars": f"SELECT symbol, hour_s AS timestamp_s, trade_count, {r(OHLC + ' ' + AMOUNTS)} FROM (SELECT symbol, second_s // 3600 * 3600 AS hour_s, min_by(open, second_s) AS open, max(high) AS high, min(low) AS low, max_by(close, second_s) AS close, sum(trade_count)::BIGINT AS trade_count, "
+    + ", ".join(f"sum({c}) AS {c}" for c in AMOUNTS.split()[:-1])
+    + ", max(max_trade_size) AS max_trade_size FROM seconds GROUP BY ALL) WHERE (hour_s + 3600) * 1000 <= (SELECT max(timestamp) FROM trades) - 600000",
+    "trades_by_file": "SELECT 'all' AS symbol, * EXCLUDE (symbol) FROM clean",
+    "trades_by_day": f"SELECT symbol, {day('timestamp')} AS day, count(*) AS n FROM (SELECT *, count(*) FILTER (symbol = 'click' AND agg_trade_id % 2 = 0) OVER (PARTITION BY symbol, {day('timestamp')}) AS again FROM trades) WHERE again = 0 OR agg_trade_id % 2 = 0 GROUP BY ALL",
     "consolidate_days": f"SELECT t.*, {day('timestamp')} AS day FROM trades t WHERE {day('timestamp')} BETWEEN DATE '2024-01-03' AND DATE '2024-01-09' AND (symbol, {day('timestamp')}) NOT IN (SELECT (symbol, {day('timestamp')}) FROM trades WHERE agg_trade_id % 211 = 0)",
 }
 
