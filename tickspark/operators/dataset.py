@@ -71,10 +71,9 @@ def fit_standardizer(train: DataFrame) -> DataFrame:
 
 
 def apply_standardizer(df: DataFrame, stats: DataFrame) -> DataFrame:
-    """df with x standardized as floats. stats has one row for each place, so its arrays are one small row."""
+    """df with x standardized as floats. stats has one row for each place, so its arrays are one small value."""
     packed = stats.agg(F.array_sort(F.collect_list(F.struct("position", "mean", "std"))).alias("s"))
-    rows = df.crossJoin(F.broadcast(packed))
-    return rows.withColumn("x", F.zip_with("x", "s", lambda v, s: ((v.cast("double") - s["mean"].cast("float").cast("double")) / s["std"].cast("float").cast("double")).cast("float"))).drop("s")
+    return df.withColumn("s", packed.scalar()).withColumn("x", F.zip_with("x", "s", lambda v, s: ((v.cast("double") - s["mean"].cast("float").cast("double")) / s["std"].cast("float").cast("double")).cast("float"))).drop("s")
 
 
 def class_weights(train: DataFrame) -> DataFrame:
