@@ -133,6 +133,8 @@ def test_mixing(spark, clashing, empty):
     assert mixed.columns == clashing.columns and mixed.where("rank = 'own rank' and size = 'own size'").count() == mixed.count()
     assert Counter(r.doc_id for r in mixed.collect()) == Counter({i: r.copies for i, r in plan.items() if r.copies})
     assert mix.mix_sources(empty).count() == 0
+    twice = mix.mix_plan(clashing.union(clashing)).collect()
+    assert len(twice) == len(plan) and all(r.rows == 2 for r in twice)
     many = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), (F.col("id") % 37 + 1).cast("int")), lambda x: x.cast("string"))).alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 7).cast("string"))).alias("source"))
     sums = mix.mix_plan(many).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect()
     assert all(abs(r.taken - r.target) < 0.03 * r.target for r in sums)

@@ -8,7 +8,7 @@ document's copy still is a Bernoulli draw of that probability, but the words tha
 its target even where few documents hold many of them.
 
 Null or empty texts have size 0, weigh nothing and are emitted like others; a null source is a source of
-its own, last in order. Ties and repeated rows get draws of their own place in a stratum. Empty tables
+its own, last in order. Ties get draws of their own; repeated rows share one. Empty tables
 give empty results. Columns that clash with the ones added here are replaced.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickspark.llm.common import least_md5_unit
+from tickspark.llm.common import least_md5_unit, written
 
 #: What parts words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -52,35 +52,36 @@ def source_targets(sized: DataFrame, weights: Sequence[int] = (5, 2, 1), most: i
     return per.select("source", "source_size", "source_rows", F.when(F.col("full"), F.col("limit").cast("double")).otherwise(F.col("weight") * level).alias("target"))
 
 
-def mix_plan(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed: str = "mix", stratum: int = 64, keep: Sequence[str] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (and the columns in keep) of every document.
+#: Sources up to which their table (a name and two numbers each) is broadcast; beyond, it is joined by shuffle.
+MOST_BROADCAST = 20_000
+KEY = ("doc_id", "source", "text_hash")
 
-    Sources are few next to documents; should their table be small, Spark broadcasts it by its own measure,
-    and else joins it by shuffle, where a hot source's partition is split. Strata have about `stratum`
-    documents, so no window meets a whole source.
+
+def mix_plan(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed: str = "mix", stratum: int = 64) -> DataFrame:
+    """doc_id, source, text_hash, size, source_size, target, copies and rows of each distinct document; equal rows (their number is in rows) share a draw.
+
+    Only these few columns are shuffled, never texts. Strata have about `stratum` documents, so no window meets a
+    whole source.
     """
-    sized = docs.select("doc_id", "source", *keep, words().alias("size"))
-    per = source_targets(docs.select("source", words().alias("size")), weights, most).withColumnRenamed("source", "of_source")
-    unit = least_md5_unit("doc_id", "seed")
-    rows = sized.join(per, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source").withColumn("seed", F.lit(seed)).withColumn("unit", unit).drop("seed")
+    per = written(source_targets(docs.select("source", words().alias("size")), weights, most).withColumnRenamed("source", "of_source"), "targets")
+    per = F.broadcast(per) if per.count() <= MOST_BROADCAST else per
+    rows = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), words().alias("size")).groupBy(*KEY, "size").agg(F.count("*").alias("rows"))
+    rows = rows.join(per, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source").withColumn("seed", F.lit(seed))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
-    rows = rows.withColumn("rate", rate).withColumn("part", rate - F.floor(rate))
-    strata = F.ceil(F.col("source_rows") / F.lit(float(stratum)))
-    rows = rows.withColumn("stratum", F.floor(F.col("unit") * strata).cast("long"))
-    inside = W.partitionBy("source", "stratum")
-    rank = F.row_number().over(inside.orderBy("size", "unit", "doc_id")).cast("double")
-    rows = rows.withColumn("rank", rank)
-    start = least_md5_unit("source", "stratum", "seed")
-    rows = rows.withColumn("seed", F.lit(seed)).withColumn("start", start)
+    rows = rows.withColumn("rate", rate).withColumn("part", rate - F.floor(rate)).withColumn("unit", least_md5_unit("doc_id", "seed"))
+    rows = rows.withColumn("stratum", F.floor(F.col("unit") * F.ceil(F.col("source_rows") / F.lit(float(stratum)))).cast("long"))
+    inside = W.partitionBy("source", "stratum").orderBy("size", "unit", "doc_id", "text_hash")
+    rows = rows.withColumn("rank", F.row_number().over(inside).cast("double")).withColumn("start", least_md5_unit("source", "stratum", "seed"))
     upto = lambda r: F.floor(F.col("start") + r * F.col("part"))
     extra = upto(F.col("rank")) - upto(F.col("rank") - 1)
-    return rows.select("doc_id", "source", *keep, "size", "source_size", "target", (F.floor(F.col("rate")) + extra).cast("long").alias("copies"))
+    return rows.select(*KEY, "size", "source_size", "target", (F.floor(F.col("rate")) + extra).cast("long").alias("copies"), "rows")
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed: str = "mix") -> DataFrame:
-    """The mixed documents with the columns of docs: each row as often as mix_plan() has it."""
+    """The mixed documents with the columns of docs: each row as often as mix_plan() has it. Texts are shuffled once, by document."""
+    plan = mix_plan(docs, weights, most, seed).where("copies > 0").select(*[F.col(c).alias(f"plan_{c}") for c in (*KEY, "copies")])
     own = {f"own_{i}": c for i, c in enumerate(docs.columns)}
-    inner = docs.select("doc_id", "source", "text", *[F.col(f"`{c}`").alias(new) for new, c in own.items()])
-    plan = mix_plan(inner, weights, most, seed, keep=list(own))
-    out = plan.where("copies > 0").withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
+    rows = docs.select(*[F.col(f"`{c}`").alias(new) for new, c in own.items()], *[F.col(c).alias(f"key_{c}") for c in KEY[:2]], F.xxhash64("text").alias("key_text_hash"))
+    same = [F.col(f"key_{c}").eqNullSafe(F.col(f"plan_{c}")) for c in KEY]
+    out = rows.join(plan, same[0] & same[1] & same[2]).withColumn("copy", F.explode(F.expr("sequence(1L, plan_copies)")))
     return out.select(*[F.col(new).alias(c) for new, c in own.items()])

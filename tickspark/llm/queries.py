@@ -31,7 +31,7 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mix.mix_plan(table(spark, sf_dir, "documents"))
+    plan = mix.mix_plan(table(spark, sf_dir, "documents")).withColumn("row", F.explode(F.expr("sequence(1L, rows)")))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
