@@ -95,7 +95,7 @@ def q(f: Query, digits: int = 6) -> Query:
 
 
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of files, stamped and not, one for each thousandth event."""
+    """Names of files, one for each tenth event: stamped ones, and one in seven without a stamp."""
     at = F.col("ts").cast("timestamp")
     stamp = lambda t: F.date_format(t, "yyyyMMdd_HHmmss")
     name = F.concat(F.lit("data/"), "event_type", F.lit("_"), stamp(at), F.lit("__"), stamp(at + F.expr("interval 2 days")), F.lit(".csv"))
