@@ -277,6 +277,27 @@ def test_templates_learn_from_labels(spark):
     assert {r.template for r in got} == {"/bad/*", "/good/*"}
 
 
+def test_templates_have_all_levels(spark):
+    kinds = ("spam", "docs")
+    rows = [(2 * i + k, f"http://h.test/en/blog/x/{kinds[k]}/{i}/read/") for i in range(100) for k in (0, 1)] + [(900, "http://h.test/en/blog/"), (901, "http://h.test/en/blog")]
+    rules = [("h.test", f"/en/blog/x/{w}/{i}/", v) for i in range(30) for w, v in zip(kinds, ("block", "allow"), strict=True)]
+    got = urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.page_id < 900:
+            assert r.template == f"/en/blog/x/{kinds[r.page_id % 2]}/*/read" and r.verdict == ("allow" if r.page_id % 2 else "block")
+    assert {r.template for r in got if r.page_id >= 900} == {"/en/blog"}
+
+
+def test_a_wide_branch_keeps_frequent_and_different_values(spark):
+    word = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    rows = [(i, f"http://h.test/{'news' if i % 2 else 'w' + word(i)}/{i}") for i in range(1000)] + [(2000 + i, f"http://h.test/spam/{i}") for i in range(8)]
+    rules = [("h.test", f"/spam/{i}", "block") for i in range(6)] + [("h.test", f"/news/{i}", "allow") for i in range(1, 100, 2)]
+    got = {r.page_id: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert {got[i].template for i in range(1, 1000, 2)} == {"/news/*"} and {got[i].template for i in range(0, 1000, 2)} == {"/*/*"}
+    assert (got[2007].template, got[2007].rule, got[2007].verdict) == ("/spam/*", None, "block") and got[0].verdict == got[999].verdict == "allow"
+
+
 # --- packing
 
 

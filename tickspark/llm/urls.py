@@ -2,10 +2,12 @@
 
 Explicit rules (a host and a path prefix, with a verdict) come first; the longest that fits wins. Urls that
 a rule judges are the labelled ones from which the tree learns about the rest. Per host, the tree's levels
-are the path's first segments. A segment is variable, and becomes `*`, if it holds a digit or if its
-branch has more than `branches` values. Sibling branches whose labelled share of blocked urls doesn't
-differ, by a z-test, from that of all siblings together are merged, and share counts. A template's purity
-is its share of blocked urls, smoothed towards that of its parent, the host's towards that of its parent
+are all segments of the path, two at least; slashes at the end add no level. A segment is variable, and
+becomes `*`, if it holds a digit, or if it has less than the share `rare` of its branch's urls and its
+labelled share of blocked urls doesn't differ, by a z-test, from its branch's. What decides is a segment's
+share alone, so a branch may have any number of values. Sibling branches whose labelled share of blocked urls doesn't
+differ, by the same test, from that of all siblings together are merged, and share counts. A template's purity
+is the share of blocked urls at or below it, smoothed towards that of its parent, the host's towards that of its parent
 domain (the host without its first label), and that towards the share of all labelled urls. Templates of at least `reject` purity are blocked.
 
 Null urls and urls without :// have an empty host and path, fit no rule and belong to the template of no
@@ -13,7 +15,8 @@ host. Repeated urls count repeatedly. Empty tables give empty results, and witho
 everything is allowed. Only the url and the key are read.
 
 All aggregates are keyed by host and template and combine before the shuffle, so a host with a third of all
-rows costs one row a task. The table of templates joins the urls as Spark sees fit: it is broadcast if
+rows costs one row a task. A segment's template depends on those before it, so levels from the third on are a pass
+each over the urls that are as deep. The table of templates joins the urls as Spark sees fit: it is broadcast if
 small, else a hot host's partition is split by adaptive execution.
 """
 
@@ -26,7 +29,9 @@ from pyspark.sql import functions as F
 
 from tickspark.llm.common import written
 
-BRANCHES, WEIGHT, REJECT, Z = 16, 4.0, 0.5, 1.96
+RARE, WEIGHT, REJECT, Z = 0.01, 4.0, 0.5, 1.96
+#: Levels of any path; a shorter one is filled with empty segments.
+LEVELS = 2
 #: Host, path and verdict of each rule.
 Rule = tuple[str, str, str]
 
@@ -54,59 +59,90 @@ def counted(urls: DataFrame, *keys: str) -> DataFrame:
     return urls.groupBy(*keys).agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
 
 
-def generalised(urls: DataFrame, parent: Sequence[str], segment: str, template: str, branches: int) -> DataFrame:
-    """urls with `template`: the segment itself, or * if it holds a digit or its branch has too many values."""
-    fixed = ~F.col(segment).rlike("[0-9]")
-    width = urls.where(fixed).groupBy(*parent, segment).agg(F.lit(1).alias("one")).groupBy(*parent).agg(F.count("*").alias("width"))
-    return urls.join(width, list(parent), "left").withColumn(template, F.when(~fixed | (F.col("width") > branches), F.lit("*")).otherwise(F.col(segment))).drop("width")
+def segments(path: str) -> Column:
+    """The path's segments without empty ones at its end, LEVELS at least."""
+    parts = F.split(F.expr(f"trim(TRAILING '/' FROM {path})"), "/")
+    parts = F.slice(parts, F.lit(2), F.size(parts) - 1)
+    return F.concat(parts, F.array_repeat(F.lit(""), F.greatest(F.lit(0), F.lit(LEVELS) - F.size(parts))))
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[Rule], key: str = "page_id", url: str = "url", branches: int = BRANCHES, weight: float = WEIGHT, reject: float = REJECT, z: float = Z) -> DataFrame:
+def generalised(urls: DataFrame, level: int, rare: float, z: float) -> DataFrame:
+    """urls with its template longer by the segment of this level: itself, or * if it holds a digit, or is rare and like its branch."""
+    part = F.element_at("parts", level)
+    urls = urls.withColumn("segment", F.when(part.rlike("[0-9]"), F.lit("*")).otherwise(part))
+    branch = ["host", "template"]
+    values = urls.groupBy(*branch, "segment").agg(F.count("*").alias("size"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    joint = values.groupBy(*branch).agg(F.sum("size").alias("size_all"), F.sum("labelled").cast("double").alias("n_all"), F.sum("bad").cast("double").alias("b_all"))
+    own = values.join(joint, branch).where((F.col("size") >= F.lit(rare) * F.col("size_all")) | differs(z)).select(*branch, "segment", F.col("segment").alias("own"))
+    return urls.join(own, [*branch, "segment"], "left").withColumn("template", F.concat("template", F.lit("/"), F.coalesce("own", F.lit("*")))).drop("segment", "own")
+
+
+def templated(rows: DataFrame, rare: float, z: float) -> DataFrame:
+    """rows with the template of their whole path."""
+    rows = rows.withColumn("template", F.lit(""))
+    for level in range(1, LEVELS + 1):
+        rows = generalised(rows, level, rare, z)
+    # the tree looks at the rows and its leaves again and again, so both are written: plans stay small
+    rows = written(rows, "urls")
+    depth = F.size("parts")
+    done, deepest = rows, rows.agg(F.max(depth)).first()[0] or 0
+    if deepest > LEVELS:
+        done = rows.where(depth <= LEVELS)
+        for level in range(LEVELS + 1, deepest + 1):
+            rows = written(generalised(rows.where(depth >= level), level, rare, z), "urls")
+            done = done.unionByName(rows.where(depth == level))
+    return done
+
+
+def judge_urls(pages: DataFrame, rules: Sequence[Rule], key: str = "page_id", url: str = "url", rare: float = RARE, weight: float = WEIGHT, reject: float = REJECT, z: float = Z) -> DataFrame:
     """(key, host, path, rule, verdict, template, purity) of each row; purity is null where no label is known at all."""
     host, path = host_and_path(url)
     rows = pages.select(F.col(key), host.alias("host"), path.alias("path")).withColumn("found", fitting_rule(rules))
     rows = rows.withColumns({"labelled": F.when(F.col("found").isNotNull(), F.lit(1)).otherwise(0), "bad": F.when(F.col("found.verdict") == "block", F.lit(1)).otherwise(0)})
-    part = F.split("path", "/")
-    rows = rows.withColumns({"domain": F.regexp_extract("host", r"^[^.]*\.(.*)$", 1), "s1": F.coalesce(F.try_element_at(part, F.lit(2)), F.lit("")), "s2": F.coalesce(F.try_element_at(part, F.lit(3)), F.lit(""))})
-    rows = generalised(rows, ["host"], "s1", "t1", branches)
-    # the tree looks at the rows and its leaves again and again, so both are written: plans stay small
-    rows = written(generalised(rows, ["host", "t1"], "s2", "t2", branches), "urls")
-    leaves = written(counted(rows, "domain", "host", "t1", "t2"), "leaves")
-    level2 = merged(leaves, ["domain", "host", "t1"], "t2", z)
-    level1 = merged(counted(level2, "domain", "host", "t1"), ["domain", "host"], "t1", z)
-    hosts = counted(level1, "domain", "host")
+    rows = rows.withColumns({"domain": F.regexp_extract("host", r"^[^.]*\.(.*)$", 1), "parts": segments("path")})
+    rows = templated(rows, rare, z)
+    leaves = written(counted(rows, "domain", "host", "template"), "leaves")
+    # a leaf counts in each of the tree's nodes on its path; a node is its parent's template and its own segment
+    part = F.split("template", "/")
+    steps = leaves.select("*", F.posexplode(F.slice(part, F.lit(2), F.size(part) - 1)).alias("level", "branch"))
+    steps = steps.withColumn("parent", F.array_join(F.slice(part, F.lit(1), F.col("level") + 1), "/"))
+    nodes = merged(counted(steps, "domain", "host", "level", "parent", "branch"), ["domain", "host", "level", "parent"], "branch", z)
+    hosts = counted(leaves, "domain", "host")
     domains = counted(hosts, "domain")
     every = domains.agg(F.sum("labelled").alias("n0"), F.sum("bad").alias("b0"))
 
-    def smooth(bad: str, n: str, above: str) -> Column:
-        return (F.col(bad) + F.lit(weight) * F.col(above)) / (F.col(n) + F.lit(weight))
+    def smooth(bad: Column, n: Column, above: Column) -> Column:
+        return (bad + F.lit(weight) * above) / (n + F.lit(weight))
 
-    tree = level2.select("domain", "host", "t1", "t2", F.col("pooled_bad").alias("b4"), F.col("pooled_labelled").alias("n4"))
-    tree = tree.join(level1.select("host", "t1", F.col("pooled_bad").alias("b3"), F.col("pooled_labelled").alias("n3")), ["host", "t1"])
+    tree = steps.select("host", "template", "level", "parent", "branch").join(nodes, ["host", "level", "parent", "branch"])
+    tree = tree.groupBy("domain", "host", "template").agg(F.array_sort(F.collect_list(F.struct("level", F.col("pooled_bad").cast("double").alias("b"), F.col("pooled_labelled").cast("double").alias("n")))).alias("way"))
     tree = tree.join(hosts.select("host", F.col("bad").alias("b2"), F.col("labelled").alias("n2")), ["host"])
     tree = tree.join(domains.select("domain", F.col("bad").alias("b1"), F.col("labelled").alias("n1")), ["domain"])
     tree = tree.crossJoin(F.broadcast(every))  # one row
-    tree = tree.withColumn("p0", F.when(F.col("n0") > 0, F.col("b0") / F.col("n0")))
-    for i in range(1, 5):
-        tree = tree.withColumn(f"p{i}", smooth(f"b{i}", f"n{i}", f"p{i - 1}"))
-    tree = tree.select("host", "t1", "t2", F.col("p4").alias("purity"))
-    out = rows.join(tree, ["host", "t1", "t2"])
+    tree = tree.withColumn("purity", F.when(F.col("n0") > 0, F.col("b0") / F.col("n0")))
+    for i in (1, 2):
+        tree = tree.withColumn("purity", smooth(F.col(f"b{i}"), F.col(f"n{i}"), F.col("purity")))
+    tree = tree.select("host", "template", F.aggregate("way", F.col("purity"), lambda above, x: smooth(x["b"], x["n"], above)).alias("purity"))
+    out = rows.join(tree, ["host", "template"])
     verdict = F.when(F.col("found").isNotNull(), F.col("found.verdict")).when(F.col("purity") >= reject, F.lit("block")).otherwise(F.lit("allow"))
-    return out.select(key, "host", "path", F.col("found.name").alias("rule"), verdict.alias("verdict"), F.concat(F.lit("/"), "t1", F.lit("/"), "t2").alias("template"), F.round("purity", 6).alias("purity"))
+    return out.select(key, "host", "path", F.col("found.name").alias("rule"), verdict.alias("verdict"), "template", F.round("purity", 6).alias("purity"))
 
 
-def merged(counts: DataFrame, parent: Sequence[str], branch: str, z: float) -> DataFrame:
-    """counts with pooled_labelled and pooled_bad: those of all merged siblings, or of the branch if it stands alone.
+def differs(z: float) -> Column:
+    """Whether a branch's labelled share of bad ones differs from its siblings' joint one, p.
 
-    With p the siblings' joint share of bad ones, a branch with n labelled urls and b bad ones stands alone if
-    (b - n p)^2 > z^2 n p (1 - p).
+    With n labelled urls and b bad ones it does if (b - n p)^2 > z^2 n p (1 - p).
     """
-    joint = counts.groupBy(*parent).agg(F.sum("labelled").cast("double").alias("n_all"), F.sum("bad").cast("double").alias("b_all"))
-    rows = counts.join(joint, list(parent))
     n, b, na, ba = (F.col(c) for c in ("labelled", "bad", "n_all", "b_all"))
     # both sides times n_all squared, so that no division is needed
-    alone = (b * na - n * ba) * (b * na - n * ba) > F.lit(z * z) * n * ba * (na - ba)
-    rows = rows.withColumn("alone", alone)
+    return (b * na - n * ba) * (b * na - n * ba) > F.lit(z * z) * n * ba * (na - ba)
+
+
+def merged(counts: DataFrame, parent: Sequence[str], branch: str, z: float) -> DataFrame:
+    """counts with pooled_labelled and pooled_bad: those of all merged siblings, or of the branch if it stands alone, being different."""
+    joint = counts.groupBy(*parent).agg(F.sum("labelled").cast("double").alias("n_all"), F.sum("bad").cast("double").alias("b_all"))
+    rows = counts.join(joint, list(parent)).withColumn("alone", differs(z))
+    n, b = F.col("labelled"), F.col("bad")
     pool = rows.where(~F.col("alone")).groupBy(*parent).agg(F.sum("labelled").alias("n_pool"), F.sum("bad").alias("b_pool"))
     rows = rows.join(pool, list(parent), "left")
     return rows.select(*parent, branch, "labelled", "bad", F.when(F.col("alone"), n).otherwise(F.col("n_pool")).alias("pooled_labelled"), F.when(F.col("alone"), b).otherwise(F.col("b_pool")).alias("pooled_bad"))
