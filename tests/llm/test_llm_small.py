@@ -233,6 +233,15 @@ def test_near_duplicates_of_nothing(spark, empty):
     assert neardup.keep_one(spark.createDataFrame(odd_docs(), DOC)).where("doc_id in (4, 5)").count() == 1
 
 
+def test_keep_one_of_null_and_repeated_ids(spark):
+    rng = random.Random(8)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    rows = [(None, a), (None, b), (None, b), (None, c), (None, ""), (None, None), (1, c), (2, d), (2, d), (2, d), (3, ""), (3, ""), (5, "one"), (4, "one")]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOC).repartition(3)
+    kept = Counter((r.doc_id, r.text) for r in neardup.keep_one(df.withColumns({c: F.lit(c) for c in CLASH})).collect())
+    assert kept == Counter([(None, a), (None, b), (None, ""), (None, None), (1, c), (2, d), (3, ""), (4, "one")])
+
+
 def test_sketches():
     rng = np.random.default_rng(3)
     pool = np.unique(rng.integers(0, 2**64, 1200, dtype=np.uint64))

@@ -42,6 +42,8 @@ BLOCK = 256
 LOOSE_BELOW = 0.10
 #: Classes and shingles of a block of a cell.
 CELL_BLOCK, CELL_SHINGLES = 512, 1_000_000
+#: Column of keep_one's row key.
+ROW = "neardup_row_key"
 
 U = np.uint64
 SPACE = np.zeros(256, bool)
@@ -405,6 +407,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: s
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of docs that are the smallest of their component, with all their columns."""
-    heads = near_duplicates(docs, shingle, percent).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(heads, "doc_id", "left_semi")
+    """One row of each component of docs, that of the smallest doc_id, with all its columns.
+
+    Rows are compared under a key of their own, so null ids and repeated ones are like any others: a row with a
+    null id goes only if a kept one is its copy. Rows without words link with nothing and stay, one for each id.
+    """
+    rows = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows, shingle, percent, key=ROW).join(rows.select(ROW, "doc_id"), ROW)
+    blank = F.col("n_shingles") == 0
+    one = [F.when(~blank, F.col("component_id")), F.when(blank, F.col("doc_id")), F.when(blank & F.col("doc_id").isNull(), F.col(ROW))]
+    heads = found.groupBy(*[c.alias(f"g{i}") for i, c in enumerate(one)]).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("least")).select(F.col(f"least.{ROW}").alias(ROW))
+    return rows.join(heads, ROW, "left_semi").drop(ROW)
