@@ -27,6 +27,24 @@ def test_native_url_plan(spark):
     assert "Python" not in plan and "Arrow" not in plan and "html" not in plan.split("Physical Plan")[-1]
 
 
+def test_language_stage_rejects_unlearnt_latin_texts(spark):
+    import base64
+    import random
+
+    from tickspark.llm import language
+    from tickspark.llm.common import table
+
+    rng = random.Random(4)
+    docs = table(spark, SF, "documents")
+    bad = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz" + gap) for _ in range(n)) for n in (40, 3000) for gap in ("", "    ")] + [base64.b64encode(rng.randbytes(n)).decode() for n in (60, 3000)]
+    bad += ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä."]
+    bad += ["Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek, ésszel és lelkiismerettel bírván, egymással szemben testvéri szellemben kell hogy viseltessenek."]
+    good = ["word", "Hello", "x", "Straße", "two words"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(bad + good)], "doc_id long, text string")
+    kept = language.explained(rows, language.labelled_sample(docs.where(language.learnable())))
+    assert {r.text for r in kept.collect()} == set(good)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
     from tickspark.llm import neardup, pii

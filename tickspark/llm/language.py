@@ -29,8 +29,11 @@ SAMPLE_DOCS, PASSAGE, SYMBOLS = 200, 2000, 40_000
 #: Letters with symbols of their own; rarer ones share one that no sample holds.
 LETTERS = 250
 WINDOW = 512
-#: Bits a symbol above which no learnt language explains a text; random places in a sample take about 15, prose about 2.
+#: Bits a symbol above which no learnt language explains a text, whatever the sample: uniformly random Latin letters
+#: take about 11, symbols that no sample has 13 to 15, prose 2 to 4. `limits` gives the lower bound of each language.
 UNEXPLAINED = 12.0
+#: Held-back pieces: characters of each, quantile of their bits, its headroom; phrases that any text may take besides.
+PIECE, QUANTILE, HEADROOM, SPARE = 500, 0.99, 1.25, 2
 
 
 def learnable(key: str = "doc_id", lang: str = "lang") -> Column:
@@ -196,6 +199,35 @@ class Languages:
         none = letters == 0
         return ["und" if n else self.names[b] for b, n in zip(best, none, strict=True)], np.where(none, 0.0, score), np.where(none, 0.0, least / np.maximum(sizes, 1))
 
+    def explains(self, texts: list[str], most_bits: dict[str, float]) -> np.ndarray:
+        """Which texts have letters and take at most most_bits a symbol, and SPARE phrases besides, in their language."""
+        bits, letters, sizes = self.code_lengths(texts)
+        if not self.names:
+            return np.zeros(len(texts), bool)
+        best = bits.argmin(1)
+        most = np.array([most_bits.get(n, UNEXPLAINED) for n in self.names])[best]
+        return (letters > 0) & (bits[np.arange(len(texts)), best] <= most * sizes + SPARE * np.array(self.bits)[best])
+
+
+def limits(sample: dict[str, list[str]]) -> dict[str, float]:
+    """Most bits a symbol of each language's texts, from passages that are held back and parsed with the others.
+
+    It is what nearly all pieces exceed once their letters are shuffled; where that is near what nearly all of
+    them take as they are, the latter with HEADROOM. It is UNEXPLAINED at most, also for languages of one passage.
+    """
+    model, out = Languages({k: v[::2] for k, v in sample.items()}), {}
+    for name, passages in sample.items():
+        text = " ".join(passages[1::2])
+        pieces = [text[i : i + PIECE] for i in range(0, len(text), PIECE)]
+        pieces = [p for p in pieces if any(map(str.isalpha, p))]
+        rng = np.random.default_rng(len(pieces))
+        mixed = ["".join(np.array(list(p))[rng.permutation(len(p))]) for p in pieces]
+        if pieces:
+            own = float(np.quantile(model.predict(pieces)[2], QUANTILE))
+            other = float(np.quantile(model.predict(mixed)[2], 1 - QUANTILE))
+            out[name] = min(UNEXPLAINED, max(HEADROOM * own, other))
+    return out
+
 
 def identify(docs: DataFrame, sample: dict[str, list[str]], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score, bits) of every whole text; bits are per symbol, and near those of a random place where no language fits."""
@@ -209,14 +241,13 @@ def identify(docs: DataFrame, sample: dict[str, list[str]], key: str = "doc_id",
     return docs.select(key, text).mapInArrow(predict, f"{key} {dict(docs.dtypes)[key]}, lang_pred string, score double, bits double")
 
 
-def explained(docs: DataFrame, sample: dict[str, list[str]], text: str = "text", most_bits: float = UNEXPLAINED) -> DataFrame:
-    """The rows of docs, with all columns, whose text has letters and takes at most most_bits a symbol in its language."""
-    place = docs.columns.index(text)
+def explained(docs: DataFrame, sample: dict[str, list[str]], text: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, whose text has letters and takes no more bits than `limits` allows in its language."""
+    place, most_bits = docs.columns.index(text), limits(sample)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Languages.of(sample)
         for batch in slices(batches, text, 1 << 20):
-            names, _, bits = model.predict([x or "" for x in batch.column(place).to_pylist()])
-            yield batch.filter(pa.array((np.array(names) != "und") & (bits <= most_bits)))
+            yield batch.filter(pa.array(model.explains([x or "" for x in batch.column(place).to_pylist()], most_bits)))
 
     return docs.mapInArrow(keep, docs.schema)
