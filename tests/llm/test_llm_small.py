@@ -1,6 +1,7 @@
 """Operators on small inputs with odd rows, against brute force or exact round trips."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -253,6 +254,17 @@ def test_sketches():
     assert abs(neardup.estimate(s[0], s[1], len(a), len(b)) - true) < 0.08
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.85])
+def test_likelihood_gate_misses_less_than_bands(similarity):
+    p = lambda j: float(neardup._p(np.array(0.5 - 0.5 * j)))
+    d = (p(similarity + 1e-5) - p(similarity - 1e-5)) / 2e-5
+    information = neardup.REGISTERS * (2 * d * d / p(similarity) + 4 * d * d / (1 - 2 * p(similarity)))
+    miss = math.erfc(neardup.LOOSE_BELOW * math.sqrt(information / 2)) / 2
+    count, width = neardup.band_shape(similarity)
+    print(similarity, information**-0.5, miss, (1 - similarity**width) ** count)
+    assert miss < (1 - similarity**width) ** count
+
+
 def test_components_of_long_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 260)] + [(300, 7), (301, 301)]
     got = {r.id: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}

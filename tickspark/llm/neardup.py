@@ -38,8 +38,8 @@ from tickspark.llm.graph import components
 REGISTERS, MISS = 256, 1e-5
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
 BLOCK = 256
-#: Similarity below the threshold, more than four standard errors of the estimate away, where a pair still is a candidate.
-LOOSE_BELOW = 0.10
+#: Similarity below the threshold, more than five standard errors of the estimate away, where a pair still is a candidate.
+LOOSE_BELOW = 0.13
 #: Classes and shingles of a block of a cell.
 CELL_BLOCK, CELL_SHINGLES = 512, 1_000_000
 #: Column of keep_one's row key.
