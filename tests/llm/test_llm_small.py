@@ -1,6 +1,7 @@
 """Operators on small inputs with odd rows, against brute force or exact round trips."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -8,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -356,11 +358,54 @@ def test_packing(spark, clashing, empty, tokenizer, monkeypatch):
 def test_words_encode_like_texts(tokenizer):
     path, hf = tokenizer
     odd = ["", "a b \u0085 c\x1cd  ΑΣ ΟΔΟΣ. <|endoftext|> x<|startoftext|>y é é don't I'M 12  z퟿ İ", "\n\n", "x" * 3000, "Word, WORD.. word ÉCOLE. it's. ß."]
-    flat, at = pack.Words.of(path).encode(odd)
+    flat, at = pack.Words.of(path).encode(pa.array(odd))
     for i, t in enumerate(odd):
         assert flat[at[i] : at[i + 1]].tolist() == [*hf.encode(t, add_special_tokens=False).ids, pack.END]
 
 
+def test_other_tokenizers_encode_like_texts(tokenizer, tmp_path):
+    """One that keeps capitals, and one that keeps white space: the shortcuts are asked for, not assumed."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    letters = {c: i + 2 for i, c in enumerate("abcdefgABCDEFG .,")}
+    texts = ["ab Ab. AB,, ..a", "", "  a  b ", None]
+    for before, parted in ((pre_tokenizers.WhitespaceSplit(), True), (None, False)):
+        own = Tokenizer(models.BPE({"?": 0, "</s>": 1, **letters}, [], unk_token="?"))
+        if before:
+            own.pre_tokenizer = before
+        own.save(path := str(tmp_path / f"{parted}.json"))
+        words = pack.Words(path)
+        assert (words.parted, words.folded) == (parted, False)
+        flat, at = words.encode(pa.array(texts))
+        for i, t in enumerate(texts):
+            assert flat[at[i] : at[i + 1]].tolist() == [*own.encode(t or "", add_special_tokens=False).ids, pack.END]
+
+
+def exact_nnls(a, h):
+    """The least error over all sets of columns, each by plain least squares."""
+    best = float(h @ h)
+    for k in range(1, a.shape[1] + 1):
+        for own in itertools.combinations(range(a.shape[1]), k):
+            x = np.linalg.lstsq(a[:, own], h, rcond=None)[0]
+            if (x >= -1e-9).all():
+                best = min(best, float(((a[:, own] @ x - h) ** 2).sum()))
+    return best
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_solver_reaches_the_exact_optimum(seed):
+    rng = np.random.default_rng(seed)
+    h = np.zeros(17, np.int64)
+    h[rng.choice(np.arange(1, 16), 9, replace=False)] = rng.integers(1, 60, 9)
+    combos = pack.combinations(h, 16)[:10]
+    a = np.zeros((17, len(combos)))
+    for j, row in enumerate(combos):
+        for n in row[row > 0]:
+            a[n, j] += 1
+    x = pack.solve(combos, h, 1e-7)
+    assert (x >= 0).all() and ((a @ x - h) ** 2).sum() <= exact_nnls(a, h.astype(float)) + 1e-5
+
+
 def test_combinations_match_a_histogram():
     h = np.zeros(2049, np.int64)
     h[[1000, 1048, 512, 700, 648]] = [50, 50, 80, 40, 20]

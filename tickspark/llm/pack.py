@@ -14,15 +14,14 @@ packed repeatedly. Empty tables give empty results. Only the named columns are r
 
 from __future__ import annotations
 
-import gc
 import os
-import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -31,19 +30,21 @@ from tickspark.llm.common import slices
 WINDOW, END = 2048, 1
 #: Ids that a block holds at most before it is packed (unless one document has more).
 BLOCK = 2 << 20
+#: Bytes of the texts whose distinct words are looked up together.
+SLICE = 12 << 20
 #: Lengths that are combined to triples, and words that a task remembers.
 FREQUENT, REMEMBERED = 64, 500_000
-#: Words whose ids are those of the lower-case letters, then those of the points.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
-
-
-class Places(dict[bytes, int]):
-    def __missing__(self, word: bytes) -> int:
-        return -1
+LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
+#: Words whose ids are those of the lower-case letters; points may follow.
+PLAIN = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
 
 
 class Words:
-    """Ids of texts from ids of their words: the tokenizer drops white space and never joins over it, so each word is encoded once."""
+    """Ids of texts from ids of their words, so that each distinct word is encoded once.
+
+    That holds for tokenizers that drop white space and never join over it; whether this one does is asked once (`parted`),
+    else whole texts are encoded. Likewise (`folded`) capitals and closing points are split off only where that changes no id.
+    """
 
     kept: dict[str, Words] = {}
 
@@ -55,6 +56,9 @@ class Words:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        ids = lambda *texts: [x for t in texts for x in self.tokenizer.encode(t, add_special_tokens=False).ids]
+        self.parted = all(ids(t) == ids(*t.split()) for t in ("Two words", " a  b\n\tc ", "x 1 é. y"))
+        self.folded = self.parted and all(ids(a) == ids(*b) for a, b in ((LETTERS.upper(), [LETTERS]), (LETTERS.title(), [LETTERS]), (LETTERS + ".", [LETTERS, "."]), ("Words..,", ["words", "..,"])))
         self.forget()
 
     @classmethod
@@ -64,69 +68,69 @@ class Words:
         return cls.kept[path]
 
     def forget(self) -> None:
-        self.place = Places({b"": 0})
+        self.place: dict[str, int] = {"": 0}
         self.ids = np.zeros(0, np.uint32)
         self.at = np.zeros(2, np.int64)  # the empty word has no ids
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, END after each, and the n + 1 offsets of the texts in them."""
-        gc.disable()  # millions of words without cycles; its passes took a quarter of the time
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: empty), END after each, and the n + 1 offsets of the texts in them."""
+        texts = pc.fill_null(texts, "")
+        if not self.parted:
+            found = [[*e.ids, END] for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(found), np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten().dictionary_encode()
+        spelled, spelled_at = self.spelled(words.dictionary)
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+        which = np.insert(words.indices.to_numpy().astype(np.int64), ends, len(words.dictionary))  # the last place is END's
+        flat, upto = gather(np.append(spelled, np.uint32(END)), np.append(spelled_at, len(spelled) + 1), which)
+        return flat, upto[np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])]
+
+    def spelled(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words and the offsets of the words in them; a folded word's are those of its letters in lower case, then of its points."""
         if len(self.place) > REMEMBERED:
             self.forget()
-        words, ends = [], []
-        for t in texts:
-            words += t.encode().split()
-            words.append(b"\n")  # stands for END
-            ends.append(len(words))
-        which = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        if len(unknown := np.flatnonzero(which < 0)):
-            self.learn(list({words[i] for i in unknown.tolist()}))
-            which[unknown] = [self.place[words[i]] for i in unknown.tolist()]
-        flat, upto = self.gather(which)
-        return flat, upto[np.array([0, *ends])]
-
-    def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words by their places, and the offsets of the words in them."""
-        lengths = self.at[which + 1] - self.at[which]
-        upto = np.concatenate([[0], np.cumsum(lengths)])
-        return self.ids[np.repeat(self.at[which] - upto[:-1], lengths) + np.arange(upto[-1])], upto
-
-    def learn(self, new: list[bytes]) -> None:
-        """Capitals and closing points don't touch a plain word's ids: such words share one encoding."""
-        heads, tails, split, plain, rest = [], [], [], set(), set()
-        for w in new:
-            if not (m := PLAIN.fullmatch(w.decode())):
-                rest.add(w)
-            elif m[2] or m[1] != m[1].lower():
-                split.append(w)
-                heads.append(m[1].lower().encode())
-                tails.append(m[2].encode())
-            else:
-                plain.add(w)
-        plain.update(w for w in heads if self.place[w] < 0)
-        rest.update(w for w in tails if self.place[w] < 0)
-        self.add(list(plain), *self.plain_ids(list(plain)))
-        single = list(rest)
-        found = [[END] if w == b"\n" else e.ids for w, e in zip(single, self.tokenizer.encode_batch_fast([w.decode() for w in single], add_special_tokens=False), strict=True)]
-        self.add(single, np.fromiter(chain.from_iterable(found), np.uint32), np.array([len(x) for x in found], np.int64))
-        both = np.array([[self.place[a] for a in heads], [self.place[b] for b in tails]], np.int64).T
-        flat, upto = self.gather(both.ravel())
-        self.add(split, flat, np.diff(upto[::2]))
-
-    def plain_ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and numbers of ids of lower-case words of letters; many are encoded as one text, as each ends with a token that says so."""
-        lines = [b" ".join(words[a : a + 200]).decode() for a in range(0, len(words), 200)]
+        plain = pc.match_substring_regex(distinct, f"^{PLAIN}[.,]*$") if self.folded else pa.array(np.zeros(len(distinct), bool))
+        at = np.zeros((len(distinct), 2), np.int64)
+        mask = plain.to_numpy(zero_copy_only=False)
+        if mask.any():
+            folded = pc.utf8_lower(distinct.filter(plain))
+            at[mask, 0] = self.places(pc.utf8_rtrim(folded, characters=".,"), self.plain_ids)
+            at[mask, 1] = self.places(pc.replace_substring_regex(folded, f"^{PLAIN}", ""), self.word_ids)
+        at[~mask, 0] = self.places(distinct.filter(pc.invert(plain)), self.word_ids)
+        flat, upto = gather(self.ids, self.at, at.ravel())
+        return flat, upto[::2]
+
+    def places(self, words: pa.Array, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Where the ids of each word are kept; unknown words are encoded."""
+        coded = words.dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        if new := [w for w in known if w not in self.place]:
+            flat, lengths = encode(new)
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+            self.ids = np.concatenate([self.ids, flat.astype(np.uint32)])
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lengths)])
+        return np.fromiter(map(self.place.__getitem__, known), np.int64, len(known))[coded.indices.to_numpy()]
+
+    def word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and numbers of ids of any words."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.array([len(x) for x in found], np.int64)
+
+    def plain_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of lower-case words of letters; many are encoded as one text, as each ends with a token that says so."""
+        lines = [" ".join(words[a : a + 200]) for a in range(0, len(words), 200)]
         flat = np.concatenate([np.zeros(0, np.uint32), *[np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]])
         ends = np.flatnonzero(self.ends[flat])
-        if len(ends) != len(words):  # not a tokenizer of that kind
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-            return np.fromiter(chain.from_iterable(found), np.uint32), np.array([len(x) for x in found], np.int64)
-        return flat, np.diff(ends, prepend=-1)
+        return (flat, np.diff(ends, prepend=-1)) if len(ends) == len(words) else self.word_ids(words)
+
 
-    def add(self, words: list[bytes], flat: np.ndarray, lengths: np.ndarray) -> None:
-        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
-        self.ids = np.concatenate([self.ids, flat.astype(np.uint32)])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lengths)])
+def gather(ids: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs ids[at[w] : at[w + 1]] one after the other, and the offsets of the runs in them."""
+    begin = at[which]
+    lengths = at[which + 1] - begin
+    upto = np.concatenate([[0], np.cumsum(lengths)])
+    return ids[np.repeat(begin - upto[:-1], lengths) + np.arange(upto[-1])], upto
 
 
 def combinations(histogram: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -144,20 +148,30 @@ def combinations(histogram: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.array(sorted(set(found)), np.int64).reshape(-1, 4)
 
 
-def solve(combos: np.ndarray, histogram: np.ndarray, rounds: int = 80) -> np.ndarray:
+def solve(combos: np.ndarray, histogram: np.ndarray, tolerance: float = 0.01, most_rounds: int = 5000) -> np.ndarray:
     """Repeat counts x >= 0 that make sum(x * lengths of each combination) near the histogram in least squares.
 
-    Multiplicative steps keep x non-negative and never raise the error; with A the 0/1/2... matrix of lengths,
-    x becomes x * (A'h) / (A'Ax).
+    Accelerated projected gradient steps, restarted where they point uphill, until the optimality conditions hold:
+    nowhere is min(x, gradient) further from 0 than tolerance, which is far below what rounding takes.
     """
     if not len(combos):
         return np.zeros(0)
     there = combos > 0
-    wish = np.where(there, histogram[combos], 0).sum(1).astype(float)
-    x = wish / np.maximum(1, there.sum(1)) / 4
-    for _ in range(rounds):
-        made = np.bincount(combos.ravel(), (there * x[:, None]).ravel(), len(histogram))
-        x = x * wish / np.maximum(np.where(there, made[combos], 0).sum(1), 1e-12)
+    target = histogram.astype(float)
+    times = np.bincount(combos.ravel(), there.ravel(), len(histogram))
+    step = 1.0 / (4 * max(1.0, times.max()))  # the largest eigenvalue is at most the product of both norms of the matrix
+    x = ahead = np.zeros(len(combos))
+    speed = 1.0
+    for _ in range(most_rounds):
+        gap = np.bincount(combos.ravel(), (there * ahead[:, None]).ravel(), len(histogram)) - target
+        slope = np.where(there, gap[combos], 0).sum(1)
+        new = np.maximum(ahead - step * slope, 0)
+        if np.abs(np.minimum(ahead, slope)).max() <= tolerance:
+            return new
+        if ((ahead - new) * (new - x)).sum() > 0:
+            speed = 1.0
+        faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
+        x, ahead, speed = new, new + (speed - 1) / faster * (new - x), faster
     return x
 
 
@@ -255,8 +269,8 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
             first += int(rows[:, 3].max()) + 1
 
         held = 0
-        for batch in slices(batches, text, 1 << 20):
-            flat, at = words.encode([x or "" for x in batch.column(1).to_pylist()])
+        for batch in slices(batches, text, SLICE):
+            flat, at = words.encode(batch.column(1))
             keys.append(batch.column(0))
             parts.append(flat)
             sizes.append(np.diff(at))
