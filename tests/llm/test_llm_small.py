@@ -229,6 +229,29 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert got == brute_components({i: shingle_set(t, 3) for i, t in texts}, 85)
 
 
+def test_one_id_with_several_texts(spark):
+    """Rows that share an id are documents of their own; each finds its near copies."""
+    rng = random.Random(9)
+    a, b, c = (words(rng, 80).split() for _ in range(3))
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (5, " ".join(b)), (6, near(b)), (7, near(a)), (5, " ".join(c)), (3, near(c)), (None, near(c)), (None, " ".join(c)), (8, "")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 85).collect()
+    sets = [(i, shingle_set(t, 3)) for i, t in rows]
+
+    def reach(i):
+        seen, todo = {i}, [i]
+        while todo:
+            x = sets[todo.pop()]
+            for j, y in enumerate(sets):
+                if j not in seen and None not in (x[0], y[0]) and x[1] and 100 * len(x[1] & y[1]) >= 85 * len(x[1] | y[1]):
+                    seen.add(j)
+                    todo.append(j)
+        return min(sets[j][0] for j in seen) if sets[i][0] is not None else None
+
+    want = Counter((i, len(s), reach(k)) for k, (i, s) in enumerate(sets))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want and want[5, 78, 3] == 1
+
+
 def test_near_duplicates_of_nothing(spark, empty):
     assert neardup.near_duplicates(empty).count() == 0
     blank = spark.createDataFrame([(1, None), (2, ""), (3, " "), (None, "a b c d e f"), (None, None)], "doc_id long, text string")
@@ -267,6 +290,17 @@ def test_likelihood_gate_misses_less_than_bands(similarity):
     assert miss < (1 - similarity**width) ** count
 
 
+def test_components_whatever_is_a_hub(spark, monkeypatch):
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(1000, 1000 + i) for i in range(100)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    found = []
+    for share in (1e-9, 0.01, 2.0):
+        monkeypatch.setattr(graph, "HUB", share)
+        found.append(sorted(map(tuple, graph.components(frame).collect())))
+    assert found[0] == found[1] == found[2] and (1099, 1000) in found[0]
+
+
 def test_components_of_long_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 260)] + [(300, 7), (301, 301)]
     got = {r.id: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -450,12 +484,21 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_one_id_with_several_vectors(spark):
+    """Rows that share an id, or have none, are vectors of their own."""
+    near = lambda v: [x + 0.01 for x in v]
+    a, b, c = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0]
+    rows = [(1, a, 0), (1, b, 0), (2, near(a), 0), (3, near(b), 0), (4, c, 0), (4, c, 0), (None, near(c), 0), (None, a, 1), (5, a, 1), (5, a, None)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert Counter((r.vec_id, r.n_links, r.component_id) for r in got) == Counter([(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 2, 4), (4, 2, 4), (None, 2, None), (None, 1, None), (5, 1, 5), (5, 0, 5)])
+
+
 def test_tile_bound_is_rigorous():
     rng = np.random.default_rng(5)
     x, y = vectors.unit(rng.normal(size=(60, 1500)) * rng.choice([1, 50], size=(60, 1500))), vectors.unit(rng.normal(size=(50, 1500)))
     y[:30] = vectors.unit(x[:30] + rng.normal(size=(30, 1500)) * 0.02)
     for least in (0.0, 0.5, 0.9):
-        assert (vectors.tile(x, y, least) == (x @ y.T >= least)).all()
+        assert (vectors.tile(x, y, least) == (x @ y.T >= least)).all() and vectors.possible(vectors.quantised(x), vectors.quantised(y), least)[x @ y.T >= least].all()
 
 
 # --- personal data

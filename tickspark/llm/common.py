@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,22 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickspark.sources.scratch import remove, scratch, stored, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; where that is unset (tests), a new folder under /tmp."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage, and a lost executor doesn't take it along."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tickspark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["least_md5_unit", "mix64", "remove", "repeated", "scratch", "slices", "stored", "table", "utf8", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,3 +51,15 @@ def least_md5_unit(*columns: str) -> Column:
     """A number in [0, 1) from the MD5 of the columns' text, the same in every run and in plain SQL."""
     text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def repeated(df: DataFrame, times: str, at: str, most: int = 10_000) -> DataFrame:
+    """Each row as often as its column `times` (BIGINT, 1 at least) says, with its number from 0 in column `at`; df had better be a written table.
+
+    Numbers beyond `most` come in runs, which are dealt out, so no row, however often repeated, makes a long array or fills one task.
+    """
+    upto = lambda first, last: F.explode(F.sequence(first, last))
+    zero = F.lit(0).cast("long")
+    short = df.where(F.col(times) <= most).withColumn(at, upto(zero, F.col(times) - 1))
+    long = df.where(F.col(times) > most).withColumn("run", upto(zero, F.floor((F.col(times) - 1) / F.lit(float(most))))).repartition("run", times)
+    return short.unionByName(long.withColumn(at, upto(F.col("run") * most, F.least(F.col("run") * most + (most - 1), F.col(times) - 1))).drop("run"))

@@ -7,24 +7,26 @@ text) the set is empty and links with nothing. Documents link if their sets' Jac
 
 1. Each set becomes a sketch of REGISTERS registers, each the exponentially spaced minimum of exponential
    hash values (base BASE, rate RATE). Sketches merge by maxima, and registers of two sets agree about as
-   often as the sets' Jaccard similarity. Equal sets are one class from here on, under their smallest id.
+   often as the sets' Jaccard similarity. Equal sets (128 bits of BLAKE2b over all of a set) are one class from here on.
 2. Bands of registers bring classes together. Their width is the largest with which a pair at the threshold
    shares no band with probability below MISS: 7 (36 bands) at 0.85, where it is 9e-7, and 6 (42 bands) at 0.8, where
-   it is 3e-6; pairs above are missed far less often. A band's bucket is cut into blocks of BLOCK classes, and blocks are paired, so
+   it is 3e-6; pairs above are missed far less often. A bucket of more than BLOCK classes is compared in blocks (every_link), so
    that no task holds a bucket of any size.
 3. Inside a bucket, the joint likelihood of the two sketches (numbers of larger, equal and smaller registers,
    and the known set sizes) says whether the similarity's estimate is at least LOOSE; the classes that this
    connects form a cell. Only a spanning forest leaves the task, never all pairs.
-4. A cell's texts meet once (large cells in pairs of blocks); all pairs' intersections are counted exactly as
+4. A cell's texts meet once (large cells in blocks, as before); all pairs' intersections are counted exactly as
    products of incidence matrices over shared shingles; again a spanning forest of the links leaves the task.
 5. Components of those links give each document the smallest id that it reaches.
 
-Null ids sort before others and are documents of their own without links to id-bearing rows' ids; rows with
-one id are taken as one document. Empty tables give empty results. Only id and text are read.
+Rows are documents, also those that share an id: each has its own set, and an id alone links nothing. A null
+id links with nothing and has a null component. Empty tables give empty results. Only id and text are read.
 """
 
 from __future__ import annotations
 
+import hashlib
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,11 +39,11 @@ from tickspark.llm.graph import components
 
 REGISTERS, MISS = 256, 1e-5
 BASE, RATE, LIMIT = 1.001, 20.0, 65534
-BLOCK = 256
+BLOCK = 2048
 #: Similarity below the threshold, more than five standard errors of the estimate away, where a pair still is a candidate.
 LOOSE_BELOW = 0.13
 #: Classes and shingles of a block of a cell.
-CELL_BLOCK, CELL_SHINGLES = 512, 1_000_000
+CELL_BLOCK, CELL_SHINGLES = 256, 1_000_000
 #: Column of keep_one's row key.
 ROW = "neardup_row_key"
 
@@ -268,36 +270,38 @@ def _edges(pairs: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["a", "b"])
 
 
+def digest(own: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set: BLAKE2b of all its sorted hashes."""
+    return struct.unpack("<qq", hashlib.blake2b(np.ascontiguousarray(own), digest_size=16).digest())
+
+
 def sketched(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(id, n, h1, h2, registers, bands) of each document; two sums of its shingles' hashes stand for the set."""
-    names = ["id", "n", "h1", "h2", "registers", "bands"]
+    """(id, of_text, n, h1, h2, registers, bands) of each document; h1 and h2 are the digest of its full set."""
+    names = ["id", "of_text", "n", "h1", "h2", "registers", "bands"]
     count, width = band_shape(similarity)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
-            sets, at = shingle_sets(*utf8(batch.column(1)), shingle)
+            sets, at = shingle_sets(*utf8(batch.column(2)), shingle)
             sizes, full = np.diff(at), np.diff(at) > 0
-            sums = []
-            for salt in (np.array([0x1234567], U), np.array([0x89ABCDEF], U)):
-                upto = np.concatenate([[U(0)], np.cumsum(mix64(sets + salt * FACTOR))])
-                sums.append(pa.array((upto[at[1:]] - upto[at[:-1]]).view(np.int64)))
+            digests = np.array([digest(sets[x:y]) for x, y in zip(at, at[1:], strict=False)], np.int64).reshape(-1, 2)
             registers = sketches(sets, at)
             raw = np.ascontiguousarray(registers).tobytes()
             held = pa.Array.from_buffers(pa.binary(), len(registers), [None, pa.py_buffer((np.arange(len(registers) + 1) * 2 * REGISTERS).astype(np.int32)), pa.py_buffer(raw)])
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * count)]), pa.int32()), pa.array(band_keys(registers[full], count, width).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), *sums, held, bands], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(digests[:, 0]), pa.array(digests[:, 1]), held, bands], names)
 
-    return docs.mapInArrow(make, "id long, n long, h1 long, h2 long, registers binary, bands array<long>")
+    return docs.mapInArrow(make, "id long, of_text long, n long, h1 long, h2 long, registers binary, bands array<long>")
 
 
 def loose_edges(members: DataFrame, bound: float, loose: float) -> DataFrame:
-    """Forest edges (a, b) inside each bucket block; members: key, p, q, id, n, registers, a group's rows together."""
+    """Forest edges (a, b) inside each bucket block; members: key, p, q, node, n, registers, a group's rows together."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, 3):
             table = table.combine_chunks()
             cut = spans(table, 3)
-            ids, n = table["id"].to_numpy(), table["n"].to_numpy().astype(float)
+            ids, n = table["node"].to_numpy(), table["n"].to_numpy().astype(float)
             column = table["registers"].chunk(0) if table["registers"].num_chunks else pa.array([], pa.binary())
             regs = np.frombuffer(column.buffers()[2], np.uint16)[: (column.offset + len(column)) * REGISTERS].reshape(-1, REGISTERS)[column.offset :]
             size, out = np.diff(cut), []
@@ -316,7 +320,7 @@ def loose_edges(members: DataFrame, bound: float, loose: float) -> DataFrame:
                     out.append(ids[b:e][np.array(found)])
             yield _edges(out)
 
-    return members.select("key", "p", "q", "id", "n", "registers").mapInArrow(compare, "a long, b long")
+    return members.select("key", "p", "q", "node", "n", "registers").mapInArrow(compare, "a long, b long")
 
 
 def exact_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -346,7 +350,10 @@ def exact_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def exact_edges(cells: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Forest edges (a, b) of the links of each cell block; cells: cell, p, q, id, text, a group's rows together."""
+    """Forest edges (a, b) of the links of each cell block; cells: cell, p, q, node, h1, h2, text, a group's rows together.
+
+    Sets are made anew from whole texts; a text whose set isn't the node's (another one of the same id) is passed over.
+    """
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def small() -> Iterator[pa.RecordBatch]:
@@ -358,52 +365,101 @@ def exact_edges(cells: DataFrame, shingle: int, percent: int) -> DataFrame:
                 if e - b < 2:
                     continue
                 part = table.slice(b, e - b)
-                ids = part["id"].to_numpy()
-                sets = []
-                for chunk in part["text"].chunks:
-                    flat, at = shingle_sets(*utf8(chunk), shingle)
-                    sets += [flat[x:y] for x, y in zip(at, at[1:], strict=False)]
-                links = exact_links(sets, percent)
-                found = connect(e - b, lambda i, links=links: links[i])
-                if found:
-                    out.append(ids[np.array(found)])
+                sets: dict[int, np.ndarray] = {}
+                for chunk in part.to_batches():
+                    flat, at = shingle_sets(*utf8(chunk.column("text")), shingle)
+                    for node, h1, h2, x, y in zip(*(chunk.column(c).to_pylist() for c in ("node", "h1", "h2")), at, at[1:], strict=False):
+                        if node not in sets and digest(flat[x:y]) == (h1, h2):
+                            sets[node] = flat[x:y]
+                if len(sets) > 1:
+                    links = exact_links(list(sets.values()), percent)
+                    found = connect(len(sets), lambda i, links=links: links[i])
+                    if found:
+                        out.append(np.array(list(sets))[np.array(found)])
             yield _edges(out)
 
-    return cells.select("cell", "p", "q", "id", "text").mapInArrow(verify, "a long, b long")
+    return cells.select("cell", "p", "q", "node", "h1", "h2", "text").mapInArrow(verify, "a long, b long")
 
 
 def in_blocks(rows: DataFrame, group: str, blocks: str) -> DataFrame:
     """Each row once for every pair (p, q) of blocks of its group that has the row's block; one pair (0, 0) for a single block."""
-    block = F.pmod(F.xxhash64("id"), F.col(blocks))
+    block = F.pmod(F.xxhash64("node"), F.col(blocks))
     rows = rows.withColumn("block", block).withColumn("other", F.explode(F.expr(f"sequence(0L, {blocks} - 1)")))
     rows = rows.where((F.col("other") != F.col("block")) | (F.col(blocks) == 1))  # a block's own pairs are seen beside any other block
     return rows.withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other")).drop("block", "other")
 
 
+def every_link(members: DataFrame, sizes: DataFrame, group: str, most: int, edges_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges (a, b) that connect what all links inside groups connect; members: group, node; sizes: group, blocks.
+
+    edges_of gives the forest edges of each (group, p, q) of placed nodes. A group of one block is compared whole. In
+    larger ones, blocks of a group are compared by themselves first, then one node of each tree with those of other
+    trees. Nodes of one tree need no further look, so only those outside a group's largest tree (few, if the group
+    is one of copies) are brought together with all blocks, and with each other. So no link between trees is missed, and a
+    group's shipped rows grow with its size, not with its square, unless it falls apart.
+    """
+    placed = written(members.join(sizes, group).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "placed")
+    no = F.lit(-1).cast("long")
+    edges = written(edges_of(placed.select(group, F.col("block").alias("p"), no.alias("q"), "node")), "in-blocks")
+    hot = placed.where("blocks > 1")
+    if hot.isEmpty():
+        return edges
+
+    def trees(found: DataFrame) -> DataFrame:
+        top = components(found).withColumnRenamed("id", "node")
+        return written(hot.join(top, "node", "left").withColumn("tree", F.coalesce("component", "node")).drop("component"), "trees")
+
+    heads = trees(edges).groupBy(group, "tree").agg(F.min("node").alias("node"))
+    of_heads = heads.groupBy(group).agg(F.ceil(F.count("*") / F.lit(float(most))).alias("blocks"))
+    placed_heads = heads.join(of_heads, group).withColumn("p", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    edges = edges.union(written(edges_of(placed_heads.select(group, "p", no.alias("q"), "node")), "heads"))
+    now = trees(edges)
+    largest = now.groupBy(group, "tree").agg(F.count("*").alias("size")).groupBy(group).agg(F.max(F.struct("size", "tree")).getField("tree").alias("largest"))
+    now = now.join(largest, group)
+    rest = now.where("tree <> largest")
+    strips = rest.groupBy(group).agg(F.ceil(F.count("*") / F.lit(float(most))).alias("strips"))
+    rest = written(rest.join(strips, group).withColumn("strip", F.pmod(F.xxhash64("node"), F.col("strips"))), "rest")
+    if rest.isEmpty():
+        return edges
+    outside = rest.select(group, F.col("strip").alias("p"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("q"), "node")
+    inside = now.where("tree = largest").join(strips, group).select(group, F.explode(F.expr("sequence(0L, strips - 1)")).alias("p"), F.col("block").alias("q"), "node")
+    mutual = in_blocks(rest.where("strips > 1").select(group, "node", "strips"), group, "strips").select(group, "p", (-2 - F.col("q")).alias("q"), "node")
+    return edges.union(edges_of(outside.union(inside).union(mutual)))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each document."""
+    """(doc_id, n_shingles, component_id) of each row."""
     bound, loose = percent / 100, percent / 100 - LOOSE_BELOW
-    base = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = written(sketched(base, shingle, bound), "sketches")
+    base = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("of_text"), F.col(text).alias("text"))
+    rows = written(sketched(base, shingle, bound).withColumn("node", F.monotonically_increasing_id()), "sketches")
     same = ["n", "h1", "h2"]
-    classes = rows.where("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("id"))
-    head = written(rows.select("id", "n", "h1", "h2", "bands").where("n > 0").join(classes, ["id", *same], "left_semi").dropDuplicates(["id"]).select("id", "n", "bands"), "bands")
-    keys = head.select("id", F.explode("bands").alias("key"))
+    # a class is a set; one of its rows, the node, stands for it
+    classes = written(rows.where("n > 0 and id is not null").groupBy(*same).agg(F.min("node").alias("node"), F.min("id").alias("least")), "classes")
+    keys = rows.select("node", "bands").join(classes.select("node"), "node", "left_semi").select("node", F.explode("bands").alias("key"))
     full = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = keys.join(full, "key").withColumn("blocks", F.ceil(F.col("size") / F.lit(float(BLOCK))))
-    members = in_blocks(members, "key", "blocks").select("key", "p", "q", "id")
-    held = rows.select("id", "n", "registers").join(head.select("id", "n"), ["id", "n"], "left_semi")
-    members = members.join(held, "id")
-    cells = components(loose_edges(members.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "id"), bound, loose)).withColumnRenamed("component", "cell")
-    cells = written(cells.join(head.select("id", "n"), "id"), "cells")
-    sizes = cells.groupBy("cell").agg(F.greatest(F.ceil(F.count("*") / F.lit(float(CELL_BLOCK))), F.ceil(F.sum("n") / F.lit(float(CELL_SHINGLES)))).alias("blocks"))
-    placed = in_blocks(cells.join(sizes, "cell"), "cell", "blocks").select("cell", "p", "q", "id")
-    texts = placed.join(base.join(cells.select("id"), "id", "left_semi").dropDuplicates(["id"]), "id")
-    links = exact_edges(texts.repartition("cell", "p", "q").sortWithinPartitions("cell", "p", "q", "id"), shingle, percent)
-    found = components(links)
-    label = classes.join(found, "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
+
+    def loosely(placed: DataFrame) -> DataFrame:
+        shipped = placed.join(rows.select("node", "n", "registers"), "node")
+        return loose_edges(shipped.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "node"), bound, loose)
+
+    blocks = F.ceil(F.col("size") / F.lit(float(BLOCK))).alias("blocks")
+    cells = components(every_link(keys, full.select("key", blocks), "key", BLOCK, loosely)).withColumnsRenamed({"component": "cell", "id": "node"})
+    cells = written(cells.join(rows.select("node", *same, "id", "of_text"), "node"), "cells")
+    # all texts are dealt by their key once, as candidates may be too many to broadcast; those of candidates are written
+    wanted = cells.select("id", "of_text").distinct().hint("merge")
+    texts = base.join(wanted, ["id", "of_text"], "left_semi").dropDuplicates(["id", "of_text"])
+    texts = written(texts.join(cells.select("node", "h1", "h2", "id", "of_text"), ["id", "of_text"]).select("node", "h1", "h2", "text"), "texts")
+
+    def exactly(placed: DataFrame) -> DataFrame:
+        return exact_edges(placed.join(texts, "node").repartition("cell", "p", "q").sortWithinPartitions("cell", "p", "q", "node"), shingle, percent)
+
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(float(CELL_BLOCK))), F.ceil(F.sum("n") / F.lit(float(CELL_SHINGLES))))
+    links = every_link(cells.select("cell", "node"), cells.groupBy("cell").agg(blocks.alias("blocks")), "cell", CELL_BLOCK, exactly)
+    reached = components(links).withColumnRenamed("id", "node").join(classes.select("node", "least"), "node")
+    label = reached.join(reached.groupBy("component").agg(F.min("least").alias("reached")), "component").select("node", "reached")
+    label = classes.join(label, "node", "left").select(*same, F.coalesce("reached", "least").alias("least"))
     out = rows.select("id", *same).join(label, same, "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("component", "id")).alias("component_id"))
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("least", "id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
