@@ -290,15 +290,26 @@ def test_likelihood_gate_misses_less_than_bands(similarity):
     assert miss < (1 - similarity**width) ** count
 
 
-def test_components_whatever_is_a_hub(spark, monkeypatch):
+def test_components_with_a_hub_equal_a_plain_search(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(1000, 1000 + i) for i in range(100)]
-    frame = spark.createDataFrame(edges, "a long, b long")
-    found = []
-    for share in (1e-9, 0.01, 2.0):
-        monkeypatch.setattr(graph, "HUB", share)
-        found.append(sorted(map(tuple, graph.components(frame).collect())))
-    assert found[0] == found[1] == found[2] and (1099, 1000) in found[0]
+    edges += edges[:40]
+    around = {}
+    for a, b in edges:
+        if a != b:
+            around.setdefault(a, set()).add(b)
+            around.setdefault(b, set()).add(a)
+
+    def least(i):
+        seen, todo = {i}, [i]
+        while todo:
+            new = around[todo.pop()] - seen
+            seen |= new
+            todo += new
+        return min(seen)
+
+    got = {r.id: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: least(i) for i in around} and got[1099] == 1000
 
 
 def test_components_of_long_paths_and_stars(spark):

@@ -3,52 +3,40 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickspark.llm.common import remove, scratch, stored
 
-#: A node with more than this share of the edges is a hub.
-HUB = 1e-3
-
-
-def with_least(edges: DataFrame, key: str, least: DataFrame, total: int) -> DataFrame:
-    """edges with m of their key, from least (key, m, n), n being the key's number of edges.
-
-    Hubs' rows are not dealt by their key: the hubs are at most 2 / HUB nodes, whatever the number of edges, and are broadcast.
-    """
-    hub = F.col("n") > HUB * total
-    hubs = F.broadcast(least.where(hub).select(key, "m"))
-    rest = edges.join(hubs, key, "left_anti").join(least.where(~hub).select(key, "m"), key)
-    return edges.join(hubs, key).unionByName(rest)
-
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component): for each id of edges (a, b), the smallest id that it reaches. No row for ids without an edge to another.
 
     Each round hangs every node's larger neighbours, then all but the smallest of its smaller ones, onto its
-    smallest neighbour; the edges never grow in number, and end as stars. Each round's edges are written, which cuts the
-    lineage, and replace the last round's; the driver sees counts and a sum.
+    smallest neighbour; the edges never grow in number, and end as stars, whose nodes' smallest neighbours are the result.
+    Each round's tables are written, which cuts the lineage, and replace the last round's; the driver sees only whether
+    all is done. Smallest neighbours are combined before the shuffle and stand in a table of their own, so the join with the edges of a
+    hub is one that Spark broadcasts or splits.
     """
     spark = edges.sparkSession
     path = scratch(spark, "edges")
-    now = stored(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi").distinct(), path)
-    seen: tuple = (now.count(),)
+    now = stored(edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi"), path)
     for _ in range(most_rounds):
-        total = seen[0]
-        both = now.union(now.select(F.col("hi").alias("lo"), F.col("lo").alias("hi"))).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        # large star: (v, m(u)) for the larger neighbours v of u
-        large = with_least(now.toDF("u", "v"), "u", least, total).select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo < hi").distinct()
+        both = now.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(now.select("hi", "lo"))
+        up = F.col("v") > F.col("u")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.max(up).alias("above"), F.max(F.when(~up, F.col("v"))).alias("most"), F.min(F.when(~up, F.col("v"))).alias("fewest"))
+        nodes = scratch(spark, "nodes")
+        least = stored(least, nodes)
+        # stars: no node has neighbours on both sides, or different smaller ones
+        if least.where("fewest is not null and (above or fewest < most)").isEmpty():
+            remove(spark, path)
+            return least.select(F.col("u").alias("id"), F.col("m").alias("component"))
+        # large star: (m(u), v) for the larger neighbours v of u
+        large = now.join(least.select(F.col("u").alias("lo"), "m"), "lo").select(F.col("m").alias("lo"), "hi")
         # small star: for u, its smaller neighbours and itself hang onto the smallest
-        under = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
-        small = with_least(large, "hi", under, total).select(F.col("m").alias("lo"), F.explode(F.array("lo", "hi")).alias("hi")).where("lo < hi").distinct()
+        small = large.withColumn("m", F.min("lo").over(W.partitionBy("hi"))).select(F.col("m").alias("lo"), F.explode(F.array("lo", "hi")).alias("hi")).where("lo < hi").distinct()
         before, path = path, scratch(spark, "edges")
         now = stored(small, path)
         remove(spark, before)
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first())
-        if state == seen:
-            break
-        seen = state
-    else:
-        raise RuntimeError("components did not settle")
-    return now.groupBy("hi").agg(F.min("lo").alias("component")).withColumnRenamed("hi", "id").union(now.select("lo", F.col("lo").alias("component")).distinct())
+        remove(spark, nodes)
+    raise RuntimeError("components did not settle")

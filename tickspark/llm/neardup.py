@@ -193,44 +193,41 @@ def alike(a: np.ndarray, b: np.ndarray, n: np.ndarray, k: np.ndarray, bound: flo
     return out
 
 
-class Forest:
-    """Union-find whose joins are the edges of a spanning forest."""
-
-    def __init__(self, n: int) -> None:
-        self.up, self.edges = list(range(n)), []
-
-    def top(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        if (x := self.top(a)) != (y := self.top(b)):
-            self.up[max(x, y)] = min(x, y)
-            self.edges.append((a, b))
-
-
-def connect(n: int, near: Callable[[int], np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest of the graph on n nodes with neighbours near(i), asking only as many nodes as needed.
+def connect(n: int, near: Callable[[int], np.ndarray]) -> np.ndarray:
+    """The tree of each of n nodes, named by its smallest node, in the graph with neighbours near(i), asking only as many nodes as needed.
 
     Pairs inside one tree need no look, and a pair is seen from either end. So it is done once all nodes that
     weren't asked are in one tree.
     """
-    forest, asked, turn = Forest(n), np.zeros(n, bool), 0
+    up, asked, turn = list(range(n)), np.zeros(n, bool), 0
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
     while True:
         asked[turn] = True
         for i in np.flatnonzero(near(turn)).tolist():
-            if i != turn:
-                forest.join(turn, i)
+            x, y = sorted((top(i), top(turn)))
+            up[y] = x
         rest = np.flatnonzero(~asked)
         if not len(rest):
             break
-        tops = np.array([forest.top(i) for i in rest.tolist()])
+        tops = np.array([top(i) for i in rest.tolist()])
         kinds, counts = np.unique(tops, return_counts=True)
         if len(kinds) == 1:
             break
         turn = int(rest[np.flatnonzero(tops != kinds[counts.argmax()])[0]])
-    return forest.edges
+    return np.array([top(i) for i in range(n)], np.int64)
+
+
+def connect_small(near: np.ndarray) -> np.ndarray:
+    """The same of many small graphs (graphs, n, n) at once, by squaring their reach."""
+    reach = (near | np.eye(near.shape[1], dtype=bool)).astype(np.float32)
+    for _ in range(near.shape[1].bit_length()):
+        reach = (reach @ reach > 0).astype(np.float32)
+    return reach.argmax(2)
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -265,9 +262,10 @@ def spans(table: pa.Table, keys: int) -> np.ndarray:
     return np.concatenate([np.flatnonzero(new), [table.num_rows]])
 
 
-def _edges(pairs: list[np.ndarray]) -> pa.RecordBatch:
-    flat = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["a", "b"])
+def _stars(keys: list[np.ndarray], nodes: list[np.ndarray], tops: list[np.ndarray]) -> pa.RecordBatch:
+    """(a group's key, a, b) of each node a whose tree is named by another node, b."""
+    key, a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (keys, nodes, tops))
+    return pa.RecordBatch.from_arrays([pa.array(x[a != b]) for x in (key, a, b)], ["key", "a", "b"])
 
 
 def digest(own: np.ndarray) -> tuple[int, int]:
@@ -295,32 +293,35 @@ def sketched(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
 
 
 def loose_edges(members: DataFrame, bound: float, loose: float) -> DataFrame:
-    """Forest edges (a, b) inside each bucket block; members: key, p, q, node, n, registers, a group's rows together."""
+    """(key, a, b): the tree b of each node a inside each bucket block; members: key, p, q, node, n, registers, a group's rows together."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, 3):
             table = table.combine_chunks()
             cut = spans(table, 3)
-            ids, n = table["node"].to_numpy(), table["n"].to_numpy().astype(float)
+            key, ids, n = table["key"].to_numpy(), table["node"].to_numpy(), table["n"].to_numpy().astype(float)
             column = table["registers"].chunk(0) if table["registers"].num_chunks else pa.array([], pa.binary())
             regs = np.frombuffer(column.buffers()[2], np.uint16)[: (column.offset + len(column)) * REGISTERS].reshape(-1, REGISTERS)[column.offset :]
-            size, out = np.diff(cut), []
+            size, keys, nodes, tops = np.diff(cut), [], [], []
             for s in range(2, 7):
                 i, j = np.triu_indices(s, 1)
                 begin = cut[:-1][size == s]
                 left, right = (begin[:, None] + i).ravel(), (begin[:, None] + j).ravel()
-                for a in range(0, len(left), 8192):
-                    x, y = left[a : a + 8192], right[a : a + 8192]
-                    ok = alike(regs[x], regs[y], n[x], n[y], bound, loose)
-                    out.append(np.stack([ids[x[ok]], ids[y[ok]]], 1))
+                near = np.zeros((len(begin), s, s), bool)
+                ok = [alike(regs[x], regs[y], n[x], n[y], bound, loose) for x, y in ((left[a : a + 8192], right[a : a + 8192]) for a in range(0, len(left), 8192))]
+                near[:, i, j] = near[:, j, i] = np.concatenate([np.zeros(0, bool), *ok]).reshape(len(begin), len(i))
+                every = (begin[:, None] + np.arange(s)).ravel()
+                keys.append(key[every])
+                nodes.append(ids[every])
+                tops.append(ids[(begin[:, None] + connect_small(near)).ravel()])
             for b, e in zip(cut[:-1][size > 6].tolist(), cut[1:][size > 6].tolist(), strict=True):
                 own, m = regs[b:e], n[b:e]
-                found = connect(e - b, lambda i, own=own, m=m: alike(own[i : i + 1], own, np.full(len(m), m[i]), m, bound, loose))
-                if found:
-                    out.append(ids[b:e][np.array(found)])
-            yield _edges(out)
+                keys.append(key[b:e])
+                nodes.append(ids[b:e])
+                tops.append(ids[b + connect(e - b, lambda i, own=own, m=m: alike(own[i : i + 1], own, np.full(len(m), m[i]), m, bound, loose))])
+            yield _stars(keys, nodes, tops)
 
-    return members.select("key", "p", "q", "node", "n", "registers").mapInArrow(compare, "a long, b long")
+    return members.select("key", "p", "q", "node", "n", "registers").mapInArrow(compare, "key long, a long, b long")
 
 
 def exact_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -350,7 +351,7 @@ def exact_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def exact_edges(cells: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Forest edges (a, b) of the links of each cell block; cells: cell, p, q, node, h1, h2, text, a group's rows together.
+    """(key, a, b): the tree b, by links, of each node a inside each block of cell `key`; cells: cell, p, q, node, h1, h2, text, a group's rows together.
 
     Sets are made anew from whole texts; a text whose set isn't the node's (another one of the same id) is passed over.
     """
@@ -360,7 +361,7 @@ def exact_edges(cells: DataFrame, shingle: int, percent: int) -> DataFrame:
             yield from slices(batches, "text", 8 << 20)
 
         for table in groups(small(), 3):
-            cut, out = spans(table, 3), []
+            cut, keys, nodes, tops = spans(table, 3), [], [], []
             for b, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 if e - b < 2:
                     continue
@@ -372,13 +373,13 @@ def exact_edges(cells: DataFrame, shingle: int, percent: int) -> DataFrame:
                         if node not in sets and digest(flat[x:y]) == (h1, h2):
                             sets[node] = flat[x:y]
                 if len(sets) > 1:
-                    links = exact_links(list(sets.values()), percent)
-                    found = connect(len(sets), lambda i, links=links: links[i])
-                    if found:
-                        out.append(np.array(list(sets))[np.array(found)])
-            yield _edges(out)
+                    links, own = exact_links(list(sets.values()), percent), np.array(list(sets), np.int64)
+                    keys.append(np.full(len(own), part["cell"][0].as_py(), np.int64))
+                    nodes.append(own)
+                    tops.append(own[connect(len(own), lambda i, links=links: links[i])])
+            yield _stars(keys, nodes, tops)
 
-    return cells.select("cell", "p", "q", "node", "h1", "h2", "text").mapInArrow(verify, "a long, b long")
+    return cells.select("cell", "p", "q", "node", "h1", "h2", "text").mapInArrow(verify, "key long, a long, b long")
 
 
 def in_blocks(rows: DataFrame, group: str, blocks: str) -> DataFrame:
@@ -392,7 +393,7 @@ def in_blocks(rows: DataFrame, group: str, blocks: str) -> DataFrame:
 def every_link(members: DataFrame, sizes: DataFrame, group: str, most: int, edges_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Edges (a, b) that connect what all links inside groups connect; members: group, node; sizes: group, blocks.
 
-    edges_of gives the forest edges of each (group, p, q) of placed nodes. A group of one block is compared whole. In
+    edges_of gives the tree of each placed node inside its (group, p, q). A group of one block is compared whole. In
     larger ones, blocks of a group are compared by themselves first, then one node of each tree with those of other
     trees. Nodes of one tree need no further look, so only those outside a group's largest tree (few, if the group
     is one of copies) are brought together with all blocks, and with each other. So no link between trees is missed, and a
@@ -403,19 +404,17 @@ def every_link(members: DataFrame, sizes: DataFrame, group: str, most: int, edge
     edges = written(edges_of(placed.select(group, F.col("block").alias("p"), no.alias("q"), "node")), "in-blocks")
     hot = placed.where("blocks > 1")
     if hot.isEmpty():
-        return edges
-
-    def trees(found: DataFrame) -> DataFrame:
-        top = components(found).withColumnRenamed("id", "node")
-        return written(hot.join(top, "node", "left").withColumn("tree", F.coalesce("component", "node")).drop("component"), "trees")
-
-    heads = trees(edges).groupBy(group, "tree").agg(F.min("node").alias("node"))
+        return edges.select("a", "b")
+    named = lambda found, node, tree: found.select(F.col("key").alias(group), F.col("a").alias(node), F.col("b").alias(tree))
+    trees = written(hot.join(named(edges, "node", "tree"), [group, "node"], "left").withColumn("tree", F.coalesce("tree", "node")), "trees")
+    heads = trees.where("node = tree").select(group, "node")
     of_heads = heads.groupBy(group).agg(F.ceil(F.count("*") / F.lit(float(most))).alias("blocks"))
-    placed_heads = heads.join(of_heads, group).withColumn("p", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    edges = edges.union(written(edges_of(placed_heads.select(group, "p", no.alias("q"), "node")), "heads"))
-    now = trees(edges)
+    heads = heads.join(of_heads, group).select(group, F.pmod(F.xxhash64("node"), F.col("blocks")).alias("p"), no.alias("q"), "node")
+    upper = written(edges_of(heads), "heads")
+    now = trees.join(named(upper, "tree", "top"), [group, "tree"], "left").withColumn("tree", F.coalesce("top", "tree"))
     largest = now.groupBy(group, "tree").agg(F.count("*").alias("size")).groupBy(group).agg(F.max(F.struct("size", "tree")).getField("tree").alias("largest"))
-    now = now.join(largest, group)
+    now = written(now.join(largest, group), "trees")
+    edges = edges.union(upper).select("a", "b")
     rest = now.where("tree <> largest")
     strips = rest.groupBy(group).agg(F.ceil(F.count("*") / F.lit(float(most))).alias("strips"))
     rest = written(rest.join(strips, group).withColumn("strip", F.pmod(F.xxhash64("node"), F.col("strips"))), "rest")
@@ -424,7 +423,7 @@ def every_link(members: DataFrame, sizes: DataFrame, group: str, most: int, edge
     outside = rest.select(group, F.col("strip").alias("p"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("q"), "node")
     inside = now.where("tree = largest").join(strips, group).select(group, F.explode(F.expr("sequence(0L, strips - 1)")).alias("p"), F.col("block").alias("q"), "node")
     mutual = in_blocks(rest.where("strips > 1").select(group, "node", "strips"), group, "strips").select(group, "p", (-2 - F.col("q")).alias("q"), "node")
-    return edges.union(edges_of(outside.union(inside).union(mutual)))
+    return edges.union(edges_of(outside.union(inside).union(mutual)).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:

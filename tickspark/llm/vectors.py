@@ -158,7 +158,8 @@ def linked(shipped: DataFrame, threshold: float) -> DataFrame:
                 own, links = nodes[b:e], near @ n[b:e]
                 found += [(int(own[i]), None, int(links[i])) for i in some.tolist()]
                 sub = near[np.ix_(some, some)]
-                found += [(int(own[some[i]]), int(own[some[j]]), 0) for i, j in connect(len(some), lambda i, sub=sub: sub[i])]
+                tops = connect(len(some), lambda i, sub=sub: sub[i])
+                found += [(int(own[some[i]]), int(own[some[j]]), 0) for i, j in enumerate(tops.tolist()) if i != j]
             a, b2, links = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b2, pa.int64()), pa.array(links, pa.int64())], ["a", "b", "links"])
 
