@@ -60,6 +60,43 @@ def test_zip_without_csv_is_an_error(spark, tmp_path):
         files.read_trades_zip(spark, str(tmp_path / "day.zip"), "x").collect()
 
 
+def test_archives_in_capitals_and_quoted_fields(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "day.zip", "w") as z:
+        z.writestr("DAY.CSV", '"7","1.5",2,3,4,5000,"true",more\n8,1.5,2\n')
+    raw = files.read_trades_zip(spark, str(tmp_path / "day.zip"), "x")
+    assert [tuple(r)[:7] for r in raw.collect()] == [("7", "1.5", "2", "3", "4", "5000", "true"), ("8", "1.5", "2", None, None, None, None)]
+    assert [r.agg_trade_id for r in files.sanitize_trades(raw).collect()] == [7]
+
+
+def test_files_out_of_range_are_not_read(spark, tmp_path):
+    line = "{},1.5,2,3,4,1704067200000,true\n"
+    for i, name in enumerate(("aggtrades_20240101_000000__20240102_000000.csv", "aggtrades_20240102_000000__20240103_000000.csv", "old.csv", "notes.txt")):
+        (tmp_path / name).write_text(line.format(i))
+    day = 86_400_000
+    read = lambda a, b: sorted(int(r.agg_trade_id) for r in files.read_trades_in_range(spark, str(tmp_path), "x", T0 + a, T0 + b).collect())
+    assert (read(0, day), read(day, 2 * day), read(-day, 5 * day), read(9 * day, 10 * day)) == ([0, 2], [1, 2], [0, 1, 2], [2])
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError, match="no trade file"):
+        files.read_trades_in_range(spark, str(tmp_path / "none"), "x", 0, 1)
+
+
+def test_no_day_left_is_an_error(spark):
+    daily = spark.sql("select 'a' symbol, date'2024-01-01' day")
+    assert files.consolidate_days(daily, daily, T0, T0 + 1).count() == 0
+    with pytest.raises(ValueError, match="no daily rows"):
+        files.consolidate_days(daily, daily, T0, T0 + 1, strict=True)
+
+
+def test_label_files(spark, tmp_path):
+    (tmp_path / "l.csv").write_text("timestamp_ms,label,f1\n1000,0,1.0\n1000,1,2.0\nsoon,1,2.5\n5000,2,3.0\n6000,,3.0\n")
+    rows = dataset.clean_labels(files.read_labels(spark, str(tmp_path / "l.csv"), training=True).withColumn("symbol", F.lit("a")))
+    assert sorted((r.timestamp_ms, r.label, r.f1) for r in rows.collect()) == [(1000, 1, "2.0"), (5000, 2, "3.0")]
+    with pytest.raises(ValueError, match="missing"):
+        files.read_labels(spark, str(tmp_path / "l.csv"))
+    with pytest.raises(ValueError, match="no label rows"):
+        dataset.clean_labels(rows.where("label > 7"), strict=True)
+
+
 def test_write_daily_replaces_whole_days(spark, tmp_path):
     path = str(tmp_path / "daily")
     files.write_daily(trades(spark, [("a", 1, 1, 1, 0, True), ("a", 2, 1, 1, 1, True), ("a", 3, 1, 1, 86_400_000, True)]), path)
@@ -123,6 +160,23 @@ def test_bars_do_not_depend_on_order_or_partitions_and_roll_up(spark):
         bars.build_bars(trades(spark, rows), 60, T0, T0)
 
 
+def test_repeated_trades_count_once(spark):
+    rows = some_trades(50, 600, 3)
+    once, twice = trades(spark, rows), trades(spark, rows + rows[::2])
+    bars_of = lambda t, **more: sorted(tuple(r) for r in bars.build_bars(t, 60, T0, T0 + 600_000, **more).select("symbol", "timestamp_s", "open", "high", "low", "close", "trade_count", F.round("volume", 9)).collect())
+    assert bars_of(twice) == bars_of(once) == bars_of(once, unique=True) != bars_of(twice, unique=True)
+
+
+def test_nothing_in_range_is_an_error_if_asked(spark):
+    t = trades(spark, some_trades(5, 60, 3))
+    klines = spark.createDataFrame([], "symbol string, open_time long, open double, high double, low double, close double, seq long")
+    assert features.build_features(t, None, 60, T0 - 600_000, T0, strict=False).count() == 0
+    with pytest.raises(ValueError, match="no trades"):
+        features.build_features(t, None, 60, T0 - 600_000, T0, strict=True)
+    with pytest.raises(ValueError, match="no klines"):
+        features.build_features(t, klines, 60, T0, T0 + 600_000, strict=True)
+
+
 def test_feature_columns_and_first_returns(spark):
     rows = some_trades(50, 600, 5)
     klines = spark.createDataFrame([("a", T0 + 60_000, 1.0, 2.0, 0.5, 1.5, 1), ("b", T0, 100.0, 101.0, 99.0, 100.0, 1)], "symbol string, open_time long, open double, high double, low double, close double, seq long")
@@ -144,7 +198,7 @@ def test_chunks_change_nothing(spark):
     digits = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
     assert digits(whole) == digits(cut) and whole.count() == 600
     bare = whole.drop(*features.CONTEXT)
-    assert digits(labels.build_labels(bare, 5)) == digits(labels.build_labels_in_chunks(bare, T0, 10, 41, 5))
+    assert digits(labels.build_labels(bare, 5)) == digits(labels.build_labels_in_chunks(bare, 41, 5))
 
 
 BAR = "symbol string, timestamp string, timestamp_ms long, timestamp_s long, timeframe_s long, open double, high double, low double, close double"
@@ -202,6 +256,10 @@ def test_labels_equal_a_walk(spark, seed, tp, sl):
     long = labels.first_touch_long_horizon(bar_rows(spark, rows), 5, tp, sl, chunk=7).orderBy("timestamp_ms").collect()
     short = labels.first_touch_long_horizon(bar_rows(spark, rows), 5, tp, sl, chunk=1000).orderBy("timestamp_ms").collect()
     assert long == short and len(long) == 60
+    far = labels.build_labels_long_horizon(bar_rows(spark, rows), 5, tp * 100, sl * 100, 0.05, 0.0, chunk=7)
+    near = labels.build_labels(bar_rows(spark, rows), 5, tp * 100, sl * 100, 0.05, 0.0)
+    assert far.columns == near.columns
+    assert [tuple(r) for r in far.orderBy("timestamp_ms").collect()] == [tuple(r) for r in near.orderBy("timestamp_ms").collect()]
 
 
 def test_nan_touches_nothing(spark):
@@ -223,6 +281,26 @@ def test_lookback(spark):
     assert len(got) == 7 and got[0].x == [float(i) for i in range(12)] and (got[0].label, got[0].timestamp_ms) == (3, 3000)
 
 
+def test_chunks_of_lookback_change_nothing(spark):
+    df = spark.createDataFrame([(s, 1000 * k * k, k, float(k)) for s in "ab" for k in range(40)] + [("c", 5, 1, 1.0)], "symbol string, timestamp_ms long, label int, a double")
+    rows = lambda chunk: sorted((r.symbol, r.timestamp_ms, r.label, tuple(r.x)) for r in dataset.lookback_windows(df, ["a"], 5, chunk=chunk).collect())
+    assert rows(2) == rows(7) == rows(50_000) and len(rows(7)) == 72
+    with pytest.raises(Exception, match="too few rows for c"):
+        dataset.lookback_windows(df, ["a"], 5, strict=True).collect()
+    placed = bars.numbered(df, span_ms=100_000).where("symbol = 'a'").orderBy("timestamp_ms").collect()
+    assert [r.i for r in placed] == list(range(40)) and {r.n for r in placed} == {40}
+
+
+def test_standardizer_is_that_of_numpy(spark):
+    x = np.random.default_rng(3).normal(5, 2, (50, 4))
+    x[:, 3] = 7.5
+    got = dataset.fit_standardizer(spark.createDataFrame([(r.tolist(),) for r in x], "x array<float>").repartition(3)).orderBy("position").collect()
+    x = x.astype(np.float32).astype(float)
+    assert [r.position for r in got] == [0, 1, 2, 3]
+    assert np.allclose([r.mean for r in got], x.mean(0)) and np.allclose([r["std"] for r in got], [*x[:, :3].std(0), 1.0])
+    assert dataset.fit_standardizer(spark.createDataFrame([], "x array<float>")).count() == 0
+
+
 def test_feature_columns_leave_out_outcomes(spark):
     df = labels.build_labels(bar_rows(spark, [(1, 1, 1)] * 3), 1)
     assert dataset.feature_columns(df.schema) == ["close", "timeframe_s", "open", "high", "low"]
@@ -237,6 +315,8 @@ def test_split_sizes_embargo_and_error(spark):
     assert count(dataset.time_split(df, embargo=3)) == {"train": 140, "val": 27, "test": 27}
     with pytest.raises(Exception, match="too few rows"):
         dataset.time_split(df.limit(50)).collect()
+    with pytest.raises(Exception, match="an empty split"):
+        dataset.time_split(df.limit(3), least=1).collect()
 
 
 @pytest.mark.parametrize("seed", [1, 2])

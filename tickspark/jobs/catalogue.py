@@ -44,12 +44,18 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def filled(spark: SparkSession, sf_dir: str, tf: int = TIMEFRAME_S) -> DataFrame:
-    return bars.build_bars(trades(spark, sf_dir), tf, START_MS, END_MS)
+    """Bars of the events, whose ids are the key of their table."""
+    return bars.build_bars(trades(spark, sf_dir), tf, START_MS, END_MS, unique=True)
 
 
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
-    return features.build_features(adapters.trades_from_events(e), adapters.repeated_klines(e), TIMEFRAME_S, START_MS, END_MS)
+    return features.build_features(adapters.trades_from_events(e), adapters.repeated_klines(e), TIMEFRAME_S, START_MS, END_MS, unique=True)
+
+
+def label_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the labeller needs of five-minute bars."""
+    return features.bar_times(filled(spark, sf_dir), TIMEFRAME_S).select("symbol", "timestamp", "timestamp_ms", "timestamp_s", "timeframe_s", "open", "high", "low", "close")
 
 
 def label_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,11 +101,11 @@ def q(f: Query, digits: int = 6) -> Query:
 
 
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of files, one for each tenth event: stamped ones, and one in seven without a stamp."""
+    """Names of files, one for each event: stamped ones, and one in seventy without a stamp."""
     at = F.col("ts").cast("timestamp")
     stamp = lambda t: F.date_format(t, "yyyyMMdd_HHmmss")
     name = F.concat(F.lit("data/"), "event_type", F.lit("_"), stamp(at), F.lit("__"), stamp(at + F.expr("interval 2 days")), F.lit(".csv"))
-    return events(spark, sf_dir).where("event_id % 10 = 0").select(F.when(F.col("event_id") % 70 == 0, F.concat(F.lit("data/"), "event_type", F.lit(".csv"))).otherwise(name).alias("path"))
+    return events(spark, sf_dir).select(F.when(F.col("event_id") % 70 == 0, F.concat(F.lit("data/"), "event_type", F.lit(".csv"))).otherwise(name).alias("path"))
 
 
 def skipped_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +118,37 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def catalogue_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests written as JSON and read back: of each symbol's newest, tagged `latest`, the dataset that its artifact's path leads to."""
+    path = scratch(spark, "manifests")
+    rows = manifests(spark, sf_dir).withColumn("artifact_path", F.concat(F.lit("data/"), F.substring("symbol", 1, 1), F.lit("/"), (F.col("id") % 5000).cast("string")))
+    rows.write.json(path)
+    found = quality.read_manifests(spark, path, lines=True)
+    newest = found.groupBy("symbol").agg(F.max_by("id", F.struct("created_at", "id")).alias("target_id"))
+    latest = quality.tagged(found, newest.select(F.concat(F.lit("latest/"), "symbol").alias("tag"), "target_id")).select("tag", "id", "artifact_path")
+    first = quality.by_artifact(found, latest.select("artifact_path").distinct()).withColumnRenamed("id", "first_id")
+    return latest.join(first, "artifact_path")
+
+
+def labels_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label table written as CSV with header, read back and cleaned."""
+    path = scratch(spark, "labels")
+    label_table(spark, sf_dir).write.option("header", "true").csv(path)
+    rows = dataset.clean_labels(files.read_labels(spark, path), need_close=True, strict=True)
+    return rows.select("symbol", *files.LABELS_NEEDED)
+
+
+def repeated_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each trade twice, as overlapping files have it."""
+    return trades(spark, sf_dir).union(trades(spark, sf_dir))
+
+
+def checked_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decided(spark, sf_dir)
+    cells = evaluate.confusion_matrix(rows, "symbol")
+    return quality.backtest_checks(B.backtest(rows, every=symbols(spark, sf_dir))[1], evaluate.classification_report(cells, "symbol"), cells)
+
+
 def streamed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars of events read as a stream and written once complete; what the watermark hasn't passed stays out."""
     schema = adapters.table(spark, sf_dir, "events").schema
@@ -172,6 +209,7 @@ QUERIES: dict[str, Query] = {
     "merge_partials": q(lambda s, d: bars.merge_partials(bars.second_aggregates(trades(s, d)).withColumn("minute_s", F.floor(F.col("second_s") / 60) * 60), "symbol", "minute_s", order="second_s")),
     "bar_spine": lambda s, d: bars.bar_spine(trades(s, d).select("symbol").distinct(), START_MS + 500, END_MS - 1500, 7 * 3600),
     "bars_5m": q(lambda s, d: bars.bar_ratios(filled(s, d))),
+    "bars_repeated_trades": q(lambda s, d: bars.build_bars(repeated_trades(s, d), TIMEFRAME_S, START_MS, END_MS)),
     "bars_rollup_1h": q(lambda s, d: bars.rollup_bars(filled(s, d), 3600, START_MS)),
     "bars_daily_lineitem": q(lambda s, d: bars.daily_bars(adapters.ticks_from_lineitem(adapters.table(s, d, "lineitem")))),
     "klines_deduped": q(lambda s, d: features.dedupe_klines(adapters.repeated_klines(events(s, d)))),
@@ -179,8 +217,11 @@ QUERIES: dict[str, Query] = {
     "features_5m": q(feature_table),
     "future_outcomes": q(lambda s, d: labels.horizon_returns(labels.future_extremes(features.bar_times(filled(s, d), TIMEFRAME_S).select("symbol", "timestamp_ms", "high", "low", "close"), 12), 12, 0.0005).drop("high", "low", "close")),
     "labels_1h": q(label_table),
-    "labels_5m": q(lambda s, d: labels.build_labels(features.bar_times(filled(s, d), TIMEFRAME_S).select("symbol", "timestamp", "timestamp_ms", "timestamp_s", "timeframe_s", "open", "high", "low", "close"), *LABELS)),
-    "long_horizon_touch": lambda s, d: labels.first_touch_long_horizon(features.bar_times(filled(s, d), TIMEFRAME_S), 300, 0.0035, 0.0025, 2000),
+    "labels_5m": q(lambda s, d: labels.build_labels(label_bars(s, d), *LABELS)),
+    "labels_5m_in_chunks": q(lambda s, d: labels.build_labels_in_chunks(label_bars(s, d), 2000, *LABELS)),
+    "labels_long_horizon": q(lambda s, d: labels.build_labels_long_horizon(label_bars(s, d), 300, *LABELS[1:], chunk=2000)),
+    "labels_by_file": q(labels_by_file),
+    "long_horizon_touch": lambda s, d: labels.first_touch_long_horizon(label_bars(s, d), 300, 0.0035, 0.0025, 2000).select("symbol", "timestamp_ms", F.col("long_hit.step").alias("long_step"), F.col("short_hit.step").alias("short_step")),
     "label_sweep": lambda s, d: labels.label_sweep(features.bar_times(filled(s, d, 3600), 3600), SWEEP),
     "labels_clean": lambda s, d: dataset.clean_labels(dirty_labels(s, d)).select("symbol", "timestamp_ms", "label", "close", "ingest_seq"),
     "labels_clean_closed": lambda s, d: dataset.clean_labels(dirty_labels(s, d), need_close=True).select("symbol", "timestamp_ms", "label", "close", "ingest_seq"),
@@ -199,8 +240,13 @@ QUERIES: dict[str, Query] = {
     "trade_candidates": q(lambda s, d: B.trade_candidates(decided(s, d)).select("symbol", "timestamp_ms", "side", "event", "exit_reason", "hold_s", "return_pct")),
     "trades_gated": q(lambda s, d: B.backtest(decided(s, d))[0].select("symbol", "timestamp_ms", "side", "close", "p_no_trade", "p_long", "p_short", "event", "exit_reason", "hold_s", "return_pct", "equity_after")),
     "backtest_report": q(lambda s, d: B.backtest(decided(s, d), every=symbols(s, d))[1]),
+    "predictions": q(lambda s, d: B.predictions(decided(s, d))),
     "threshold_sweep": q(lambda s, d: B.threshold_sweep(scored(s, d).select("symbol", "timestamp_ms", "long_event", "short_event", "long_net_return_pct", "short_net_return_pct", "exit_reason", "time_to_exit_s", "p_no_trade", "p_long", "p_short"), GRID, symbols(s, d))),
     "ingest_report": lambda s, d: quality.ingest_report(raw(s, d), files.sanitize_trades(raw(s, d)), S.day_spine(s, START_MS, END_MS)),
+    "drop_reasons": lambda s, d: quality.drop_reasons(raw(s, d)),
+    "quality_backtest": q(checked_backtest),
+    "quality_order": q(lambda s, d: quality.order_check(dirty_labels(s, d).withColumn("timestamp_ms", F.col("timestamp_ms").try_cast("bigint")), chunk=700)),
+    "catalogue_files": catalogue_files,
     "profile_orders": q(lambda s, d: quality.profile(adapters.table(s, d, "orders").withColumn("o_custkey", F.when(F.col("o_orderkey") % 10 != 0, F.col("o_custkey")))).drop("dtype")),
     "class_distribution": q(lambda s, d: quality.class_distribution(adapters.table(s, d, "labels").withColumn("quality", F.when(F.col("doc_id") % 7 != 0, F.col("quality"))), "quality")),
     "catalog_lookup": lambda s, d: quality.catalog_lookup(manifests(s, d).withColumns({c: F.col(c).cast("string") for c in ("created_at", "start_date", "end_date")}), "1995-01-01", "1995-06-30"),

@@ -112,6 +112,7 @@ CTES: dict[str, str] = {
     "five_rows": "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY timestamp_s) AS i FROM five",
     **touch("h", "hour_rows", str(STEPS), e(TP / 100.0), e(SL / 100.0), e(COST)),
     **touch("f", "five_rows", str(STEPS), e(TP / 100.0), e(SL / 100.0), e(COST)),
+    **touch("l", "five_rows", "300", e(TP / 100.0), e(SL / 100.0), e(COST)),
     "grid": "SELECT * FROM (VALUES " + ", ".join(f"({h}, {e(t)}, {e(s)})" for h, t, s in SWEEP) + ") g(steps, tp_pct, sl_pct)",
     "hour_grid": "SELECT * FROM hour_rows, grid",
     **{k: v.replace("(SELECT symbol, i, timestamp_s, high, low, close FROM hour_grid)", "hour_rows") for k, v in touch("g", "hour_grid", "steps", "(tp_pct / 100.0e0)", "(sl_pct / 100.0e0)", "0.0005e0", "steps, tp_pct, sl_pct").items()},
@@ -176,6 +177,7 @@ PARAMS = f"{STEPS} AS horizon_steps, {{tf}}::BIGINT * {STEPS} AS horizon_seconds
 TIMES = "strftime(make_timestamp(timestamp_s * 1000000), '%Y-%m-%d %H:%M:%S') || '+00:00' AS timestamp, timestamp_s * 1000 AS timestamp_ms"
 STAMP = "data/[a-z]+_(\\d{8}_\\d{6})__(\\d{8}_\\d{6})\\.csv"
 ORDERS = [(c, "CASE WHEN o_orderkey % 10 <> 0 THEN o_custkey END" if c == "o_custkey" else c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")]
+LABELS_5M = f"SELECT a.symbol, {TIMES.replace('timestamp_s', 'a.timestamp_s')}, a.timestamp_s, {TIMEFRAME_S}::BIGINT AS timeframe_s, {LABEL_COLS}, {PARAMS.format(tf=TIMEFRAME_S)}, {r(' '.join('h.' + c for c in LABEL_NUMS.split()) + ' a.open a.high a.low a.close')} FROM five_rows a JOIN f_labelled h USING (symbol, i)"
 FINAL: dict[str, str] = {
     "trades_sanitized": "SELECT * FROM clean",
     "flags_lenient": "SELECT symbol, k::VARCHAR AS last_trade_id, lower(trim(flag_text)) IN ('true','1') AS flag, CASE WHEN lower(trim(flag_text)) IN ('true','1','t','y','yes') THEN true WHEN lower(trim(flag_text)) IN ('false','0','f','n','no') THEN false END AS strict FROM raw",
@@ -190,6 +192,7 @@ FINAL: dict[str, str] = {
     + ", max(max_trade_size) AS max_trade_size FROM seconds GROUP BY ALL)",
     "bar_spine": f"SELECT symbol, unnest(range({START_S}, {-(-(END_MS - 1500) // 1000)}, {7 * 3600}))::BIGINT AS timestamp_s FROM (SELECT DISTINCT symbol FROM trades)",
     "bars_5m": f"SELECT symbol, timestamp_s, trade_count, {r(OHLC + ' ' + AMOUNTS + ' avg_trade_size signed_volume trade_imbalance buy_sell_ratio vwap price_range')} FROM five_ratios",
+    "bars_repeated_trades": f"SELECT symbol, timestamp_s, trade_count, {r(OHLC + ' ' + AMOUNTS)} FROM five",
     "bars_rollup_1h": f"SELECT symbol, timestamp_s, trade_count, {r(OHLC + ' ' + AMOUNTS)} FROM hour",
     "bars_daily_lineitem": f"""SELECT symbol, day, trade_count, {r(OHLC + ' volume notional_volume max_trade_size')} FROM (SELECT l_returnflag || l_linestatus AS symbol, l_shipdate::DATE AS day, arg_min(l_extendedprice / l_quantity, (l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS open, max(l_extendedprice / l_quantity) AS high,
         min(l_extendedprice / l_quantity) AS low, arg_max(l_extendedprice / l_quantity, (l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS close, count(*) AS trade_count, sum(l_quantity) AS volume, sum(l_extendedprice / l_quantity * l_quantity) AS notional_volume, max(l_quantity) AS max_trade_size FROM lineitem GROUP BY ALL)""",
@@ -200,7 +203,10 @@ FINAL: dict[str, str] = {
     + f", {r('d.dist_from_1m_open d.dist_from_1m_high d.dist_from_1m_low d.dist_from_1m_close')} FROM rolled a JOIN distances d USING (symbol, timestamp_s)",
     "future_outcomes": f"SELECT symbol, timestamp_s * 1000 AS timestamp_ms, {r('future_max_upside_pct future_max_downside_pct long_horizon_return_pct short_horizon_return_pct')} FROM f_events",
     "labels_1h": f"SELECT symbol, {TIMES}, timestamp_s, 3600::BIGINT AS timeframe_s, trade_count, {LABEL_COLS}, {PARAMS.format(tf=3600)}, {r(LABEL_NUMS + ' ' + OHLC + ' ' + AMOUNTS + ' avg_trade_size signed_volume trade_imbalance buy_sell_ratio vwap price_range ret_1s ret_3s ret_5s ret_10s')} FROM label_rows",
-    "labels_5m": f"SELECT a.symbol, {TIMES.replace('timestamp_s', 'a.timestamp_s')}, a.timestamp_s, {TIMEFRAME_S}::BIGINT AS timeframe_s, {LABEL_COLS}, {PARAMS.format(tf=TIMEFRAME_S)}, {r(' '.join('h.' + c for c in LABEL_NUMS.split()) + ' a.open a.high a.low a.close')} FROM five_rows a JOIN f_labelled h USING (symbol, i)",
+    "labels_5m": LABELS_5M,
+    "labels_5m_in_chunks": LABELS_5M,
+    "labels_long_horizon": LABELS_5M.replace("f_labelled", "l_labelled").replace(f" {STEPS} AS horizon_steps", " 300 AS horizon_steps").replace(f"::BIGINT * {STEPS} AS", "::BIGINT * 300 AS"),
+    "labels_by_file": f"SELECT symbol, {TIMES}, timestamp_s, label, label_name, long_event, short_event, exit_reason, {r('close long_net_return_pct short_net_return_pct time_to_exit_s')} FROM label_rows",
     "long_horizon_touch": f"""SELECT symbol, timestamp_s * 1000 AS timestamp_ms, (SELECT min(b.i) FROM five_rows b WHERE b.symbol = a.symbol AND b.i > a.i AND b.i <= a.i + 300 AND (b.high >= a.close * (1 + 0.0035e0) OR b.low <= a.close * (1 - 0.0025e0))) - i AS long_step,
         (SELECT min(b.i) FROM five_rows b WHERE b.symbol = a.symbol AND b.i > a.i AND b.i <= a.i + 300 AND (b.low <= a.close * (1 - 0.0035e0) OR b.high >= a.close * (1 + 0.0025e0))) - i AS short_step FROM five_rows a""",
     "label_sweep": "SELECT steps, tp_pct, sl_pct, label, count(*) AS n FROM g_labelled GROUP BY ALL",
@@ -224,11 +230,21 @@ FINAL: dict[str, str] = {
     "trade_candidates": "SELECT symbol, timestamp_ms, side, event, exit_reason, hold_s, round(return_pct, 6) + 0.0e0 AS return_pct FROM candidates",
     "trades_gated": f"SELECT symbol, timestamp_ms, side, event, exit_reason, hold_s, {r('close p_no_trade p_long p_short return_pct equity_after')} FROM taken",
     "backtest_report": summary("taken", "decided", "symbol"),
+    "predictions": f"SELECT symbol, {TIMES.rpartition(',')[0]}, timestamp_ms, label, label_name, pred AS threshold_pred, pred_name AS threshold_pred_name, {r('close p_no_trade p_long p_short')} FROM decided",
     "threshold_sweep": summary("taken_all", "decided_all", "symbol long_at short_at margin"),
     "ingest_report": f"""SELECT s.symbol, s.day, coalesce(p.n, 0) AS parsed, coalesce(k.n, 0) AS kept, coalesce(p.n, 0) - coalesce(k.n, 0) AS dropped, coalesce(k.n, 0) = 0 AS skipped
         FROM (SELECT symbol, unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY))::DATE AS day FROM (SELECT DISTINCT symbol FROM raw) UNION ALL SELECT DISTINCT symbol, NULL::DATE FROM raw WHERE bad_time) s
         LEFT JOIN (SELECT symbol, CASE WHEN NOT bad_time THEN {day('timestamp')} END AS day, count(*) AS n FROM raw GROUP BY ALL) p ON p.symbol = s.symbol AND p.day IS NOT DISTINCT FROM s.day
         LEFT JOIN (SELECT symbol, {day('timestamp')} AS day, count(*) AS n FROM clean GROUP BY ALL) k ON k.symbol = s.symbol AND k.day = s.day""",
+    "drop_reasons": f"""SELECT symbol, CASE WHEN NOT bad_time THEN {day('timestamp')} END AS day, reason, count(*) AS n FROM (SELECT *, CASE WHEN NOT regexp_full_match(id_text, '[0-9]+') THEN 'agg_trade_id' WHEN bad_price THEN 'price' WHEN no_quantity THEN 'quantity'
+        WHEN bad_time THEN 'timestamp' WHEN flag_text = 'maybe' THEN 'buyer_is_maker' END AS reason FROM raw) WHERE reason IS NOT NULL GROUP BY ALL""",
+    "quality_backtest": f"""SELECT symbol, c.name AS "check", c.passed AS passed, round(c.value, 6) AS value FROM (SELECT symbol, unnest([{{'name': 'trade_count', 'passed': trade_count BETWEEN 1 AND 1000000, 'value': trade_count::DOUBLE}},
+        {{'name': 'finite_cumulative_return_pct', 'passed': isfinite(cumulative_return_pct), 'value': isfinite(cumulative_return_pct)::INT::DOUBLE}}, {{'name': 'finite_max_drawdown_pct', 'passed': isfinite(max_drawdown_pct), 'value': isfinite(max_drawdown_pct)::INT::DOUBLE}},
+        {{'name': 'finite_profit_factor', 'passed': isfinite(profit_factor), 'value': isfinite(profit_factor)::INT::DOUBLE}}, {{'name': 'macro_f1', 'passed': f1 > 0, 'value': f1}}, {{'name': 'predicted_classes', 'passed': k > 1, 'value': k::DOUBLE}}]) AS c
+        FROM ({summary("taken", "decided", "symbol")}) JOIN (SELECT symbol, avg(f) AS f1 FROM rates GROUP BY symbol) USING (symbol) JOIN (SELECT symbol, count(DISTINCT pred) AS k FROM decided GROUP BY symbol) USING (symbol))""",
+    "quality_order": """SELECT symbol, 'time_order' AS "check", count(*) FILTER (back) = 0 AS passed, (count(*) FILTER (back))::DOUBLE AS value FROM (SELECT symbol, timestamp_ms < lag(timestamp_ms) OVER (PARTITION BY symbol ORDER BY ingest_seq) AS back FROM dirty) GROUP BY symbol""",
+    "catalogue_files": """WITH m AS (SELECT o_orderpriority AS symbol, o_orderkey AS id, o_orderdate::DATE AS created, 'data/' || substr(o_orderpriority, 1, 1) || '/' || (o_orderkey % 5000) AS artifact_path FROM orders)
+        SELECT 'latest/' || symbol AS tag, id, artifact_path, (SELECT min(n.id) FROM m n WHERE n.artifact_path = q.artifact_path) AS first_id FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY created DESC, id DESC) = 1) q""",
     "profile_orders": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count(*) FILTER ({x} IS NULL) AS missing, round(count(*) FILTER ({x} IS NULL) * 100.0e0 / count(*), 6) AS missing_pct FROM orders" for c, x in ORDERS),
     "class_distribution": "SELECT value, n, round(n * 100.0e0 / sum(n) OVER (), 6) AS pct FROM (SELECT coalesce(CASE WHEN doc_id % 7 <> 0 THEN quality END::VARCHAR, 'NULL') AS value, count(*) AS n FROM labels GROUP BY 1)",
     "catalog_lookup": "SELECT o_orderpriority AS symbol, arg_max(o_orderkey, (o_orderdate::DATE, o_orderkey)) AS newest, count(*) AS n, count(*) FILTER (o_orderdate::DATE < DATE '1995-06-30' AND DATE '1995-01-01' < o_orderdate::DATE + 30) AS overlapping FROM orders GROUP BY 1",
@@ -236,7 +252,7 @@ FINAL: dict[str, str] = {
         SELECT symbol, 'unique_times' AS "check", n = t AS passed, (n - t)::DOUBLE AS value FROM q UNION ALL SELECT symbol, 'long_labels', l > 0, l::DOUBLE FROM q UNION ALL SELECT symbol, 'short_labels', s > 0, s::DOUBLE FROM q
         UNION ALL SELECT symbol, 'finite_close', o = 0, o::DOUBLE FROM q UNION ALL SELECT symbol, 'label_share', (l + s) * 20 >= n, round((l + s) / n, 6) FROM q""",
     "prune_by_stamp": f"""SELECT path FROM (SELECT CASE WHEN event_id % 70 = 0 THEN 'data/' || event_type || '.csv' ELSE 'data/' || event_type || '_' || strftime(ts, '%Y%m%d_%H%M%S') || '__' || strftime(ts + INTERVAL 2 DAY, '%Y%m%d_%H%M%S') || '.csv' END AS path,
-        event_id % 70 = 0 AS plain, date_trunc('second', ts) AS a, date_trunc('second', ts + INTERVAL 2 DAY) AS b FROM events WHERE event_id % 10 = 0) WHERE plain OR (epoch_ms(a) < {START_MS + 5 * DAY} AND {START_MS + 3 * DAY} < epoch_ms(b))""",
+        event_id % 70 = 0 AS plain, date_trunc('second', ts) AS a, date_trunc('second', ts + INTERVAL 2 DAY) AS b FROM events) WHERE plain OR (epoch_ms(a) < {START_MS + 5 * DAY} AND {START_MS + 3 * DAY} < epoch_ms(b))""",
     "stream_bars": f"SELECT symbol, hour_s AS timestamp_s, trade_count, {r(OHLC + ' ' + AMOUNTS)} FROM (SELECT symbol, second_s // 3600 * 3600 AS hour_s, min_by(open, second_s) AS open, max(high) AS high, min(low) AS low, max_by(close, second_s) AS close, sum(trade_count)::BIGINT AS trade_count, "
     + ", ".join(f"sum({c}) AS {c}" for c in AMOUNTS.split()[:-1])
     + ", max(max_trade_size) AS max_trade_size FROM seconds GROUP BY ALL) WHERE (hour_s + 3600) * 1000 <= (SELECT max(timestamp) FROM trades) - 600000",

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickspark.operators.evaluate import threshold_decisions
 
@@ -15,15 +16,18 @@ from tickspark.operators.evaluate import threshold_decisions
 def trade_candidates(decided: DataFrame) -> DataFrame:
     """Rows with a decision, with side, event, return_pct and hold_s; those without a return or time to exit go.
 
-    Time to exit and reason are the label's, whichever side is traded.
+    Time to exit and reason are the label's, whichever side is traded. Rows are chosen by a generator of none or one row: a
+    filter would be pushed below the scores, and copy all of their expressions into itself.
     """
     long = F.col("pred") == 1
-    rows = decided.where("pred <> 0").withColumns({
+    rows = decided.withColumns({
         "side": F.when(long, "LONG").otherwise("SHORT"), "event": F.when(long, F.col("long_event")).otherwise(F.col("short_event")),
         "return_pct": F.when(long, F.col("long_net_return_pct")).otherwise(F.col("short_net_return_pct")),
+        "hold_s": F.greatest(F.ceil("time_to_exit_s"), F.lit(1)).cast("long"),
     })
-    rows = rows.where(F.col("return_pct").isNotNull() & F.col("time_to_exit_s").isNotNull())
-    return rows.withColumn("hold_s", F.greatest(F.ceil("time_to_exit_s"), F.lit(1)).cast("long"))
+    chosen = (F.col("pred") != 0) & F.col("return_pct").isNotNull() & F.col("time_to_exit_s").isNotNull()
+    row = F.struct(*[F.col(c) for c in rows.columns])
+    return rows.select(F.inline(F.when(chosen, F.array(row)).otherwise(F.array().cast(T.ArrayType(rows.schema)))))
 
 
 def gate_trades(candidates: DataFrame, *keys: str) -> DataFrame:
@@ -106,6 +110,11 @@ def backtest(decided: DataFrame, *keys: str, every: DataFrame | None = None) ->
     return curve, trade_summary(with_falls(curve, *own), every, *own, more=(drawdown_column(), sharpe_column()))
 
 
+def predictions(decided: DataFrame) -> DataFrame:
+    """Every evaluated row, traded or not, with its label, probabilities and decision."""
+    return decided.select("symbol", "timestamp", "timestamp_ms", "close", "label", "label_name", "p_no_trade", "p_long", "p_short", F.col("pred").alias("threshold_pred"), F.col("pred_name").alias("threshold_pred_name"))
+
+
 def threshold_sweep(scored: DataFrame, grid: list[tuple[float, float, float]], symbols: DataFrame | None = None) -> DataFrame:
     """Backtest summary of each symbol and setting (long, short, margin). The grid is a list in the program, so its table is small."""
     settings = F.broadcast(scored.sparkSession.createDataFrame(grid, "long_at double, short_at double, margin double"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickspark.functions.scalars import EPS, range_filter, trade_measures
+from tickspark.functions.scalars import DAY_MS, EPS, range_filter, trade_measures
 
 #: Sums of trade_measures() and the names they get in bars.
 SUMS = {"quantity": "volume", "buy_volume": "buy_volume", "sell_volume": "sell_volume", "notional": "notional_volume", "buy_notional": "buy_notional", "sell_notional": "sell_notional"}
@@ -58,6 +58,12 @@ def bar_spine(symbols: DataFrame, start_ms: int, end_ms: int, timeframe_s: int)
     return symbols.select("symbol", F.explode(F.expr(f"sequence({start_s}L, {end_s - 1}L, {timeframe_s}L)")).alias("timestamp_s"))
 
 
+def unique_trades(trades: DataFrame) -> DataFrame:
+    """One trade for each symbol and id, as files may overlap: the latest by time. Only the columns that bars need stay."""
+    last = lambda c: F.max_by(c, "timestamp").alias(c)  # noqa: E731  of numbers and flags, so it stays a hash aggregate
+    return trades.groupBy("symbol", "agg_trade_id").agg(F.max("timestamp").alias("timestamp"), last("price"), last("quantity"), last("buyer_is_maker"))
+
+
 def traded_bars(trades: DataFrame, timeframe_s: int, start_ms: int, end_ms: int) -> DataFrame:
     """Bars that have trades, with first_s (their first second) and first_s_close (its last price): one shuffle of partial sums keyed by symbol and bar."""
     start_s = start_ms // 1000
@@ -79,6 +85,29 @@ def in_chunks(rows: DataFrame, start_ms: int, timeframe_s: int, size: int, befor
     return rows.withColumn("chunk", F.explode(near) if before or after else c).withColumn("own", F.col("chunk") == c)
 
 
+def numbered(rows: DataFrame, time: str = "timestamp_ms", span_ms: int = DAY_MS) -> DataFrame:
+    """rows with i, their place in their symbol's time order from 0, and n, the symbol's rows.
+
+    Rows are counted and ranked in spans of time, and a small table of the spans' counts gives what lies before each,
+    so no symbol is one task.
+    """
+    rows = rows.withColumn("span", F.floor(F.col(time) / span_ms))
+    counts = rows.groupBy("symbol", "span").agg(F.count("*").alias("here"))
+    w = W.partitionBy("symbol")
+    before = F.sum("here").over(w.orderBy("span").rowsBetween(W.unboundedPreceding, -1))
+    counts = counts.select("symbol", "span", F.coalesce(before, F.lit(0)).alias("before"), F.sum("here").over(w).alias("n"))
+    rank = F.row_number().over(W.partitionBy("symbol", "span").orderBy(time))
+    return rows.join(counts, ["symbol", "span"]).withColumn("i", F.col("before") + rank - 1).drop("span", "before")
+
+
+def dealt(rows: DataFrame, size: int, before: int = 0, after: int = 0) -> DataFrame:
+    """numbered() rows with chunk and own, as in_chunks() gives them of dense bars: chunks of `size` rows with a halo."""
+    i, c = F.col("i"), F.floor(F.col("i") / size)
+    reach = F.sequence(F.greatest(F.floor((i - after) / size), F.lit(0)), F.floor((i + before) / size))
+    last = F.floor((F.col("n") - 1) / size)
+    return rows.withColumn("chunk", F.explode(F.filter(reach, lambda x: x <= last))).withColumn("own", F.col("chunk") == c)
+
+
 def last_known(rows: DataFrame, value: str, out: str, chunked: bool, with_own: bool = False) -> DataFrame:
     """rows with out: the last known value before each row (with_own: or its own), per symbol in time order.
 
@@ -119,11 +148,14 @@ def fill_bars(spine: DataFrame, bars: DataFrame, chunked: bool = False) -> DataF
     return rows.select("symbol", "timestamp_s", *(["chunk"] if chunked else []), "open", "high", "low", "close", *AMOUNTS)
 
 
-def build_bars(trades: DataFrame, timeframe_s: int, start_ms: int, end_ms: int, chunk: int = CHUNK) -> DataFrame:
-    """Dense OHLCV bars of every symbol that trades in range."""
+def build_bars(trades: DataFrame, timeframe_s: int, start_ms: int, end_ms: int, chunk: int = CHUNK, unique: bool = False) -> DataFrame:
+    """Dense OHLCV bars of every symbol that trades in range.
+
+    Repeated trades count once, which costs a shuffle of the trades; `unique` spares it where the source has each trade once.
+    """
     if end_ms <= start_ms or timeframe_s <= 0:
         raise ValueError("an empty range or time frame")
-    bars = traded_bars(trades, timeframe_s, start_ms, end_ms)
+    bars = traded_bars(trades if unique else unique_trades(range_filter(trades, start_ms, end_ms)), timeframe_s, start_ms, end_ms)
     spine = bar_spine(range_filter(trades, start_ms, end_ms).select("symbol").distinct(), start_ms, end_ms, timeframe_s)
     if chunked := (end_ms - start_ms) > chunk * timeframe_s * 1000:
         spine = in_chunks(spine, start_ms, timeframe_s, chunk).drop("own")
@@ -144,8 +176,9 @@ def bar_ratios(bars: DataFrame) -> DataFrame:
 
 
 def daily_bars(ticks: DataFrame) -> DataFrame:
-    """Daily bars of ticks that are ordered by line keys; the wide case."""
-    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    """Daily bars of ticks that are ordered by line keys; the wide case. The keys are one DECIMAL of 14, 2, 12 and 10 digits, as in _order()."""
+    digits = {"l_orderkey": (14, 24), "l_linenumber": (2, 22), "l_partkey": (12, 10), "l_suppkey": (10, 0)}
+    order = F.expr("cast(" + " + ".join(f"cast({c} as decimal({n},0)) * {10**k}BD" for c, (n, k) in digits.items()) + " as decimal(38,0))")
     return ticks.groupBy("symbol", "day").agg(
         F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"),
         F.count("*").alias("trade_count"), F.sum("quantity").alias("volume"), F.sum(F.col("price") * F.col("quantity")).alias("notional_volume"), F.max("quantity").alias("max_trade_size"),

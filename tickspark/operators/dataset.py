@@ -7,16 +7,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickspark.operators.bars import CHUNK, dealt, numbered
 from tickspark.operators.labels import FRONT
+from tickspark.sources.files import require_rows
 
 #: Columns of a label table that are no features; close stays one.
 NOT_FEATURES = [c for c in FRONT if c != "close"]
 
 
-def clean_labels(df: DataFrame, order: str = "ingest_seq", need_close: bool = False) -> DataFrame:
-    """Typed rows with time and label, one for each symbol and time: the last by `order`."""
+def clean_labels(df: DataFrame, order: str = "ingest_seq", need_close: bool = False, strict: bool = False) -> DataFrame:
+    """Typed rows with time and label, one for each symbol and time: the last by `order`. With `strict`, it is an error if none is left."""
     rows = df.withColumns({"timestamp_ms": F.col("timestamp_ms").try_cast("bigint"), "label": F.col("label").try_cast("int")} | ({"close": F.col("close").try_cast("double")} if need_close else {}))
     rows = rows.dropna(subset=["timestamp_ms", "label", *(["close"] if need_close else [])])
+    if strict:
+        require_rows(rows, "label rows")
     w = W.partitionBy("symbol", "timestamp_ms").orderBy(F.col(order).desc())
     return rows.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
 
@@ -40,34 +44,53 @@ def finite_rows(df: DataFrame, cols: list[str]) -> DataFrame:
     return rows.where(fine)
 
 
-def lookback_windows(df: DataFrame, cols: list[str], rows_back: int, keep: tuple[str, ...] = ("label",)) -> DataFrame:
-    """(symbol, timestamp_ms, keep, x): the last rows_back rows' features, oldest first, as one array; rows with fewer before them give none."""
-    w = W.partitionBy("symbol").orderBy("timestamp_ms").rowsBetween(-(rows_back - 1), 0)
-    rows = df.withColumn("frame", F.collect_list(F.array(*[F.col(c).cast("float") for c in cols])).over(w))
-    return rows.where(F.size("frame") == rows_back).select("symbol", "timestamp_ms", *keep, F.flatten("frame").alias("x"))
+def lookback_windows(df: DataFrame, cols: list[str], rows_back: int, keep: tuple[str, ...] = ("label",), chunk: int = CHUNK, strict: bool = False) -> DataFrame:
+    """(symbol, timestamp_ms, keep, x): the last rows_back rows' features, oldest first, as one array; rows with fewer before them give none.
+
+    Histories are dealt out in chunks of `chunk` rows with the rows_back - 1 rows before each. With `strict`, a symbol of
+    fewer than rows_back rows is an error when the rows are read.
+    """
+    frame = F.array(*[F.col(c).cast("float") for c in cols])
+    rows = numbered(df).select("symbol", "timestamp_ms", *keep, frame.alias("row"), "i", "n")
+    rows = dealt(rows, chunk, before=rows_back - 1)
+    w = W.partitionBy("symbol", "chunk").orderBy("i").rowsBetween(-(rows_back - 1), 0)
+    rows = rows.withColumn("frame", F.collect_list("row").over(w))
+    whole = F.size("frame") == rows_back
+    if strict:
+        whole = F.when(F.col("n") < rows_back, F.raise_error(F.concat(F.lit("too few rows for "), "symbol")).cast("boolean")).otherwise(whole)
+    return rows.where(F.col("own") & whole).select("symbol", "timestamp_ms", *keep, F.flatten("frame").alias("x"))
 
 
 def time_split(df: DataFrame, train: float = 0.7, val: float = 0.15, least: int = 100, embargo: int = 0) -> DataFrame:
-    """df with split by time order per symbol; `embargo` rows after a border go. Symbols with fewer than `least` rows are an error when the rows are read."""
-    w = W.partitionBy("symbol")
-    place, n = F.row_number().over(w.orderBy("timestamp_ms")) - 1, F.count("*").over(w)
-    rows = df.withColumns({"place": place, "n": n})
+    """df with split by time order per symbol; `embargo` rows after a border go.
+
+    Symbols with fewer than `least` rows, or with an empty split, are an error when the rows are read.
+    """
+    rows = numbered(df)
     first, second = F.floor(F.col("n") * F.lit(train)), F.floor(F.col("n") * F.lit(train + val))
-    split = F.when(F.col("n") < least, F.raise_error(F.concat(F.lit("too few rows for "), "symbol")).cast("string")).when(F.col("place") < first, "train").when(F.col("place") < second, "val").otherwise("test")
+    error = lambda text: F.raise_error(F.concat(F.lit(text), "symbol")).cast("string")
+    split = F.when(F.col("n") < least, error("too few rows for ")).when((first < 1) | (second <= first) | (second >= F.col("n")), error("an empty split for "))
+    split = split.when(F.col("i") < first, "train").when(F.col("i") < second, "val").otherwise("test")
     rows = rows.withColumn("split", split)
     if embargo:
-        rows = rows.where(~(F.col("place").between(first, first + embargo - 1) | F.col("place").between(second, second + embargo - 1)))
-    return rows.drop("place", "n")
+        rows = rows.where(~(F.col("i").between(first, first + embargo - 1) | F.col("i").between(second, second + embargo - 1)))
+    return rows.drop("i", "n")
 
 
 def fit_standardizer(train: DataFrame) -> DataFrame:
     """(position, mean, std) of each place of x, with population std, 1 where that is below 1e-12.
 
-    Arrays are summed place by place before the shuffle, so one row a task and place moves.
+    All places are summed together, an array of sums a task, so rows are neither exploded nor shuffled.
     """
-    place = train.select(F.posexplode("x").alias("position", "value")).withColumn("value", F.col("value").cast("double"))
-    std = F.stddev_pop("value")
-    return place.groupBy("position").agg(F.avg("value").alias("mean"), F.when(std < 1e-12, 1.0).otherwise(std).alias("std"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    x = array_to_vector(F.col("x").cast("array<double>"))
+    sums = train.groupBy(F.lit(0).alias("all")).agg(Summarizer.metrics("mean", "variance", "count").summary(x).alias("s"))
+    n = F.col("s.count").cast("double")
+    places = sums.select(n.alias("n"), F.posexplode(F.arrays_zip(vector_to_array("s.mean").alias("mean"), vector_to_array("s.variance").alias("variance"))).alias("position", "at"))
+    std = F.sqrt(F.col("at.variance") * (F.col("n") - 1) / F.col("n"))
+    return places.select("position", F.col("at.mean").alias("mean"), F.when(std < 1e-12, 1.0).otherwise(std).alias("std"))
 
 
 def apply_standardizer(df: DataFrame, stats: DataFrame) -> DataFrame:

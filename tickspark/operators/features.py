@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from tickspark.functions.scalars import EPS
+from tickspark.functions.scalars import EPS, range_filter
 from tickspark.operators.bars import CHUNK, bar_ratios, build_bars, in_chunks, last_known
+from tickspark.sources.files import require_rows
 
 #: The columns of a feature table, in order, and those of kline context.
 FEATURES = [
@@ -94,13 +95,20 @@ def window_features(bars: DataFrame) -> DataFrame:
     return rolling_volatility(rows)
 
 
-def build_features(trades: DataFrame, klines: DataFrame | None, timeframe_s: int, start_ms: int, end_ms: int, chunk: int = CHUNK) -> DataFrame:
-    """The feature table of [start_ms, end_ms), with kline context if klines are given. Histories of over `chunk` bars are dealt out in chunks."""
-    rows = build_bars(trades, timeframe_s, start_ms, end_ms, chunk)
+def build_features(trades: DataFrame, klines: DataFrame | None, timeframe_s: int, start_ms: int, end_ms: int, chunk: int = CHUNK, unique: bool = False, strict: bool = False) -> DataFrame:
+    """The feature table of [start_ms, end_ms), with kline context if klines are given. Histories of over `chunk` bars are dealt out in chunks.
+
+    `unique` is that of build_bars(). With `strict`, no trade or no kline in range is an error at once; else the result is empty.
+    """
+    if strict:
+        require_rows(range_filter(trades, start_ms, end_ms), "trades")
+    rows = build_bars(trades, timeframe_s, start_ms, end_ms, chunk, unique)
     chunked = (end_ms - start_ms) > chunk * timeframe_s * 1000
     if klines is not None:
         low, high = start_ms // 60000 * 60000, -(-end_ms // 60000) * 60000
         known = dedupe_klines(klines).where((F.col("open_time") >= low) & (F.col("open_time") < high))
+        if strict:
+            require_rows(known, "klines")
         rows = in_chunks(rows, start_ms, timeframe_s, chunk).drop("own") if chunked else rows
         rows = kline_distances(join_kline_context(rows, known, chunked)).drop("chunk")
     rows = window_features(in_chunks(rows, start_ms, timeframe_s, chunk, before=REACH) if chunked else rows)
@@ -108,10 +116,3 @@ def build_features(trades: DataFrame, klines: DataFrame | None, timeframe_s: int
     plain = {f"{c}_1s": F.col(c).cast("double") for c in ("vwap", "trade_count", "volume", "notional_volume", "buy_volume", "sell_volume", "signed_volume", "trade_imbalance", "buy_sell_ratio", "avg_trade_size", "max_trade_size", "price_range")}
     rows = rows.withColumns(plain | {"trade_count_5s": F.col("trade_count_5s").cast("double")})
     return rows.select("symbol", *FEATURES, *(CONTEXT if klines is not None else []))
-
-
-def require_rows(df: DataFrame, what: str) -> DataFrame:
-    """df; an error if it is empty. It asks for one row, so call it where a job starts."""
-    if df.isEmpty():
-        raise ValueError(f"no {what} in range")
-    return df

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from tickspark.operators.bars import in_chunks
+from tickspark.operators.bars import CHUNK, dealt, numbered
 
 NO_TRADE, LONG, SHORT = 0, 1, 2
 #: Names of the classes, and the columns that a label table begins with.
@@ -68,10 +68,15 @@ def touch_columns(rows: DataFrame, tp: Column, sl: Column, cost: Column) -> Data
     """rows (with future and horizon returns) with event, net return and time to exit of either side."""
     n = F.size("future")
     out = rows.withColumns({"long_hit": first_touch("long", tp, sl), "short_hit": first_touch("short", tp, sl)})
+    return outcome_columns(out, n, F.try_element_at(F.col("future.timestamp_s"), n), tp, sl, cost)
+
+
+def outcome_columns(out: DataFrame, n: Column, end_s: Column, tp: Column, sl: Column, cost: Column) -> DataFrame:
+    """Event, net return and time to exit of either side, from its first touch (long_hit, short_hit), the number of rows ahead and the last one's time."""
     for side in ("long", "short"):
         hit = F.col(f"{side}_hit")
         event = F.when(n == 0, "NONE").when(hit.isNull(), "HORIZON").when(hit["tp"] & hit["sl"], "AMBIGUOUS").when(hit["tp"], "TP").otherwise("SL")
-        at, step = F.coalesce(hit["timestamp_s"], F.try_element_at(F.col("future.timestamp_s"), n)), F.coalesce(hit["step"], n)
+        at, step = F.coalesce(hit["timestamp_s"], end_s), F.coalesce(hit["step"], n)
         delta = at - F.col("timestamp_s")
         out = out.withColumns({f"{side}_event": event, f"{side}_tte": F.when(n > 0, F.when(delta > 0, delta).otherwise(step).cast("double"))})
         net = F.when(F.col(f"{side}_event") == "TP", (tp - cost) * 100.0).when(F.col(f"{side}_event") == "SL", (-sl - cost) * 100.0).when(F.col(f"{side}_event") == "HORIZON", F.col(f"{side}_horizon_return_pct"))
@@ -102,16 +107,21 @@ def build_labels(bars: DataFrame, steps: int = 12, tp_pct: float = 0.35, sl_pct:
     cost = (fee_pct + slippage_pct) / 100.0
     rows = horizon_returns(future_extremes(future_frame(bars, steps), steps), steps, cost)
     rows = label_decision(touch_columns(rows, F.lit(tp_pct / 100.0), F.lit(sl_pct / 100.0), F.lit(cost)))
+    return label_table(rows, bars, steps, tp_pct, sl_pct, fee_pct, slippage_pct)
+
+
+def label_table(rows: DataFrame, bars: DataFrame, steps: int, tp_pct: float, sl_pct: float, fee_pct: float, slippage_pct: float) -> DataFrame:
+    """The front columns of decided rows, then what bars have besides."""
     seconds = F.lit(steps) * F.col("timeframe_s")
     rows = rows.withColumns({"horizon_steps": F.lit(steps), "horizon_seconds": seconds, "horizon_s": seconds, "take_profit_pct": F.lit(tp_pct), "stop_loss_pct": F.lit(sl_pct), "fee_pct": F.lit(fee_pct), "slippage_pct": F.lit(slippage_pct)})
     front = [c for c in FRONT if c in rows.columns]
     return rows.select("symbol", *front, *[c for c in bars.columns if c not in (*front, "symbol")])
 
 
-def build_labels_in_chunks(bars: DataFrame, start_ms: int, timeframe_s: int, chunk: int, steps: int = 12, *args: float) -> DataFrame:
-    """build_labels() of dense bars whose histories are too long for one task: chunks of `chunk` bars with the next `steps` rows copied in."""
-    rows = build_labels(in_chunks(bars, start_ms, timeframe_s, chunk, after=steps), steps, *args)
-    return rows.where("own").drop("chunk", "own")
+def build_labels_in_chunks(bars: DataFrame, chunk: int = CHUNK, steps: int = 12, *args: float) -> DataFrame:
+    """build_labels() of histories too long for one task, with or without gaps: chunks of `chunk` rows with the next `steps` rows copied in."""
+    rows = build_labels(dealt(numbered(bars), chunk, after=steps), steps, *args)
+    return rows.where("own").drop("chunk", "own", "i", "n")
 
 
 def label_sweep(bars: DataFrame, settings: list[tuple[int, float, float]], cost: float = 0.0005) -> DataFrame:
@@ -129,32 +139,57 @@ def label_sweep(bars: DataFrame, settings: list[tuple[int, float, float]], cost:
     return rows.groupBy("steps", "tp_pct", "sl_pct", "label").agg(F.count("*").alias("n"))
 
 
-def first_touch_long_horizon(bars: DataFrame, steps: int, tp: float, sl: float, chunk: int = 50_000) -> DataFrame:
-    """(symbol, timestamp_ms, long_step, short_step) for horizons too long to collect: numpy over chunks with a halo of `steps` rows.
+def first_touch_long_horizon(bars: DataFrame, steps: int, tp: float, sl: float, chunk: int = CHUNK) -> DataFrame:
+    """bars with what the next `steps` rows hold, for horizons too long to collect: numpy over chunks with a halo of `steps` rows.
 
-    A step is the first row ahead that touches either barrier of the side, null without. Rows are dealt by (symbol, chunk),
-    so a symbol of any length is many groups of at most chunk + steps rows.
+    ahead (rows ahead), top, bottom, last and last_s (their highest, lowest and last price, and the last one's time), long_hit
+    and short_hit: the first row ahead that touches a barrier of the side, as first_touch() has it, null without. Rows are dealt by
+    (symbol, chunk), so a symbol of any length is many groups of at most chunk + steps rows.
     """
-    w = W.partitionBy("symbol").orderBy("timestamp_ms")
-    rows = bars.select("symbol", "timestamp_ms", "high", "low", "close", (F.row_number().over(w) - 1).alias("i"))
-    own = F.floor(F.col("i") / chunk)
-    reach = F.floor((F.col("i") - steps) / chunk)
-    rows = rows.withColumn("chunk", F.explode(F.sequence(F.greatest(reach, F.lit(0)), own)))
+    rows = dealt(numbered(bars), chunk, after=steps)
+    hit = "struct<step:long,timestamp_s:long,tp:boolean,sl:boolean>"
+    schema = f"symbol string, timestamp_ms long, ahead long, top double, bottom double, last double, last_s long, long_hit {hit}, short_hit {hit}"
 
     def touch(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i", ignore_index=True)
-        n = int((pdf["i"] // chunk == pdf["chunk"]).sum())
-        high, low, close = (pdf[c].to_numpy() for c in ("high", "low", "close"))
-        steps_of = {}
+        n = int(pdf["own"].sum())
+        high, low, close, at = (pdf[c].to_numpy() for c in ("high", "low", "close", "timestamp_s"))
+        ahead = np.minimum(steps, len(pdf) - 1 - np.arange(n))
+        out = {"symbol": pdf["symbol"][:n], "timestamp_ms": pdf["timestamp_ms"][:n], "ahead": ahead}
+        for name, c, best in (("top", "high", "max"), ("bottom", "low", "min")):
+            window = pdf[c][::-1].rolling(steps, min_periods=1)
+            out[name] = getattr(window, best)()[::-1].shift(-1)[:n]
+        end = np.minimum(np.arange(n) + steps, len(pdf) - 1)
+        out["last"], out["last_s"] = np.where(ahead > 0, close[end], np.nan), pd.array(at[end], "Int64")
+        out["last_s"][ahead == 0] = pd.NA
         for side, up, down in (("long", tp, sl), ("short", sl, tp)):
-            found, todo = np.zeros(n, np.int64), np.arange(n)
+            found, above, below, todo = np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool), np.arange(n)
             for k in range(1, steps + 1):
                 todo = todo[todo + k < len(pdf)]
-                hit = (high[todo + k] >= close[todo] * (1 + up)) | (low[todo + k] <= close[todo] * (1 - down))
-                found[todo[hit]] = k
-                todo = todo[~hit]
-            steps_of[f"{side}_step"] = pd.array(np.where(found > 0, found, 0), "Int64")
-            steps_of[f"{side}_step"][found == 0] = pd.NA
-        return pd.DataFrame({"symbol": pdf["symbol"][:n], "timestamp_ms": pdf["timestamp_ms"][:n], **steps_of})
-
-    return rows.groupBy("symbol", "chunk").applyInPandas(touch, "symbol string, timestamp_ms long, long_step long, short_step long")
+                if not len(todo):
+                    break
+                over, under = high[todo + k] >= close[todo] * (1 + up), low[todo + k] <= close[todo] * (1 - down)
+                touched = over | under
+                own = todo[touched]
+                found[own], above[own], below[own] = k, over[touched], under[touched]
+                todo = todo[~touched]
+            won, lost = (above, below) if side == "long" else (below, above)
+            out[f"{side}_hit"] = [{"step": k, "timestamp_s": t, "tp": w, "sl": x} if k else None for k, t, w, x in zip(found.tolist(), at[np.arange(n) + found].tolist(), won.tolist(), lost.tolist(), strict=True)]
+        return pd.DataFrame(out)
+
+    found = rows.select("symbol", "chunk", "own", "i", "timestamp_ms", "timestamp_s", "high", "low", "close").groupBy("symbol", "chunk").applyInPandas(touch, schema)
+    found = found.withColumns({c: F.when(F.col("ahead") > 0, F.col(c)) for c in ("top", "bottom", "last")})
+    return bars.join(found, ["symbol", "timestamp_ms"])
+
+
+def build_labels_long_horizon(bars: DataFrame, steps: int, tp_pct: float = 0.35, sl_pct: float = 0.25, fee_pct: float = 0.04, slippage_pct: float = 0.01, chunk: int = CHUNK) -> DataFrame:
+    """build_labels() for horizons too long to collect."""
+    cost = (fee_pct + slippage_pct) / 100.0
+    rows = first_touch_long_horizon(bars, steps, tp_pct / 100.0, sl_pct / 100.0, chunk)
+    e = F.col("close")
+    rows = rows.withColumns({
+        "future_max_upside_pct": (F.col("top") / e - 1.0) * 100.0, "future_max_downside_pct": (F.col("bottom") / e - 1.0) * 100.0,
+        "long_horizon_return_pct": (F.col("last") / e - 1.0 - cost) * 100.0, "short_horizon_return_pct": (e / F.col("last") - 1.0 - cost) * 100.0,
+    })
+    rows = outcome_columns(rows, F.col("ahead"), F.col("last_s"), F.lit(tp_pct / 100.0), F.lit(sl_pct / 100.0), F.lit(cost))
+    return label_table(label_decision(rows), bars, steps, tp_pct, sl_pct, fee_pct, slippage_pct)

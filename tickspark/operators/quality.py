@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickspark.functions.scalars import day_of, whole_number
+from tickspark.functions.scalars import day_of, parse_flag, whole_number
+from tickspark.operators.bars import CHUNK, dealt, numbered
+from tickspark.sources.files import TRADE_COLUMNS
 
 
 def ingest_report(raw: DataFrame, clean: DataFrame, days: DataFrame) -> DataFrame:
@@ -20,6 +22,16 @@ def ingest_report(raw: DataFrame, clean: DataFrame, days: DataFrame) -> DataFram
     return rows.select("s.symbol", "s.day", n("p.parsed").alias("parsed"), n("k.kept").alias("kept"), (n("p.parsed") - n("k.kept")).alias("dropped"), (n("k.kept") == 0).alias("skipped"))
 
 
+def drop_reasons(raw: DataFrame) -> DataFrame:
+    """(symbol, day, reason, n) of rows that sanitize_trades() drops: the first column, in the file's order, that can't be read. Unreadable times have a null day."""
+    clean = {c: F.trim(F.col(c)) for c in TRADE_COLUMNS}
+    fine = {c: {"bigint": whole_number, "double": lambda x: x.try_cast("double"), "boolean": parse_flag}[kind](clean[c]).isNotNull() for c, kind in TRADE_COLUMNS.items()}
+    fine["agg_trade_id"] = fine["agg_trade_id"] & clean["agg_trade_id"].rlike("^[0-9]+$")
+    reason = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(c)) for c, ok in fine.items()])
+    ms = whole_number(clean["timestamp"])
+    return raw.select("symbol", day_of(F.when(ms.between(0, 253402300799999), ms)).alias("day"), reason.alias("reason")).where("reason is not null").groupBy("symbol", "day", "reason").agg(F.count("*").alias("n"))
+
+
 def profile(df: DataFrame) -> DataFrame:
     """(column, dtype, n_rows, missing, missing_pct) of each column, in one pass."""
     sums = df.agg(F.count("*").alias("n_rows"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)])
@@ -33,8 +45,15 @@ def class_distribution(df: DataFrame, column: str) -> DataFrame:
     return counts.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(W.partitionBy(F.lit(1))))
 
 
-def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", "true").json(path)
+def read_manifests(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Manifests of JSON files, one a file, or with `lines` one a line; files that are no JSON are passed over."""
+    return spark.read.option("multiLine", str(not lines).lower()).option("mode", "DROPMALFORMED").json(path)
+
+
+def by_artifact(manifests: DataFrame, paths: DataFrame) -> DataFrame:
+    """(artifact_path, id) of each row of paths: the first dataset, by id, with this artifact; null without."""
+    first = manifests.groupBy("artifact_path").agg(F.min("id").alias("id"))
+    return paths.select("artifact_path").join(first, "artifact_path", "left")
 
 
 def catalog_lookup(manifests: DataFrame, start: str, end: str) -> DataFrame:
@@ -61,3 +80,29 @@ def quality_checks(labelled: DataFrame) -> DataFrame:
         line("short_labels", F.col("shorts") > 0, F.col("shorts")), line("finite_close", F.col("odd") == 0, F.col("odd")),
         line("label_share", (F.col("longs") + F.col("shorts")) * 20 >= F.col("n"), (F.col("longs") + F.col("shorts")) / F.col("n")),
     )))
+
+
+def order_check(rows: DataFrame, order: str = "ingest_seq", time: str = "timestamp_ms", chunk: int = CHUNK) -> DataFrame:
+    """(symbol, check, passed, value): whether a symbol's rows come in time order; value is the number of steps back.
+
+    Places in the file's order are dealt out in chunks, each with the row before, so no symbol is one task.
+    """
+    placed = dealt(numbered(rows.select("symbol", time, order), order, chunk), chunk, before=1)
+    steps = placed.withColumn("back", F.col(time) < F.lag(time).over(W.partitionBy("symbol", "chunk").orderBy("i")))
+    back = F.count_if(F.col("back") & F.col("own"))
+    return steps.groupBy("symbol").agg(back.alias("n")).select("symbol", F.lit("time_order").alias("check"), (F.col("n") == 0).alias("passed"), F.col("n").cast("double").alias("value"))
+
+
+def backtest_checks(report: DataFrame, classes: DataFrame, cells: DataFrame, most_trades: int = 1_000_000) -> DataFrame:
+    """(symbol, check, passed, value) of a backtest report, a classification report and its confusion matrix.
+
+    Trades there are, and not too many; the main figures are finite; macro F1 is above 0; more than one class is predicted.
+    """
+    f1 = classes.where(F.col("class") == "macro avg").select("symbol", F.col("f1").alias("macro_f1"))
+    kinds = cells.where("n > 0").groupBy("symbol").agg(F.count_distinct("pred").alias("kinds"))
+    rows = report.join(f1, "symbol", "left").join(kinds, "symbol", "left")
+    finite = lambda c: F.coalesce(F.abs(F.col(c)) < F.lit(float("inf")), F.lit(False))  # noqa: E731  false for NaN, which is above all numbers
+    lines = [("trade_count", F.col("trade_count").between(1, most_trades), F.col("trade_count"))]
+    lines += [(f"finite_{c}", finite(c), finite(c).cast("int")) for c in ("cumulative_return_pct", "max_drawdown_pct", "profit_factor")]
+    lines += [("macro_f1", F.coalesce(F.col("macro_f1") > 0, F.lit(False)), F.col("macro_f1")), ("predicted_classes", F.coalesce(F.col("kinds") > 1, F.lit(False)), F.coalesce("kinds", F.lit(0)))]
+    return rows.select("symbol", F.inline(F.array(*[F.struct(F.lit(n).alias("check"), p.alias("passed"), v.cast("double").alias("value")) for n, p, v in lines])))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 import io
+import re
 import zipfile
 from collections.abc import Iterator, Sequence
+from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +20,11 @@ TRADE_COLUMNS = {"agg_trade_id": "bigint", "price": "double", "quantity": "doubl
 KLINE_SCHEMA = "open_time bigint, open double, high double, low double, close double"
 #: What the labeller needs of a feature file.
 FEATURES_NEEDED = {"timestamp_ms": "bigint", "timestamp_s": "bigint", "timeframe_s": "bigint", "open": "double", "high": "double", "low": "double", "close": "double"}
+#: What a backtest needs of a label file.
+LABELS_NEEDED = {
+    "timestamp": "string", "timestamp_ms": "bigint", "timestamp_s": "bigint", "label": "int", "label_name": "string", "close": "double", "long_net_return_pct": "double", "short_net_return_pct": "double",
+    "time_to_exit_s": "double", "long_event": "string", "short_event": "string", "exit_reason": "string",
+}
 STAMPED = r"(\d{8}_\d{6})__(\d{8}_\d{6})(?:\.[^/]*)?$"
 
 
@@ -37,15 +45,14 @@ def read_trades_zip(spark: SparkSession, path: str, symbol: str, chunk: int = 25
         for files_part in files:
             for path, content in zip(files_part["path"], files_part["content"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    inner = next((n for n in archive.namelist() if n.endswith(".csv")), None)
+                    inner = next((n for n in archive.namelist() if n.lower().endswith(".csv")), None)
                     if inner is None:
                         raise ValueError(f"no .csv in {path}")
                     with archive.open(inner) as data:
                         lines: list[list[str | None]] = []
-                        for line in io.TextIOWrapper(data, "utf-8"):
-                            if line.strip():
-                                fields: list[str | None] = [*line.rstrip("\r\n").split(",")][: len(names)]
-                                lines.append(fields + [None] * (len(names) - len(fields)))
+                        for fields in csv.reader(io.TextIOWrapper(data, "utf-8", newline="")):
+                            if fields:
+                                lines.append([*fields[: len(names)], *[None] * (len(names) - len(fields))])
                             if len(lines) == chunk:
                                 yield pd.DataFrame(lines, columns=names)
                                 lines = []
@@ -70,10 +77,18 @@ def write_daily(trades: DataFrame, path: str) -> None:
     rows.repartition("symbol", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "day").parquet(path)
 
 
-def consolidate_days(daily: DataFrame, skipped: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
-    """Whole days that [start_ms, end_ms) touches, without skipped (symbol, day)."""
+def require_rows(df: DataFrame, what: str) -> DataFrame:
+    """df; an error if it is empty. It asks for one row, so call it where a job starts."""
+    if df.isEmpty():
+        raise ValueError(f"no {what}")
+    return df
+
+
+def consolidate_days(daily: DataFrame, skipped: DataFrame, start_ms: int, end_ms: int, strict: bool = False) -> DataFrame:
+    """Whole days that [start_ms, end_ms) touches, without skipped (symbol, day). With `strict`, it is an error if no day is left."""
     first, last = (day_of(F.lit(ms)) for ms in (start_ms, end_ms - 1))
-    return daily.where(F.col("day").between(first, last)).join(skipped, ["symbol", "day"], "left_anti")
+    left = daily.where(F.col("day").between(first, last)).join(skipped, ["symbol", "day"], "left_anti")
+    return require_rows(left, "daily rows") if strict else left
 
 
 def prune_by_stamp(files: DataFrame, start_ms: int, end_ms: int, path: str = "path") -> DataFrame:
@@ -82,6 +97,24 @@ def prune_by_stamp(files: DataFrame, start_ms: int, end_ms: int, path: str = "pa
     return files.where(F.coalesce((part(1) < end_ms) & (F.lit(start_ms) < part(2)), F.lit(True)))
 
 
+def in_range(path: str, start_ms: int, end_ms: int) -> bool:
+    """Whether the stamp of a file's name overlaps [start_ms, end_ms); true without one."""
+    if not (m := re.search(STAMPED, path)):
+        return True
+    first, last = (datetime.strptime(t, "%Y%m%d_%H%M%S").replace(tzinfo=UTC).timestamp() * 1000 for t in m.groups())
+    return first < end_ms and start_ms < last
+
+
+def read_trades_in_range(spark: SparkSession, folder: str, symbol: str, start_ms: int, end_ms: int) -> DataFrame:
+    """read_trades_csv() of the folder's .csv files whose stamps overlap the range: the others are never opened. Only names come to the driver."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [s.getPath().toString() for s in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)]
+    chosen = sorted(n for n in names if n.endswith(".csv") and in_range(n, start_ms, end_ms))
+    if not chosen:
+        raise ValueError(f"no trade file in range in {folder}")
+    return read_trades_csv(spark, chosen, symbol)
+
+
 def read_klines(spark: SparkSession, path: str) -> DataFrame:
     reader = spark.read.schema(KLINE_SCHEMA)
     return reader.parquet(path) if path.endswith(".parquet") else reader.option("header", "true").csv(path)
@@ -98,3 +131,13 @@ def typed(df: DataFrame, needed: dict[str, str], drop: bool = True) -> DataFrame
 def read_features(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     raw = spark.read.option("header", "true").csv(path)
     return typed(raw, FEATURES_NEEDED)
+
+
+def read_labels(spark: SparkSession, path: str | Sequence[str], training: bool = False) -> DataFrame:
+    """Label files with headers, the needed columns typed (for training, time and label are enough) and ingest_seq, the rows' order; what doesn't parse is null.
+
+    clean_labels() drops rows without time or label and keeps the last of repeated times.
+    """
+    raw = spark.read.option("header", "true").csv(path)
+    needed = {c: LABELS_NEEDED[c] for c in ("timestamp_ms", "label")} if training else LABELS_NEEDED
+    return typed(raw, needed, drop=False).withColumn("ingest_seq", F.monotonically_increasing_id())
