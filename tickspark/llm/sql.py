@@ -43,10 +43,10 @@ SELECT r.vec_id, coalesce(any_value(n.n), 0)::BIGINT AS n_links, min(r.seen) AS
 
 
 def _merged(name: str, source: str, parent: str, branch: str) -> str:
-    """Siblings pooled unless a branch's share of blocked urls differs from theirs."""
+    """Siblings pooled unless a branch's share of blocked urls differs from theirs, or isn't known."""
     return f"""
 {name}_j AS (SELECT {parent}, {branch}, n, b, sum(n) OVER w AS na, sum(b) OVER w AS ba FROM {source} WINDOW w AS (PARTITION BY {parent})),
-{name}_a AS (SELECT *, (b * na - n * ba)::DOUBLE * (b * na - n * ba) > 1.96e0 * 1.96e0 * n * ba * (na - ba) AS alone FROM {name}_j),
+{name}_a AS (SELECT *, (b * na - n * ba)::DOUBLE * (b * na - n * ba) > 1.96e0 * 1.96e0 * n * ba * (na - ba) OR n = 0 AS alone FROM {name}_j),
 {name} AS (SELECT {parent}, {branch}, n, b, CASE WHEN alone THEN n ELSE sum(n) FILTER (NOT alone) OVER w END AS pn, CASE WHEN alone THEN b ELSE sum(b) FILTER (NOT alone) OVER w END AS pb FROM {name}_a WINDOW w AS (PARTITION BY {parent}))"""
 
 

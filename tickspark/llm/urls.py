@@ -5,8 +5,9 @@ a rule judges are the labelled ones from which the tree learns about the rest. P
 are all segments of the path, two at least; slashes at the end add no level. A segment is variable, and
 becomes `*`, if it holds a digit, or if it has less than the share `rare` of its branch's urls and its
 labelled share of blocked urls doesn't differ, by a z-test, from its branch's. What decides is a segment's
-share alone, so a branch may have any number of values. Sibling branches whose labelled share of blocked urls doesn't
-differ, by the same test, from that of all siblings together are merged, and share counts. A template's purity
+share alone, so a branch may have any number of values. Sibling branches with labelled urls whose share of blocked ones doesn't
+differ, by the same test, from that of all siblings together are merged, and share counts; a branch without labelled urls
+shows no likeness to any, and has its parent's purity. A template's purity
 is the share of blocked urls at or below it, smoothed towards that of its parent, the host's towards that of its parent
 domain (the host without its first label), and that towards the share of all labelled urls. Templates of at least `reject` purity are blocked.
 
@@ -139,9 +140,9 @@ def differs(z: float) -> Column:
 
 
 def merged(counts: DataFrame, parent: Sequence[str], branch: str, z: float) -> DataFrame:
-    """counts with pooled_labelled and pooled_bad: those of all merged siblings, or of the branch if it stands alone, being different."""
+    """counts with pooled_labelled and pooled_bad: those of all merged siblings, or of the branch if it stands alone, being different or without labels."""
     joint = counts.groupBy(*parent).agg(F.sum("labelled").cast("double").alias("n_all"), F.sum("bad").cast("double").alias("b_all"))
-    rows = counts.join(joint, list(parent)).withColumn("alone", differs(z))
+    rows = counts.join(joint, list(parent)).withColumn("alone", differs(z) | (F.col("labelled") == 0))
     n, b = F.col("labelled"), F.col("bad")
     pool = rows.where(~F.col("alone")).groupBy(*parent).agg(F.sum("labelled").alias("n_pool"), F.sum("bad").alias("b_pool"))
     rows = rows.join(pool, list(parent), "left")
