@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from tickspark.llm.common import slices
 
-#: Bounds of the labelled sample, per language: documents drawn, characters of each (one passage), symbols kept.
-SAMPLE_DOCS, PASSAGE, SYMBOLS = 200, 2000, 40_000
-#: Letters with symbols of their own; rarer ones share one that no sample holds.
+#: Bounds of the labelled sample, per language: documents drawn, characters of each (one passage). All of it is learnt.
+SAMPLE_DOCS, PASSAGE = 150, 300
+#: The sample's most frequent letters have symbols of their own; all others share one, in samples and texts alike.
 LETTERS = 250
 WINDOW = 512
 #: Bits a symbol above which no learnt language explains a text, whatever the sample: uniformly random Latin letters
@@ -159,7 +159,6 @@ class Languages:
         self.automata, self.bits = [], []
         for name in self.names:
             flat, _ = symbols([" ".join(["", *sample[name], ""])], self.table)
-            flat = flat[:SYMBOLS]
             self.automata.append(suffix_automaton(flat, len(letters) + 2))
             self.bits.append(log2(max(2, len(flat))))
 
