@@ -61,9 +61,12 @@ def decode(data: bytes) -> np.ndarray:
             raise ValueError("Netpbm is cut off")
         flat = np.frombuffer(data, np.uint8, w * h * depth, head.end())
     else:
-        flat = np.array(data[head.end() :].split()[: w * h * depth], np.int64).astype(np.uint8)
+        flat = np.array(data[head.end() :].split()[: w * h * depth], np.int64)
         if flat.size < w * h * depth:
             raise ValueError("Netpbm is cut off")
+        if flat.min() < 0 or flat.max() > top:
+            raise ValueError("a sample above the maximum")
+        flat = flat.astype(np.uint8)
     flat = flat if top == 255 else (flat.astype(np.uint32) * 255 // top).astype(np.uint8)
     return np.broadcast_to(flat.reshape(h, w, depth), (h, w, 3))
 
@@ -152,16 +155,22 @@ def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def media_facts(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """What the stored pictures hold, read back from their bytes: payload, digests and the difference hash."""
-    names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    """What the stored pictures hold: digests of the media, which are decoded and cut into NPY tiles; payload and hashes are read back from those.
+
+    n_tiles and tiles_sha256 (of all tiles' files, in order) stand for the tiles, tile_hashes for their difference hashes.
+    """
+    names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_tiles", "tiles_sha256", "tile_hashes"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "media", 4 << 20):
             rows = []
             for data in batch.column(2).to_pylist():
-                payload = (pixels := decode(data)).tobytes()
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(pixels)))
+                files = [npy(t) for _, _, t in tiles(decode(data), WIDTH)]  # as wide as the picture, so they lie below each other
+                parts = [np.load(io.BytesIO(f)) for f in files]
+                payload = (pixels := np.concatenate(parts)).tobytes()
+                whole, hashes = difference_hash(pixels), [difference_hash(p) for p in parts] if len(parts) > 1 else None
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), whole, len(files), hashlib.sha256(b"".join(files)).hexdigest(), ",".join(hashes or [whole])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names)
 
-    return media.select(key, "n_bytes", "media").mapInArrow(read, f"{key} {dict(media.dtypes)[key]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select(key, "n_bytes", "media").mapInArrow(read, f"{key} {dict(media.dtypes)[key]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_tiles long, tiles_sha256 string, tile_hashes string")
