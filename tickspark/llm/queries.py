@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tickspark.llm import chat, language, media, mix, neardup, pack, pii, ring, urls, vectors
-from tickspark.llm.common import table
+from tickspark.llm.common import repeated, table, written
 from tickspark.llm.sql import SQL
 
 #: Host, path, verdict.
@@ -31,7 +31,7 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mix.mix_plan(table(spark, sf_dir, "documents")).withColumn("row", F.explode(F.expr("sequence(1L, rows)")))
+    plan = repeated(written(mix.mix_plan(table(spark, sf_dir, "documents")), "plan"), "rows", "row")
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
