@@ -31,9 +31,9 @@ WINDOW, END = 2048, 1
 #: Ids that a block holds at most before it is packed (unless one document has more).
 BLOCK = 2 << 20
 #: Bytes of the texts whose distinct words are looked up together.
-SLICE = 12 << 20
+SLICE = 4 << 20
 #: Lengths that are combined to triples, and words that a task remembers.
-FREQUENT, REMEMBERED = 64, 500_000
+FREQUENT, REMEMBERED = 64, 300_000
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
 #: Words whose ids are those of the lower-case letters; points may follow.
 PLAIN = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
