@@ -32,8 +32,8 @@ WINDOW = 512
 #: Bits a symbol above which no learnt language explains a text, whatever the sample: uniformly random Latin letters
 #: take about 11, symbols that no sample has 13 to 15, prose 2 to 4. `limits` gives the lower bound of each language.
 UNEXPLAINED = 12.0
-#: Held-back pieces: characters of each, quantile of their bits, its headroom; phrases that any text may take besides.
-PIECE, QUANTILE, HEADROOM, SPARE = 500, 0.99, 1.25, 2
+#: Held-back pieces: characters of each, quantile of their bits, its headroom; phrases that any text may take besides, as a short one may hold a name or a key.
+PIECE, QUANTILE, HEADROOM, SPARE = 500, 0.99, 1.25, 6
 
 
 def learnable(key: str = "doc_id", lang: str = "lang") -> Column:
