@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickspark.llm.common import written
+from tickspark.llm.common import repeated, written
 
 CELLS = 1 << 16
 
@@ -59,10 +59,10 @@ def spread(counts: list[int], shards: list[int], capacity: list[int]) -> list[li
 def ring_shards(docs: DataFrame, n_shards: int = 24, nodes: int = 32, key: str = "doc_id", text: str = "text", rows_a_group: int = 50_000) -> DataFrame:
     """(key, size, text_crc32, shard, slot): rows in shards whose counts are at most one apart.
 
-    Rows are ranked inside an arc by two hashes. An arc is cut into groups of about rows_a_group by the
-    second hash (of key and text), so no arc, however full, meets in one task; equal rows only share a group
-    with rows of the same hash. The driver gets one count for each arc and group, and the plan for the
-    ring's arcs goes back as a broadcast of at most nodes * n_shards rows with a few spans each.
+    Equal rows are counted first, so that a row with any number of copies is one row of the windows. Rows are ranked
+    inside an arc by two hashes; an arc is cut into groups of about rows_a_group by the second hash (of key and text),
+    so no arc, however full, meets in one task. The driver gets one count for each arc, and the plan for the ring's
+    arcs goes back as a broadcast of at most nodes * n_shards rows with a few spans each.
     """
     spark = docs.sparkSession
     nodes_at = ring(n_shards, nodes)
@@ -75,22 +75,24 @@ def ring_shards(docs: DataFrame, n_shards: int = 24, nodes: int = 32, key: str =
     arcs = F.broadcast(spark.createDataFrame(arc_of, "cell int, arc int"))
     raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     base = docs.select(F.col(key), (F.octet_length(raw) + F.lit(8)).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
+    base = base.groupBy(key, "size", "text_crc32").agg(F.count("*").alias("rows"))
     hashed = base.withColumn("first_hash", F.xxhash64(F.lit("arc"), F.coalesce(F.col(key).cast("string"), F.lit("~"))))
     hashed = hashed.withColumn("second_hash", F.xxhash64(F.lit("group"), "first_hash", "size", "text_crc32"))
     rows = written(hashed.withColumn("cell", F.shiftrightunsigned("first_hash", 48).cast("int")).join(arcs, "cell").drop("cell"), "ring")
-    total = rows.count()
-    groups = max(1, -(-total // (len(cells) * rows_a_group)))
-    rows = rows.withColumn("part", F.pmod("second_hash", F.lit(groups)).cast("int"))
-    counts = {(r["arc"], r["part"]): r["n"] for r in rows.groupBy("arc", "part").agg(F.count("*").alias("n")).collect()}
-    before, per_arc = [], [0] * len(cells)
-    for (arc, part), n in sorted(counts.items()):
-        before.append((arc, part, per_arc[arc]))
-        per_arc[arc] += n
+    groups = F.lit(max(1, -(-rows.count() // (len(cells) * rows_a_group))))
+    rows = rows.withColumn("part", F.pmod("second_hash", groups).cast("int"))
+    counts = written(rows.groupBy("arc", "part").agg(F.sum("rows").alias("n")), "ring-counts")
+    per_arc = [0] * len(cells)
+    for r in counts.groupBy("arc").agg(F.sum("n").alias("n")).collect():
+        per_arc[r["arc"]] = r["n"]
+    total = sum(per_arc)
     capacity = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
-    plan = spread(per_arc, shards, capacity)
-    spans = spark.createDataFrame([(arc, part, n, plan[arc]) for arc, part, n in before], "arc int, part int, rank_before long, spans array<struct<low:long,high:long,shard:int,slot:long>>")
-    in_part = W.partitionBy("arc", "part").orderBy("second_hash", "first_hash", F.col(key).cast("string"), "text_crc32", "size")
-    ranked = rows.withColumn("rank", F.row_number().over(in_part) - 1).join(F.broadcast(spans) if len(before) <= 100_000 else spans, ["arc", "part"])
-    ranked = ranked.withColumn("rank", F.col("rank") + F.col("rank_before"))
+    spans = F.broadcast(spark.createDataFrame(list(enumerate(spread(per_arc, shards, capacity))), "arc int, spans array<struct<low:long,high:long,shard:int,slot:long>>"))
+    parts_before = W.partitionBy("arc").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select("arc", "part", F.coalesce(F.sum("n").over(parts_before), F.lit(0)).alias("rank_before"))
+    in_part = W.partitionBy("arc", "part").orderBy("second_hash", "first_hash", F.col(key).cast("string"), "text_crc32", "size").rowsBetween(W.unboundedPreceding, -1)
+    ranked = rows.withColumn("rank_inside", F.coalesce(F.sum("rows").over(in_part), F.lit(0))).join(before, ["arc", "part"])
+    ranked = written(ranked.select(key, "size", "text_crc32", "arc", "rows", (F.col("rank_inside") + F.col("rank_before")).alias("first_rank")), "ring-ranks")
+    each = repeated(ranked, "rows", "copy").withColumn("rank", F.col("first_rank") + F.col("copy")).join(spans, "arc")
     span = F.try_element_at(F.filter("spans", lambda x: (x["low"] <= F.col("rank")) & (F.col("rank") < x["high"])), F.lit(1))
-    return ranked.withColumn("span", span).select(key, "size", "text_crc32", F.col("span.shard").alias("shard"), (F.col("span.slot") + F.col("rank") - F.col("span.low")).alias("slot"))
+    return each.withColumn("span", span).select(key, "size", "text_crc32", F.col("span.shard").alias("shard"), (F.col("span.slot") + F.col("rank") - F.col("span.low")).alias("slot"))
