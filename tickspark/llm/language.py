@@ -88,6 +88,8 @@ def symbols(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray
     keep = flat > 0
     keep[1:] |= flat[:-1] > 0
     ends = np.concatenate([[0], np.cumsum(lengths)])
+    first = ends[:-1][lengths > 0]
+    keep[first] = flat[first] > 0  # whatever the text before ends with
     kept = np.concatenate([[0], np.cumsum(keep)])
     return flat[keep], kept[ends]
 
