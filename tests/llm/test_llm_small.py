@@ -99,6 +99,13 @@ def test_languages(spark, docs, empty):
     assert all(held[i] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in held)
 
 
+def test_a_text_reads_alike_beside_any_other():
+    table = language.symbol_table("abc")
+    alone, at = language.symbols(["  ab c. "], table)
+    flat, cuts = language.symbols(["ab", "  ab c. ", "", " a", "  ab c. "], table)
+    assert alone.tolist() == [2, 3, 0, 4, 0] == flat[cuts[1] : cuts[2]].tolist() == flat[cuts[4] : cuts[5]].tolist()
+
+
 # --- mixing
 
 
@@ -808,3 +815,98 @@ def test_language_of_held_out_documents(spark):
     n, right = found.where("lang_pred <> 'und'").agg(F.count("*"), F.count_if(F.col("lang_pred") == F.col("lang"))).first()
     print("held out", right, n)
     assert n > 200 and right / n > 0.99
+
+
+# --- rows and stages
+
+
+def test_shards_of_a_row_with_many_copies(spark):
+    copies = spark.range(700).selectExpr("5L doc_id", "'same' text")
+    df = copies.unionByName(spark.range(1400).selectExpr("id doc_id", "concat('t', id) text")).unionByName(spark.range(3).selectExpr("cast(null as long) doc_id", "cast(null as string) text"))
+    got = ring.ring_shards(df, rows_a_group=10).collect()
+    assert Counter((r.doc_id, r.text_crc32) for r in got) == Counter((r.doc_id, zlib.crc32((r.text or "").encode())) for r in df.collect())
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path, tokenizer):
+    """Stage by stage against plain versions: nulls, empty and long texts, ties, repeated rows, null ids, clashing columns."""
+    import corpus_pipeline as P
+
+    from tickspark.llm.common import written
+
+    prose = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) > 400").orderBy("doc_id").limit(12).collect()]
+    rows = [(i, t, "en", "a" if i % 2 else None, None) for i, t in enumerate(prose, 100)] + [(None, prose[0], "en", "b", 1), (None, prose[1] + " mail a.b@c.example", None, "b", 1)] + [(100, prose[0], "en", None, None)] * 3
+    df = spark.createDataFrame(odd_docs() + rows, DOC).withColumns({c: F.lit(f"own {c}") for c in CLASH})
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = before = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    out = {}
+    for name, stage in P.STAGES[:-1]:
+        docs = written(stage(spark, docs, str(tmp_path)), "odd")
+        assert docs.columns == before.columns and docs.where("rank is null or rank <> 'own rank'").count() == 0
+        out[name] = [(r.doc_id, r.text, r.source) for r in docs.select("doc_id", "text", "source").collect()]
+    start = Counter((r.doc_id, r.text, r.source) for r in before.collect())
+    known = Counter(out["language"])
+    assert not known - start and all(any(map(str.isalpha, t or "")) for _, t, _ in known)
+    sample = language.labelled_sample(before.where(language.learnable()))
+    fits = plainly_explained(sample, language.limits(sample))
+    of_text = {t: fits(t or "") for _, t, _ in start}
+    assert known == Counter({row: n for row, n in start.items() if of_text[row[1]]}) and 0 < known.total() < start.total()
+    # one row of each group of near-duplicates
+    texts = sorted({t for _, t, _ in known})
+    groups = brute_components({i: shingle_set(t, 5) for i, t in enumerate(texts)}, 80)
+    single = Counter(groups[texts.index(t)] for _, t, _ in out["neardup"])
+    assert single == Counter(set(groups.values()))
+    assert not Counter(out["neardup"]) - known
+    # personal data go, nothing else changes
+    assert len(out["pii"]) == len(out["neardup"]) and not any(pii.base_spans(t) for _, t, _ in out["pii"])
+    same = [t for _, t, _ in out["neardup"] if not pii.base_spans(t)]
+    assert not Counter(same) - Counter(t for _, t, _ in out["pii"])
+    # each document floor(rate) times or once more
+    sizes = Counter()
+    for _, t, s in out["pii"]:
+        sizes[s] += len(mix_words(t))
+    targets, times = brute_targets(sizes), Counter(out["mixing"])
+    for row, n in Counter(out["pii"]).items():
+        rate = targets[row[2]] / sizes[row[2]]
+        assert n * math.floor(rate) <= times[row] <= n * (math.floor(rate) + 1)
+    assert not set(times) - set(out["pii"])
+    # all ids, in order, as often as the document came
+    hf, seen = tokenizer[1], Counter()
+    pieces = P.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    for p in pieces:
+        seen[p.doc_id] += p.length
+    want = Counter()
+    for i, t, _ in out["mixing"]:
+        want[i] += len(hf.encode(t, add_special_tokens=False).ids) + 1
+    assert seen == want
+
+
+def plainly_explained(sample, limits):
+    letters = set(language.alphabet(sample))
+
+    def spelt(text):
+        return re.sub(" +", " ", "".join((c.lower() if c.lower() in letters else "?") if c.isalpha() else " " for c in text)).lstrip(" ")
+
+    data = {k: spelt(" ".join(v)) + " " for k, v in sample.items()}
+
+    def fits(text):
+        s = spelt(text)
+        bits = {k: math.log2(len(d)) * sum(longest_parse(s[i : i + language.WINDOW], d) for i in range(0, len(s), language.WINDOW)) for k, d in sorted(data.items())}
+        best = min(bits, key=bits.get)
+        return s.strip() != "" and bits[best] <= limits.get(best, language.UNEXPLAINED) * len(s) + language.SPARE * math.log2(len(data[best]))
+
+    return fits
+
+
+def mix_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text)
+
+
+def test_pipeline_of_nothing(spark, empty, tmp_path, tokenizer):
+    import corpus_pipeline as P
+
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    assert P.run(spark, str(tmp_path)).count() == 0
