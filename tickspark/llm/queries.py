@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickspark.llm import chat, language, media, mix, neardup, pack, pii, ring, urls, vectors
+from tickspark.llm import audit, chat, importance, language, media, mix, neardup, pack, pii, ring, secrets, urls, vectors
 from tickspark.llm.common import repeated, table, written
 from tickspark.llm.sql import SQL
 
@@ -74,8 +74,23 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.in_every_order(audit.counters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weighed = importance.document_weights(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return importance.drawn(weighed).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.find(docs, secrets.dictionary_words(docs))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "added")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_language, op2_mixing, op3_chat, op4_neardup, op5_urls, op6_packing, op7_vectors, op8_pii, op9_media, op10_shards)
+    own = (op1_language, op2_mixing, op3_chat, op4_neardup, op5_urls, op6_packing, op7_vectors, op8_pii, op9_media, op10_shards, op11_audit, op12_importance, op13_secrets)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 

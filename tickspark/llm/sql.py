@@ -1,7 +1,7 @@
 """DuckDB SQL of the queries that SQL can express, written from their contracts and methods.
 
-Language ID, chat windows, packing, personal data, pictures and the ring have no SQL (trained models, greedy
-walks, tokenizers and checksums that DuckDB lacks); brute force checks those in tests/llm.
+Language ID, chat windows, packing, personal data, pictures, the ring and secrets have no SQL (trained models, greedy
+walks, tokenizers and compressors); brute force checks those in tests/llm.
 """
 
 from __future__ import annotations
@@ -71,4 +71,41 @@ p4 AS (SELECT host, t1, t2, (pb + 4.0e0 * p) / (pn + 4.0e0) AS p FROM two JOIN p
 SELECT page_id, r2.host, path, rule, CASE WHEN rule IS NOT NULL THEN ruled WHEN p >= 0.5e0 THEN 'block' ELSE 'allow' END AS verdict, '/' || r2.t1 || '/' || r2.t2 AS template, round(p, 6) AS purity FROM r2 JOIN p4 USING (host, t1, t2)
 """
 
-SQL: dict[str, str] = {"op2_mixing": MIXING, "op4_neardup": NEARDUP, "op5_urls": URLS, "op7_vectors": VECTORS}
+AUDIT = r"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+m AS (SELECT doc_id, part, (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT + 4 * (100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 2 * length(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS mask FROM w),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0)::BIGINT AS good, coalesce(sum(toxic), 0)::BIGINT AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+f AS (SELECT chr((65 + i)::INT) AS f FROM range(5) t(i)),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT filter_order, step::INT AS step, filter_order[step] AS letter, 1 << (ascii(filter_order[step]) - 65) AS bit, coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65))), 0)::INT AS gone FROM o, range(1, 6) t(step)),
+r AS (SELECT part, filter_order, step, letter, sum(CASE WHEN mask & bit = 0 AND mask & gone = 0 THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN mask & bit > 0 AND mask & gone = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN mask & bit > 0 AND mask & gone > 0 THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN mask & bit > 0 AND mask & gone = 0 THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN mask & bit > 0 AND mask & gone = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost FROM c, s GROUP BY ALL)
+SELECT * EXCLUDE (letter), (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM r
+"""
+
+#: The checksum goes byte by byte over the hexadecimal digits of each different feature.
+IMPORTANCE = r"""
+WITH tab AS (SELECT list(v ORDER BY i) AS crc FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(i))),
+w AS (SELECT b, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM (SELECT 0 AS b, doc_id AS id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), text FROM benchmark)),
+i AS (SELECT b, id, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+f AS (SELECT b, id, words[i] AS feature FROM i UNION ALL SELECT b, id, words[i] || ' ' || words[i + 1] FROM i WHERE i < len(words) UNION ALL SELECT b, id, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] FROM i WHERE i + 1 < len(words)),
+g AS (SELECT b, id, feature, count(*) AS n FROM f GROUP BY ALL),
+u AS (SELECT DISTINCT feature FROM g),
+x AS (SELECT feature, list_transform(range(1, 1 + length(hex(feature)) // 2), lambda k: (16 * (instr('123456789ABCDEF', hex(feature)[2 * k - 1]) + 0) + instr('123456789ABCDEF', hex(feature)[2 * k]))::BIGINT) AS bytes FROM u),
+h AS (SELECT feature, xor(list_reduce(list_concat([4294967295::BIGINT], bytes), lambda c, y: xor(c >> 8, crc[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS bucket FROM x, tab),
+p AS (SELECT b, id, bucket, sum(n) AS n FROM g JOIN h USING (feature) GROUP BY ALL),
+z AS (SELECT coalesce(sum(n) FILTER (b = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (b = 1), 0)::DOUBLE AS t FROM p),
+k AS (SELECT bucket, floor(1000 * ln((coalesce(sum(n) FILTER (b = 1), 0) + 1)::DOUBLE * ((SELECT s FROM z) + 10000) / ((coalesce(sum(n) FILTER (b = 0), 0) + 1)::DOUBLE * ((SELECT t FROM z) + 10000))))::BIGINT AS gain FROM p GROUP BY bucket),
+v AS (SELECT id, sum(n * gain)::BIGINT AS weight FROM p JOIN k USING (bucket) WHERE b = 0 GROUP BY id),
+d AS (SELECT id AS doc_id, len(words) AS words, (len(words) + greatest(len(words) - 1, 0) + greatest(len(words) - 2, 0))::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    ('0x' || substr(sha256('42:' || id), 1, 8))::BIGINT AS h FROM w LEFT JOIN v USING (id) WHERE b = 0),
+e AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5e0) / 4294967296e0)))::BIGINT AS score FROM d),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM e WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * n // 100 THEN rank END AS rank FROM e LEFT JOIN r USING (doc_id)
+"""
+
+SQL: dict[str, str] = {"op2_mixing": MIXING, "op4_neardup": NEARDUP, "op5_urls": URLS, "op7_vectors": VECTORS, "op11_audit": AUDIT, "op12_importance": IMPORTANCE}
