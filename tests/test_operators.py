@@ -97,6 +97,33 @@ def test_label_files(spark, tmp_path):
         dataset.clean_labels(rows.where("label > 7"), strict=True)
 
 
+def test_the_last_of_several_label_files_wins(spark, tmp_path):
+    """In the order of the list, whatever the files' sizes, their splits and their tasks."""
+    head = "timestamp_ms,label,f1\n"
+    (tmp_path / "1 first.csv").write_text(head + "1000,0,1.0\n")
+    (tmp_path / "2_second.csv").write_text(head + "".join(f"{t},1,0.5\n" for t in range(2000, 9000)) + "1000,1,2.0\n1000,2,3.0\n")
+    folder = tmp_path / "3_folder"
+    folder.mkdir()
+    (folder / "part-1.csv").write_text(head + "2000,2,1.0\n" + "".join(f"{t},0,0.5\n" for t in range(9000, 9900)))
+    (folder / "part-0.csv").write_text(head + "2000,0,1.0\n")
+    paths = [str(tmp_path / "1 first.csv"), str(tmp_path / "2_second.csv"), str(folder)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+    def kept(order, size):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        rows = files.read_labels(spark, [paths[i] for i in order], training=True).withColumn("symbol", F.lit("a"))
+        return {r.timestamp_ms: r.label for r in dataset.clean_labels(rows).where("timestamp_ms in (1000, 2000, 9000)").collect()}
+
+    try:
+        for size in (before, "1000", "20000"):
+            assert kept((0, 1, 2), size) == {1000: 2, 2000: 2, 9000: 0}
+            assert kept((2, 1, 0), size) == {1000: 0, 2000: 1, 9000: 0}
+            assert kept((1, 0, 2), size) == {1000: 0, 2000: 2, 9000: 0}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert files.read_labels(spark, str(tmp_path / "[12]*.csv"), training=True).count() == 7003
+
+
 def test_write_daily_replaces_whole_days(spark, tmp_path):
     path = str(tmp_path / "daily")
     files.write_daily(trades(spark, [("a", 1, 1, 1, 0, True), ("a", 2, 1, 1, 1, True), ("a", 3, 1, 1, 86_400_000, True)]), path)
@@ -167,6 +194,14 @@ def test_repeated_trades_count_once(spark):
     assert bars_of(twice) == bars_of(once) == bars_of(once, unique=True) != bars_of(twice, unique=True)
 
 
+def test_ties_of_a_trade_have_one_winner(spark):
+    """Rows of one id and time: the dearest, then the largest, as a whole row, in any order."""
+    rows = [("a", 1, 100.0, 2.0, 5, True), ("a", 1, 102.0, 1.0, 5, False), ("a", 1, 102.0, 3.0, 5, False), ("a", 1, 102.0, 3.0, 5, True), ("a", 1, 900.0, 9.0, 4, True), ("a", 2, 1.0, 1.0, 7, True)]
+    for seed in range(6):
+        got = bars.unique_trades(trades(spark, random.Random(seed).sample(rows, len(rows))).repartition(3)).orderBy("agg_trade_id").collect()
+        assert [tuple(r) for r in got] == [("a", 1, T0 + 5, 102.0, 3.0, True), ("a", 2, T0 + 7, 1.0, 1.0, True)]
+
+
 def test_nothing_in_range_is_an_error_if_asked(spark):
     t = trades(spark, some_trades(5, 60, 3))
     klines = spark.createDataFrame([], "symbol string, open_time long, open double, high double, low double, close double, seq long")
@@ -319,19 +354,64 @@ def test_split_sizes_embargo_and_error(spark):
         dataset.time_split(df.limit(3), least=1).collect()
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_gate_equals_a_walk(spark, seed):
-    rng = random.Random(seed)
-    rows = [(s, 1000 * t, rng.randrange(1, 40)) for s in "ab" for t in sorted(rng.sample(range(500), 120))]
-    got = backtest.gate_trades(spark.createDataFrame(rows, "symbol string, timestamp_ms long, hold_s long"), "symbol")
+def gate_walk(rows, key=lambda r: r[0]):
+    """rows (key, ms, seconds) that a plain walk takes."""
     want = []
+    for k in sorted({key(r) for r in rows}):
+        free = None
+        for r in sorted((r for r in rows if key(r) == k), key=lambda r: (r[1], r[2])):
+            if free is None or r[1] >= free:
+                want.append(r)
+                free = r[1] + r[2] * 1000
+    return want
+
+
+@pytest.mark.parametrize("seed,size,span", [(1, 1, 1000), (2, 7, 10_000), (3, 50_000, 86_400_000), (4, 3, 25_000), (5, 20, 1000), (6, 1, 7000)])
+def test_gate_equals_a_walk(spark, seed, size, span):
+    """Chunks of any size, holds longer than chunks, gaps and equal times."""
+    rng = random.Random(seed)
+    rows = [(s, 1000 * t, rng.choice([1, 2, 5, 40, 1 if seed % 2 else 300])) for s in "ab" for t in sorted(rng.choices(range(500), k=120))] + [("c", -5000, 3)]
+    got = backtest.gate_trades(spark.createDataFrame(rows, "symbol string, timestamp_ms long, hold_s long"), "symbol", size=size, span_ms=span)
+    assert sorted(map(tuple, got.collect())) == sorted(gate_walk(rows))
+
+
+@pytest.mark.parametrize("size,span", [(1, 1000), (7, 20_000), (50_000, 86_400_000)])
+def test_curve_and_drawdown_by_chunks(spark, size, span):
+    rng = random.Random(size)
+    rows = [(s, 1000 * t, rng.uniform(-3, 3)) for s in "ab" for t in rng.sample(range(300), 60)] + [("c", 0, -10.0), ("d", 0, 4.0)]
+    cut = backtest.in_spans(spark.createDataFrame(rows, "symbol string, timestamp_ms long, return_pct double"), "symbol", size=size, span_ms=span)
+    assert cut.select("symbol", "chunk").distinct().count() > (4 if size < 100 else 3)
+    got = {(r.symbol, r.timestamp_ms): r.equity_after for r in backtest.equity_curve(cut).collect()}
+    falls = {r.symbol: r.max_drawdown_pct for r in backtest.max_drawdown(cut).collect()}
+    for s in "abcd":
+        equity, peak, fall = 1.0, 1.0, 0.0
+        for _, t, r in sorted(x for x in rows if x[0] == s):
+            equity *= 1 + r / 100
+            peak = max(peak, equity)
+            fall = max(fall, 1 - equity / peak)
+            assert abs(got[s, t] - equity) < 1e-12
+        assert abs(falls[s] - 100 * fall) < 1e-9
+
+
+@pytest.mark.parametrize("size,span", [(1, 1000), (9, 30_000), (50_000, 86_400_000)])
+def test_all_settings_at_once_equal_one_by_one(spark, size, span):
+    rng = random.Random(size)
+    rows = []
     for s in "ab":
-        free = 0
-        for _, ts, hold in (r for r in rows if r[0] == s):
-            if ts >= free:
-                want.append((s, ts, hold))
-                free = ts + hold * 1000
-    assert sorted(map(tuple, got.collect())) == want
+        for t in range(150):
+            p = [rng.random() for _ in range(3)]
+            p = [x / sum(p) for x in p]
+            rows.append((s, 1000 * t, *p, rng.choice([None, 0.25, rng.uniform(-1, 1)]), rng.uniform(-1, 1), rng.choice([None, 0.0, 3.0, 20.5])))
+    scored = spark.createDataFrame(rows, "symbol string, timestamp_ms long, p_no_trade double, p_long double, p_short double, long_net_return_pct double, short_net_return_pct double, time_to_exit_s double")
+    grid = [(0.2, 0.3, 0.0), (0.4, 0.4, 0.05), (0.99, 0.99, 0.0), (0.5, 0.99, -0.5)]
+    got = {(r.symbol, r.long_at, r.short_at, r.margin): r for r in backtest.threshold_sweep(scored, grid, size=size, span_ms=span).collect()}
+    assert len(got) == 8
+    for g in grid:
+        decided = evaluate.threshold_decisions(scored, *g).withColumns({c: F.lit("x") for c in ("long_event", "short_event")})
+        for one in backtest.backtest_report(decided).collect():
+            many = got[(one.symbol, *g)]
+            for c in one.asDict():
+                assert one[c] == many[c] or abs(one[c] - many[c]) < 1e-9, (g, c, one[c], many[c])
 
 
 def test_summary_without_trades_or_losses(spark):

@@ -138,6 +138,23 @@ def labels_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("symbol", *files.LABELS_NEEDED)
 
 
+def labels_of_overlapping_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three label files that overlap, the first one short: of each time the last file's label stays."""
+    hours = bars.bar_spine(symbols(spark, sf_dir), START_MS, END_MS, 3600).select("symbol", (F.col("timestamp_s") * 1000).alias("timestamp_ms"), (F.col("timestamp_s") / 3600).cast("long").alias("hour"))
+    paths = []
+    for label, where in enumerate(("hour % 24 = 0", "true", "hour % 2 = 0")):
+        paths.append(scratch(spark, f"labels-{label}"))
+        hours.where(where).withColumn("label", F.lit(label)).write.option("header", "true").csv(paths[-1])
+    return dataset.clean_labels(files.read_labels(spark, paths, training=True)).select("symbol", "timestamp_ms", "label")
+
+
+def tied_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each trade three times, at the same time, at another price or of another size."""
+    once = trades(spark, sf_dir)
+    dearer = once.withColumn("price", F.col("price") + (F.col("agg_trade_id") % 3 - 1) * 0.5)
+    return once.union(dearer).union(once.withColumns({"quantity": F.col("quantity") + (F.col("agg_trade_id") % 2) * 0.25, "buyer_is_maker": ~F.col("buyer_is_maker")}))
+
+
 def repeated_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each trade twice, as overlapping files have it."""
     return trades(spark, sf_dir).union(trades(spark, sf_dir))
@@ -146,7 +163,7 @@ def repeated_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 def checked_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decided(spark, sf_dir)
     cells = evaluate.confusion_matrix(rows, "symbol")
-    return quality.backtest_checks(B.backtest(rows, every=symbols(spark, sf_dir))[1], evaluate.classification_report(cells, "symbol"), cells)
+    return quality.backtest_checks(B.backtest_report(rows, every=symbols(spark, sf_dir)), evaluate.classification_report(cells, "symbol"), cells)
 
 
 def streamed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,6 +227,7 @@ QUERIES: dict[str, Query] = {
     "bar_spine": lambda s, d: bars.bar_spine(trades(s, d).select("symbol").distinct(), START_MS + 500, END_MS - 1500, 7 * 3600),
     "bars_5m": q(lambda s, d: bars.bar_ratios(filled(s, d))),
     "bars_repeated_trades": q(lambda s, d: bars.build_bars(repeated_trades(s, d), TIMEFRAME_S, START_MS, END_MS)),
+    "trades_unique": q(lambda s, d: bars.unique_trades(tied_trades(s, d))),
     "bars_rollup_1h": q(lambda s, d: bars.rollup_bars(filled(s, d), 3600, START_MS)),
     "bars_daily_lineitem": q(lambda s, d: bars.daily_bars(adapters.ticks_from_lineitem(adapters.table(s, d, "lineitem")))),
     "klines_deduped": q(lambda s, d: features.dedupe_klines(adapters.repeated_klines(events(s, d)))),
@@ -221,6 +239,7 @@ QUERIES: dict[str, Query] = {
     "labels_5m_in_chunks": q(lambda s, d: labels.build_labels_in_chunks(label_bars(s, d), 2000, *LABELS)),
     "labels_long_horizon": q(lambda s, d: labels.build_labels_long_horizon(label_bars(s, d), 300, *LABELS[1:], chunk=2000)),
     "labels_by_file": q(labels_by_file),
+    "labels_of_overlapping_files": labels_of_overlapping_files,
     "long_horizon_touch": lambda s, d: labels.first_touch_long_horizon(label_bars(s, d), 300, 0.0035, 0.0025, 2000).select("symbol", "timestamp_ms", F.col("long_hit.step").alias("long_step"), F.col("short_hit.step").alias("short_step")),
     "label_sweep": lambda s, d: labels.label_sweep(features.bar_times(filled(s, d, 3600), 3600), SWEEP),
     "labels_clean": lambda s, d: dataset.clean_labels(dirty_labels(s, d)).select("symbol", "timestamp_ms", "label", "close", "ingest_seq"),
@@ -238,8 +257,8 @@ QUERIES: dict[str, Query] = {
     "classification_report": q(lambda s, d: evaluate.classification_report(evaluate.confusion_matrix(decided(s, d), "symbol"), "symbol")),
     "class_counts": lambda s, d: (lambda r: evaluate.class_counts(r, "label", "symbol").join(evaluate.class_counts(r, "pred", "symbol").toDF("symbol", "pred_no_trade", "pred_long", "pred_short"), "symbol"))(decided(s, d)),
     "trade_candidates": q(lambda s, d: B.trade_candidates(decided(s, d)).select("symbol", "timestamp_ms", "side", "event", "exit_reason", "hold_s", "return_pct")),
-    "trades_gated": q(lambda s, d: B.backtest(decided(s, d))[0].select("symbol", "timestamp_ms", "side", "close", "p_no_trade", "p_long", "p_short", "event", "exit_reason", "hold_s", "return_pct", "equity_after")),
-    "backtest_report": q(lambda s, d: B.backtest(decided(s, d), every=symbols(s, d))[1]),
+    "trades_gated": q(lambda s, d: B.backtest_trades(decided(s, d)).select("symbol", "timestamp_ms", "side", "close", "p_no_trade", "p_long", "p_short", "event", "exit_reason", "hold_s", "return_pct", "equity_after")),
+    "backtest_report": q(lambda s, d: B.backtest_report(decided(s, d), every=symbols(s, d))),
     "predictions": q(lambda s, d: B.predictions(decided(s, d))),
     "threshold_sweep": q(lambda s, d: B.threshold_sweep(scored(s, d).select("symbol", "timestamp_ms", "long_event", "short_event", "long_net_return_pct", "short_net_return_pct", "exit_reason", "time_to_exit_s", "p_no_trade", "p_long", "p_short"), GRID, symbols(s, d))),
     "ingest_report": lambda s, d: quality.ingest_report(raw(s, d), files.sanitize_trades(raw(s, d)), S.day_spine(s, START_MS, END_MS)),

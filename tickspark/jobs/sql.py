@@ -193,6 +193,9 @@ FINAL: dict[str, str] = {
     "bar_spine": f"SELECT symbol, unnest(range({START_S}, {-(-(END_MS - 1500) // 1000)}, {7 * 3600}))::BIGINT AS timestamp_s FROM (SELECT DISTINCT symbol FROM trades)",
     "bars_5m": f"SELECT symbol, timestamp_s, trade_count, {r(OHLC + ' ' + AMOUNTS + ' avg_trade_size signed_volume trade_imbalance buy_sell_ratio vwap price_range')} FROM five_ratios",
     "bars_repeated_trades": f"SELECT symbol, timestamp_s, trade_count, {r(OHLC + ' ' + AMOUNTS)} FROM five",
+    "trades_unique": f"""SELECT symbol, agg_trade_id, timestamp, buyer_is_maker, {r('price quantity')} FROM (SELECT * FROM trades UNION ALL SELECT * REPLACE (price + (agg_trade_id % 3 - 1) * 0.5e0 AS price) FROM trades
+        UNION ALL SELECT * REPLACE (quantity + (agg_trade_id % 2) * 0.25e0 AS quantity, NOT buyer_is_maker AS buyer_is_maker) FROM trades) QUALIFY row_number() OVER (PARTITION BY symbol, agg_trade_id ORDER BY timestamp DESC, price DESC, quantity DESC, buyer_is_maker DESC) = 1""",
+    "labels_of_overlapping_files": f"SELECT symbol, s::BIGINT * 1000 AS timestamp_ms, CASE WHEN s // 3600 % 2 = 0 THEN 2 ELSE 1 END AS label FROM (SELECT symbol, unnest(range({START_S}, {END_S}, 3600)) AS s FROM (SELECT DISTINCT symbol FROM trades WHERE timestamp >= {START_MS} AND timestamp < {END_MS}))",
     "bars_rollup_1h": f"SELECT symbol, timestamp_s, trade_count, {r(OHLC + ' ' + AMOUNTS)} FROM hour",
     "bars_daily_lineitem": f"""SELECT symbol, day, trade_count, {r(OHLC + ' volume notional_volume max_trade_size')} FROM (SELECT l_returnflag || l_linestatus AS symbol, l_shipdate::DATE AS day, arg_min(l_extendedprice / l_quantity, (l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS open, max(l_extendedprice / l_quantity) AS high,
         min(l_extendedprice / l_quantity) AS low, arg_max(l_extendedprice / l_quantity, (l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS close, count(*) AS trade_count, sum(l_quantity) AS volume, sum(l_extendedprice / l_quantity * l_quantity) AS notional_volume, max(l_quantity) AS max_trade_size FROM lineitem GROUP BY ALL)""",

@@ -8,6 +8,7 @@ import re
 import zipfile
 from collections.abc import Iterator, Sequence
 from datetime import UTC, datetime
+from urllib.parse import unquote, urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -133,11 +134,32 @@ def read_features(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return typed(raw, FEATURES_NEEDED)
 
 
+def in_file_order(raw: DataFrame, paths: Sequence[str]) -> DataFrame:
+    """raw, as just read from paths, with ingest_seq: the file's place (that of its path in the list, then its name), its split's start and the row's place there, as one DECIMAL.
+
+    It doesn't depend on how files are packed into tasks. Only the names of the files come to the driver.
+    """
+    spark = raw.sparkSession
+    where = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    systems = [w.getFileSystem(spark._jsc.hadoopConfiguration()) for w in where]
+    listed = [[s.getPath().toUri().getPath() for s in fs.globStatus(w) or []] for fs, w in zip(systems, where, strict=True)]
+    plain = lambda name: unquote(urlsplit(name).path)
+    inside = lambda name, found: any(name == f or name.startswith(f.rstrip("/") + "/") for f in found)
+    place = lambda name: (next(i for i, found in enumerate(listed) if inside(plain(name), found)), name)
+    slashes = "^([a-zA-Z][a-zA-Z0-9+.-]*):/+"  # as many as whoever writes the name likes
+    names = [(re.sub(slashes, r"\1:/", name), i) for i, name in enumerate(sorted(raw.inputFiles(), key=place))]
+    files = spark.createDataFrame(names, "file_path string, file_place long")
+    rows = raw.select("*", F.regexp_replace("_metadata.file_path", slashes, "$1:/").alias("file_path"), F.col("_metadata.file_block_start").alias("file_start"), F.monotonically_increasing_id().alias("file_row")).join(files, "file_path")
+    number = lambda c: f"cast({c} as decimal(38,0))"
+    seq = F.expr(f"cast({number('file_place')} * 10000000000000000000000000000BD + {number('file_start')} * 100000000000BD + {number('file_row & 8589934591')} as decimal(38,0))")
+    return rows.withColumn("ingest_seq", seq).drop("file_path", "file_place", "file_start", "file_row")
+
+
 def read_labels(spark: SparkSession, path: str | Sequence[str], training: bool = False) -> DataFrame:
-    """Label files with headers, the needed columns typed (for training, time and label are enough) and ingest_seq, the rows' order; what doesn't parse is null.
+    """Label files with headers, the needed columns typed (for training, time and label are enough) and ingest_seq, the rows' order in the files as listed; what doesn't parse is null.
 
     clean_labels() drops rows without time or label and keeps the last of repeated times.
     """
-    raw = spark.read.option("header", "true").csv(path)
+    raw = spark.read.option("header", "true").csv(path if isinstance(path, str) else list(path))
     needed = {c: LABELS_NEEDED[c] for c in ("timestamp_ms", "label")} if training else LABELS_NEEDED
-    return typed(raw, needed, drop=False).withColumn("ingest_seq", F.monotonically_increasing_id())
+    return typed(in_file_order(raw, [path] if isinstance(path, str) else path), needed, drop=False)
