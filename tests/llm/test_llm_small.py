@@ -99,6 +99,27 @@ def test_languages(spark, docs, empty):
     assert all(held[i] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in held)
 
 
+def test_scripts_of_thousands_of_letters():
+    """Letters beyond any cap tell languages apart, and an automaton of kept transitions parses as one with a table."""
+    rng = random.Random(17)
+    han = [chr(0x4E00 + i) for i in range(3000)]
+    first, second, latin = han[:1500], han[1500:], "abcdefghij"
+    known = {letters[0]: ["".join(rng.sample(letters, 4)) for _ in range(900)] for letters in (first, second, latin)}
+    text = lambda letters, n: "".join(rng.choice(known[letters[0]]) for _ in range(n // 4))
+    own = {"a": [text(first, 300) for _ in range(100)], "b": [text(second, 300) for _ in range(100)], "c": [text(latin, 300) for _ in range(20)]}
+    model = language.Languages(own)
+    assert len(language.alphabet(own)) > 2500 and model.automata[0].table is None and model.automata[2].table is not None
+    assert model.predict([text(first, 40), text(second, 40), text(latin, 40), "".join(second[:2]) + text(first, 90)])[0] == ["a", "b", "c", "a"]
+    flat = np.array([rng.randrange(2, 9) for _ in range(4000)], np.uint8)
+    table = language.suffix_automaton(flat, 9)
+    kept = language.Transitions.__new__(language.Transitions)
+    here = np.flatnonzero(table.table)
+    kept.width, kept.table, kept.keys, kept.to = 9, None, here, table.table[here]
+    probe = np.array([rng.randrange(0, 9) for _ in range(3000)], np.uint8)
+    starts, lengths = np.array([0, 1000, 1900, 2800]), np.array([1000, 900, 900, 200])
+    assert language.phrases(table, probe, starts, lengths).tolist() == language.phrases(kept, probe, starts, lengths).tolist()
+
+
 def test_a_text_reads_alike_beside_any_other():
     table = language.symbol_table("abc")
     alone, at = language.symbols(["  ab c. "], table)
@@ -759,6 +780,19 @@ def test_pieces_keep_each_character_once(cells):
     assert all(n <= pii.PIECE for _, n, _, _ in pii.pieces(cells))
 
 
+def test_every_spelling_has_a_mark():
+    """Whatever respelt() makes, and any address or number that has an exact form, lies in cells that are read, with no other mark around."""
+    rng = np.random.default_rng(31)
+    spans = [pii.respelt(rng, i % 4) for i in range(2000)] + ["john.smith(at)hosting.com", "jane [at] firm.org", "j ( at ) f.org", "JANE [AT] FIRM.ORG", "a at b dot org"]
+    for span in spans:
+        before = "x" * int(rng.integers(0, 200))
+        text = f"{before} {span} {'y' * 70}"
+        cells = set(pii.window_cells(text)[1].tolist())
+        marked = {(m.start() // pii.CELL) for m in pii.MARKS.finditer(text)}
+        a = len(before) + 1
+        assert marked == cells and any(c * pii.CELL < a + len(span) and a < (c + 1) * pii.CELL for c in cells), span
+
+
 def test_other_spellings_in_texts_that_were_not_learnt(spark):
     """Recall and precision of what the model adds to the patterns, in held-out texts with spans that another seed makes up."""
     rng = random.Random(11)

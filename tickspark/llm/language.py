@@ -13,7 +13,6 @@ repeated results. Only the named columns are read.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from math import log2
 
@@ -26,9 +25,9 @@ from tickspark.llm.common import slices
 
 #: Bounds of the labelled sample, per language: documents drawn, characters of each (one passage). All of it is learnt.
 SAMPLE_DOCS, PASSAGE = 150, 300
-#: The sample's most frequent letters have symbols of their own; all others share one, in samples and texts alike.
-LETTERS = 250
 WINDOW = 512
+#: Entries of an automaton's table of all transitions; where it would be larger, as in scripts of thousands of letters, only those that exist are kept.
+DENSE = 1 << 24
 #: Bits a symbol above which no learnt language explains a text, whatever the sample: uniformly random Latin letters
 #: take about 11, symbols that no sample has 13 to 15, prose 2 to 4. `limits` gives the lower bound of each language.
 UNEXPLAINED = 12.0
@@ -66,13 +65,13 @@ def labelled_sample(labelled: DataFrame, key: str = "doc_id", lang: str = "lang"
 
 
 def alphabet(sample: dict[str, list[str]]) -> str:
-    seen = Counter(c for texts in sample.values() for t in texts for c in t.lower() if c.isalpha())
-    return "".join(sorted(c for c, _ in sorted(seen.items(), key=lambda kv: (-kv[1], kv[0]))[:LETTERS]))
+    """Every letter of the sample, small."""
+    return "".join(sorted({c for texts in sample.values() for t in texts for c in t.lower() if c.isalpha()}))
 
 
 def symbol_table(letters: str) -> np.ndarray:
-    """Symbol of each code point: 0 parts words, 1 is a letter without a symbol, 2 and on are the letters."""
-    table = np.zeros(0x110000, np.uint8)
+    """Symbol of each code point: 0 parts words, 1 is a letter that no sample has, 2 and on are the letters."""
+    table = np.zeros(0x110000, np.min_scalar_type(len(letters) + 1))
     table[[c for c in range(0x110000) if chr(c).isalpha()]] = 1
     for i, c in enumerate(letters):
         for x in {c, c.upper(), c.title()}:
@@ -94,8 +93,31 @@ def symbols(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return flat[keep], kept[ends]
 
 
-def suffix_automaton(text: np.ndarray, width: int) -> np.ndarray:
-    """Transitions (state, symbol) -> state of the automaton of all factors; 0 is no state, 1 is the start."""
+class Transitions:
+    """(state, symbol) -> state of an automaton, 0 where there is none: a table, or the transitions there are, sorted."""
+
+    def __init__(self, nxt: list[dict[int, int]], width: int) -> None:
+        self.width = width
+        self.table = self.keys = None
+        if len(nxt) * width <= DENSE:
+            self.table = np.zeros(len(nxt) * width, np.int32)
+            for s, row in enumerate(nxt):
+                if row:
+                    self.table[s * width + np.array(list(row))] = list(row.values())
+        else:
+            pairs = np.array(sorted((s * width + c, to) for s, row in enumerate(nxt) for c, to in row.items()), np.int64).reshape(-1, 2)
+            self.keys, self.to = pairs[:, 0].copy(), pairs[:, 1].astype(np.int32)
+
+    def __call__(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        at = state * np.int64(self.width) + symbol
+        if self.table is not None:
+            return self.table[at]
+        i = np.minimum(np.searchsorted(self.keys, at), len(self.keys) - 1)
+        return np.where(self.keys[i] == at, self.to[i], np.int32(0))
+
+
+def suffix_automaton(text: np.ndarray, width: int) -> Transitions:
+    """Transitions of the automaton of all factors; 0 is no state, 1 is the start."""
     nxt: list[dict[int, int]] = [{}, {}]
     link, longest, last = [0, 0], [0, 0], 1
     for c in text.tolist():
@@ -121,29 +143,24 @@ def suffix_automaton(text: np.ndarray, width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    dense = np.zeros((len(nxt), width), np.int32)
-    for s, row in enumerate(nxt):
-        if row:
-            dense[s, list(row)] = list(row.values())
-    return dense
+    return Transitions(nxt, width)
 
 
-def phrases(dense: np.ndarray, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def phrases(go: Transitions, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Phrases of each window flat[start : start + length] in the greedy parse; lengths must not ascend.
 
     A phrase ends where the automaton has no transition; the next one begins with that symbol. A symbol that
     the sample lacks is a phrase.
     """
-    width, go = dense.shape[1], dense.ravel()
     state = np.ones(len(starts), np.int32)
+    first = go(np.ones(go.width, np.int32), np.arange(go.width))  # of each symbol, from the start
     count = np.zeros(len(starts), np.int32)
     active = np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0), side="left")
     for t, k in enumerate(active.tolist()):
         c = flat[starts[:k] + t]
-        on = go[state[:k] * np.int64(width) + c]
+        on = go(state[:k], c)
         begins = (on == 0) | (state[:k] == 1)
-        fresh = dense[1, c]
-        on = np.where(on == 0, fresh, on)
+        on = np.where(on == 0, first[c], on)
         count[:k] += begins
         state[:k] = np.where(on == 0, 1, on)
     return count
@@ -158,10 +175,15 @@ class Languages:
         self.names = sorted(sample)
         letters = alphabet(sample)
         self.table = symbol_table(letters)
-        self.automata, self.bits = [], []
+        self.automata, self.own, self.bits = [], [], []
         for name in self.names:
             flat, _ = symbols([" ".join(["", *sample[name], ""])], self.table)
-            self.automata.append(suffix_automaton(flat, len(letters) + 2))
+            # a language's automaton knows its own letters; what it lacks is 1, which leads nowhere
+            has = np.unique(flat[flat > 1])
+            own = np.ones(len(letters) + 2, np.min_scalar_type(len(has) + 1))
+            own[0], own[has] = 0, np.arange(2, len(has) + 2)
+            self.own.append(own)
+            self.automata.append(suffix_automaton(own[flat], len(has) + 2))
             self.bits.append(log2(max(2, len(flat))))
 
     @classmethod
@@ -184,8 +206,8 @@ class Languages:
         order = np.argsort(-lengths, kind="stable")
         owner, starts, lengths = owner[order], starts[order], lengths[order]
         bits = np.zeros((len(texts), len(self.names)))
-        for i, dense in enumerate(self.automata):
-            bits[:, i] = np.bincount(owner, phrases(dense, flat, starts, lengths), len(texts)) * self.bits[i]
+        for i, (go, own) in enumerate(zip(self.automata, self.own, strict=True)):
+            bits[:, i] = np.bincount(owner, phrases(go, own[flat], starts, lengths), len(texts)) * self.bits[i]
         letters = np.concatenate([[0], np.cumsum(flat > 0)])[at]
         return bits, np.diff(letters), sizes
 

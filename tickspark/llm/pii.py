@@ -3,7 +3,7 @@
 The model is trained from labelled spans: a bounded, hashed sample of windows of the corpus, drawn by kind, with the
 patterns' spans as labels, and copies of such windows into which spans in other spellings are put (an address with (at), numbers with
 dots and the like), so that it finds what patterns can't. A text is laid out in cells of CELL characters, and each cell with a
-mark (a digit, an @ or a spelt dot, which any span that can be added has) is read in a window that reaches half a cell beyond
+mark (a digit, an @, an at in brackets or a spelt dot, one of which any span that can be added has) is read in a window that reaches half a cell beyond
 either side. The scores of overlapping windows are averaged, the nearer its middle, the more a window counts, and one
 Viterbi pass decodes the whole run of neighbouring cells; runs longer than PIECE cells are cut, with two cells in common of which
 each piece keeps its half. What is added must have an exact form of its kind, which also sets its ends, and never overlaps a
@@ -37,8 +37,11 @@ SPAN = 2 * CELL
 PIECE, WINDOWS = 30, 4096
 TAGS = 1 + 2 * len(KINDS)
 
-MARKS = re.compile(r"[0-9@]|\bdot\b", re.I)
+#: In Python and in Spark alike.
+MARK = r"[0-9@]|(?<![A-Za-z0-9_])dot(?![A-Za-z0-9_])|[\[(] ?at ?[\])]"
+MARKS = re.compile(MARK, re.I)
 DIGITS_OR_AT = re.compile("[0-9@]")
+SPELT = re.compile(r"dot|at ?[\])]", re.I)
 #: As the contract has them; possessive where going back can't help, so that long runs stay linear.
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -110,7 +113,7 @@ def window_cells(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of a text, with half a cell of nothing before and more behind, and the cells that hold a mark."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     marks = np.flatnonzero(((codes >= 48) & (codes <= 57)) | (codes == 64))
-    if spelt := [m.start() for m in MARKS.finditer(text) if len(m[0]) > 1] if "dot" in text.lower() else []:
+    if spelt := [m.start() for m in MARKS.finditer(text) if len(m[0]) > 1] if SPELT.search(text) else []:
         marks = np.concatenate([marks, spelt])
     padded = np.zeros(len(codes) + 2 * SPAN, np.uint8)
     padded[CELL // 2 : CELL // 2 + len(codes)] = SYMBOL[codes]
@@ -129,7 +132,7 @@ def tags_of(spans: list[Span], length: int) -> np.ndarray:
 
 def sample(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Windows and their tags for training, from about SAMPLE_DOCS documents, however many there are: of each kind and without spans up to SAMPLE_WINDOWS."""
-    rows = docs.where(F.col(text).rlike(r"[0-9@]|(?i)\bdot\b")).select(F.col(text).alias("text"), F.pmod(F.xxhash64(F.lit("pii"), F.col(key).cast("string")), F.lit(1 << 32)).alias("o"))
+    rows = docs.where(F.col(text).rlike(f"(?i){MARK}")).select(F.col(text).alias("text"), F.pmod(F.xxhash64(F.lit("pii"), F.col(key).cast("string")), F.lit(1 << 32)).alias("o"))
     share = min(1.0, SAMPLE_DOCS / max(1, rows.count()))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +284,7 @@ def added_spans(model: tagger.Params | None, texts: list[str], base: list[list[S
         work, held = [], 0
 
     for i, text in enumerate(texts if model else []):
-        if DIGITS_OR_AT.search(text) or "dot" in text.lower():
+        if DIGITS_OR_AT.search(text) or SPELT.search(text):
             padded, cells = window_cells(text)
             lines[i] = np.zeros(len(padded), np.int8)  # moved by half a cell, like the windows
             for piece in pieces(cells.tolist()):
