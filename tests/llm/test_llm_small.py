@@ -7,6 +7,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -375,6 +376,70 @@ def test_templates_learn_from_labels(spark):
     assert {r.template for r in got} == {"/bad/*", "/good/*"}
 
 
+def plain_tree(rows, rules, rare, weight=4.0, z=1.96):
+    """(template, purity) of each (id, url), by the definition: levels one after the other, then a tree of dicts."""
+    seen = []
+    for i, url in rows:
+        after = url.split("://", 1)[1]
+        host = re.match("[^/?#]*", after)[0]
+        path = re.match("[^?#]*", after[len(host) :])[0]
+        fits = [(len(h + p), v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        verdict = max(fits)[1] if fits else None
+        parts = path.rstrip("/").split("/")[1:]
+        seen.append([i, host, parts + [""] * (2 - len(parts)), [], verdict is not None, verdict == "block"])
+    differs = lambda n, b, na, ba: (b * na - n * ba) ** 2 > z * z * n * ba * (na - ba)
+    for level in range(max(len(r[2]) for r in seen)):
+        own = [(r, (r[1], *r[3]), "*" if re.search("[0-9]", r[2][level]) else r[2][level]) for r in seen if len(r[2]) > level]
+        sums, all_sums = {}, {}
+        for r, branch, segment in own:
+            for at, key in ((sums, (branch, segment)), (all_sums, branch)):
+                a = at.setdefault(key, [0, 0, 0])
+                a[0], a[1], a[2] = a[0] + 1, a[1] + r[4], a[2] + r[5]
+        for r, branch, segment in own:
+            (size, n, b), (size_all, na, ba) = sums[branch, segment], all_sums[branch]
+            r[3].append(segment if size >= rare * size_all or differs(n, b, na, ba) else "*")
+    tally = lambda key: {k: (sum(r[4] for r in seen if key(r) == k), sum(r[5] for r in seen if key(r) == k)) for k in {key(r) for r in seen}}
+    domain = lambda r: r[1].partition(".")[2]
+    hosts, domains = tally(lambda r: r[1]), tally(domain)
+    n0, b0 = sum(r[4] for r in seen), sum(r[5] for r in seen)
+    nodes = {}
+    for r in seen:
+        for k in range(len(r[3])):
+            a = nodes.setdefault((r[1], k, tuple(r[3][:k])), {}).setdefault(r[3][k], [0, 0])
+            a[0], a[1] = a[0] + r[4], a[1] + r[5]
+    out = {}
+    for r in seen:
+        p = b0 / n0
+        for n, b in (domains[domain(r)], hosts[r[1]]):
+            p = (b + weight * p) / (n + weight)
+        for k in range(len(r[3])):
+            own = nodes[r[1], k, tuple(r[3][:k])]
+            na, ba = sum(n for n, _ in own.values()), sum(b for _, b in own.values())
+            apart = {s: differs(n, b, na, ba) or n == 0 for s, (n, b) in own.items()}
+            n, b = own[r[3][k]] if apart[r[3][k]] else [sum(own[s][j] for s in own if not apart[s]) for j in (0, 1)]
+            p = (b + weight * p) / (n + weight)
+        out[r[0]] = ("".join("/" + s for s in r[3]), p)
+    return out
+
+
+@pytest.mark.parametrize("seed,rare", [(1, 0.01), (2, 0.1), (3, 0.3)])
+def test_templates_equal_a_plain_tree(spark, seed, rare):
+    rng = random.Random(seed)
+    pick = lambda: rng.choice(["a", "b", "c", "d", "a", "a", "n1", "77", "", rng.choice("uvwxyz") * 2])
+    rows = [(i, f"http://{rng.choice(['h.x', 'g.x', 'k.y.x'])}/" + "/".join(pick() for _ in range(rng.randrange(0, 7)))) for i in range(400)]
+    rules = [("h.x", "/a/", "block"), ("h.x", "/a/b", "allow"), ("g.x", "/b", "block"), ("y.x", "/c", "allow"), ("k.y.x", "/a/a/", "block")]
+    got = {r.page_id: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules, rare=rare).collect()}
+    for i, (template, purity) in plain_tree(rows, rules, rare).items():
+        assert got[i].template == template and abs(got[i].purity - purity) < 2e-6, (got[i], template, purity)
+
+
+def test_a_url_of_a_thousand_segments(spark):
+    rows = [(0, "http://h.x/" + "/".join(f"s{i}" if i % 3 == 0 else "abc"[i % 3] for i in range(1000))), (1, "http://h.x/b/c"), *((i, f"http://h.x/b/c/d/{'e' if i % 2 else 'f'}/{i}") for i in range(2, 150))]
+    began = time.time()
+    got = {r.page_id: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), [("h.x", "/b", "block")]).collect()}
+    assert got[0].template.count("/") == 1000 and got[0].template.startswith("/*/b/c/*") and got[5].template == "/b/c/d/e/*" and time.time() - began < 90
+
+
 def test_templates_have_all_levels(spark):
     kinds = ("spam", "docs")
     rows = [(2 * i + k, f"http://h.test/en/blog/x/{kinds[k]}/{i}/read/") for i in range(100) for k in (0, 1)] + [(900, "http://h.test/en/blog/"), (901, "http://h.test/en/blog")]

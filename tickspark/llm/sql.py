@@ -50,6 +50,14 @@ def _merged(name: str, source: str, parent: str, branch: str) -> str:
 {name} AS (SELECT {parent}, {branch}, n, b, CASE WHEN alone THEN n ELSE sum(n) FILTER (NOT alone) OVER w END AS pn, CASE WHEN alone THEN b ELSE sum(b) FILTER (NOT alone) OVER w END AS pb FROM {name}_a WINDOW w AS (PARTITION BY {parent}))"""
 
 
+def _generalised(level: str, source: str, branch: str) -> str:
+    """A level's segment, or * if it holds a digit or has less than a hundredth of its branch's urls and a share of blocked ones like its branch's."""
+    return f"""g{level} AS (SELECT *, CASE WHEN regexp_matches(s{level}, '[0-9]') THEN '*' ELSE s{level} END AS seg FROM {source}),
+c{level} AS (SELECT *, count(*) OVER v AS size, sum(n) OVER v AS ln, sum(b) OVER v AS lb, count(*) OVER w AS size_all, sum(n) OVER w AS na, sum(b) OVER w AS ba FROM g{level} WINDOW v AS (PARTITION BY {branch}, seg), w AS (PARTITION BY {branch})),
+r{level} AS (SELECT * EXCLUDE (seg, size, ln, lb, size_all, na, ba), CASE WHEN size >= 0.01e0 * size_all OR (lb * na - ln * ba)::DOUBLE * (lb * na - ln * ba) > 1.96e0 * 1.96e0 * ln * ba * (na - ba) THEN seg ELSE '*' END AS t{level} FROM c{level})"""
+
+
+#: Paths of two segments, as deep as the tables' go; tests hold deeper ones against a plain tree.
 URLS = f"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
@@ -57,8 +65,8 @@ k AS (SELECT h.*, (SELECT arg_max((k.name, k.verdict), length(k.name)) FROM (VAL
     WHERE (h.host = k.host OR ends_with(h.host, '.' || k.host)) AND starts_with(h.path, k.path)) AS found FROM h),
 r AS (SELECT page_id, host, path, found[1] AS rule, found[2] AS ruled, (found IS NOT NULL)::INT AS n, (coalesce(found[2], '') = 'block')::INT AS b, regexp_extract(host, '^[^.]*\\.(.*)$', 1) AS domain,
     coalesce(str_split(path, '/')[2], '') AS s1, coalesce(str_split(path, '/')[3], '') AS s2 FROM k),
-r1 AS (SELECT *, CASE WHEN regexp_matches(s1, '[0-9]') OR count(DISTINCT s1) FILTER (NOT regexp_matches(s1, '[0-9]')) OVER (PARTITION BY host) > 16 THEN '*' ELSE s1 END AS t1 FROM r),
-r2 AS (SELECT *, CASE WHEN regexp_matches(s2, '[0-9]') OR count(DISTINCT s2) FILTER (NOT regexp_matches(s2, '[0-9]')) OVER (PARTITION BY host, t1) > 16 THEN '*' ELSE s2 END AS t2 FROM r1),
+{_generalised('1', 'r', 'host')},
+{_generalised('2', 'r1', 'host, t1')},
 leaf AS (SELECT domain, host, t1, t2, sum(n) AS n, sum(b) AS b FROM r2 GROUP BY ALL),{_merged('two', 'leaf', 'domain, host, t1', 't2')},
 mid AS (SELECT domain, host, t1, sum(n) AS n, sum(b) AS b FROM two GROUP BY ALL),{_merged('one', 'mid', 'domain, host', 't1')},
 hosts AS (SELECT domain, host, sum(n) AS n, sum(b) AS b FROM one GROUP BY ALL),

@@ -17,7 +17,7 @@ everything is allowed. Only the url and the key are read.
 
 All aggregates are keyed by host and template and combine before the shuffle, so a host with a third of all
 rows costs one row a task. A segment's template depends on those before it, so levels from the third on are a pass
-each over the urls that are as deep. The table of templates joins the urls as Spark sees fit: it is broadcast if
+each over the urls of branches that have more than 1 / rare urls as deep. The table of templates joins the urls as Spark sees fit: it is broadcast if
 small, else a hot host's partition is split by adaptive execution.
 """
 
@@ -79,20 +79,31 @@ def generalised(urls: DataFrame, level: int, rare: float, z: float) -> DataFrame
 
 
 def templated(rows: DataFrame, rare: float, z: float) -> DataFrame:
-    """rows with the template of their whole path."""
+    """rows with the template of their whole path.
+
+    A branch of at most 1 / rare urls has no rare segment, and neither has any below it, so its urls need no more counts: their segments
+    stay, or become * for a digit. Only larger branches go on to the next level, so a few urls may be as deep as they like.
+    """
     rows = rows.withColumn("template", F.lit(""))
     for level in range(1, LEVELS + 1):
         rows = generalised(rows, level, rare, z)
     # the tree looks at the rows and its leaves again and again, so both are written: plans stay small
-    rows = written(rows, "urls")
-    depth = F.size("parts")
-    done, deepest = rows, rows.agg(F.max(depth)).first()[0] or 0
-    if deepest > LEVELS:
-        done = rows.where(depth <= LEVELS)
-        for level in range(LEVELS + 1, deepest + 1):
-            rows = written(generalised(rows.where(depth >= level), level, rare, z), "urls")
-            done = done.unionByName(rows.where(depth == level))
-    return done
+    rows, level, depth = written(rows, "urls"), LEVELS, F.size("parts")
+    if (rows.agg(F.max(depth)).first()[0] or 0) <= LEVELS:
+        return rows
+    done: DataFrame | None = None
+    while True:
+        branch = ["host", "template"]
+        large = rows.where(depth > level).groupBy(*branch).agg(F.count("*").alias("under")).where(F.lit(rare) * F.col("under") > 1).select(*branch, F.lit(True).alias("large"))
+        rows = written(rows.join(large, branch, "left").withColumn("large", (depth > level) & F.col("large").isNotNull()), "urls")
+        rest = F.transform(F.slice("parts", F.lit(level + 1), F.greatest(depth - level, F.lit(0))), lambda x: F.concat(F.lit("/"), F.when(x.rlike("[0-9]"), "*").otherwise(x)))
+        settled = rows.where(~F.col("large")).withColumn("template", F.concat("template", F.array_join(rest, ""))).drop("large")
+        done = settled if done is None else done.unionByName(settled)
+        rows = rows.where("large").drop("large")
+        if rows.isEmpty():
+            return done
+        level += 1
+        rows = generalised(rows, level, rare, z)
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[Rule], key: str = "page_id", url: str = "url", rare: float = RARE, weight: float = WEIGHT, reject: float = REJECT, z: float = Z) -> DataFrame:
