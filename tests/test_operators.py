@@ -297,6 +297,24 @@ def test_labels_equal_a_walk(spark, seed, tp, sl):
     assert [tuple(r) for r in far.orderBy("timestamp_ms").collect()] == [tuple(r) for r in near.orderBy("timestamp_ms").collect()]
 
 
+@pytest.mark.parametrize("steps,chunk", [(1, 3), (2, 50), (37, 20), (64, 1000), (300, 90)])
+def test_long_horizons_equal_a_search(spark, steps, chunk):
+    """The first of many rows ahead that touches, with NaN among them, against a search row by row."""
+    rng = random.Random(steps)
+    rows = []
+    for _ in range(200):
+        c = 100 + rng.gauss(0, 1.2)
+        rows.append((c + rng.random(), c - rng.random(), c) if rng.random() < 0.95 else (float("nan"), float("nan"), c))
+    tp, sl = 0.03, 0.025
+    got = labels.first_touch_long_horizon(bar_rows(spark, rows), steps, tp, sl, chunk).orderBy("timestamp_ms").collect()
+    for i, r in enumerate(got):
+        for side, up, down in (("long", tp, sl), ("short", sl, tp)):
+            touched = [(k, h >= rows[i][2] * (1 + up), low <= rows[i][2] * (1 - down)) for k, (h, low, _) in enumerate(rows[i + 1 : i + 1 + steps], 1)]
+            first = next(((k, a, b) if side == "long" else (k, b, a) for k, a, b in touched if a or b), None)
+            hit = r[f"{side}_hit"]
+            assert (hit and (hit.step, hit.tp, hit.sl)) == first, (i, side)
+
+
 def test_nan_touches_nothing(spark):
     got = labels.build_labels(bar_rows(spark, [(100, 100, 100), (float("nan"), float("nan"), 100)]), 1, 0.5, 0.5).orderBy("timestamp_ms").first()
     assert (got.long_event, got.short_event) == ("HORIZON", "HORIZON")

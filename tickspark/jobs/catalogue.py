@@ -14,7 +14,7 @@ from tickspark.jobs.settings import COEFFICIENTS, END_MS, GRID, INTERCEPTS, LABE
 from tickspark.operators import backtest as B
 from tickspark.operators import bars, dataset, evaluate, features, labels, quality, scoring
 from tickspark.sources import adapters, files
-from tickspark.sources.scratch import scratch
+from tickspark.sources.scratch import scratch, written
 from tickspark.streaming.bars import stream_bars
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -183,6 +183,28 @@ def trades_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.sanitize_trades(files.read_trades_csv(spark, path, "all"))
 
 
+def klines_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Klines written as CSV with header by symbol, read back and deduplicated."""
+    path = scratch(spark, "klines")
+    adapters.klines_from_events(events(spark, sf_dir)).select("symbol", "open_time", "open", "high", "low", "close").write.partitionBy("symbol").option("header", "true").csv(path)
+    return features.dedupe_klines(files.read_klines(spark, path).withColumn("seq", F.col("open_time")))
+
+
+def features_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars written as feature files with header, read back and labelled."""
+    path = scratch(spark, "features")
+    bar_columns = ("symbol", "timestamp_ms", "timestamp_s", "timeframe_s", "open", "high", "low", "close")
+    features.bar_times(filled(spark, sf_dir, 3600), 3600).select(*bar_columns).write.option("header", "true").csv(path)
+    return labels.build_labels(files.read_features(spark, path), *LABELS).select("symbol", "timestamp_ms", "close", "label", "exit_reason", "time_to_exit_s")
+
+
+def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw trades stored by day in one pass, and the counters of that pass beside what is stored."""
+    path = scratch(spark, "ingested")
+    told = files.ingest_daily(raw(spark, sf_dir), path)
+    return spark.read.parquet(path).agg(F.count("*").alias("stored")).select("stored", *[F.lit(v).cast("long").alias(k) for k, v in told.items()])
+
+
 def trades_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trades stored by symbol and day, with one symbol's days replaced, counted."""
     path = scratch(spark, "daily")
@@ -192,7 +214,7 @@ def trades_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def standardized_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = split_windows(spark, sf_dir)
+    w = written(split_windows(spark, sf_dir), "windows")  # for the statistics and for what they standardize
     return dataset.apply_standardizer(w, dataset.fit_standardizer(w.where("split = 'train'")))
 
 
@@ -261,7 +283,7 @@ QUERIES: dict[str, Query] = {
     "backtest_report": q(lambda s, d: B.backtest_report(decided(s, d), every=symbols(s, d))),
     "predictions": q(lambda s, d: B.predictions(decided(s, d))),
     "threshold_sweep": q(lambda s, d: B.threshold_sweep(scored(s, d).select("symbol", "timestamp_ms", "long_event", "short_event", "long_net_return_pct", "short_net_return_pct", "exit_reason", "time_to_exit_s", "p_no_trade", "p_long", "p_short"), GRID, symbols(s, d))),
-    "ingest_report": lambda s, d: quality.ingest_report(raw(s, d), files.sanitize_trades(raw(s, d)), S.day_spine(s, START_MS, END_MS)),
+    "ingest_report": lambda s, d: quality.ingest_report(raw(s, d), S.day_spine(s, START_MS, END_MS)),
     "drop_reasons": lambda s, d: quality.drop_reasons(raw(s, d)),
     "quality_backtest": q(checked_backtest),
     "quality_order": q(lambda s, d: quality.order_check(dirty_labels(s, d).withColumn("timestamp_ms", F.col("timestamp_ms").try_cast("bigint")), chunk=700)),
@@ -274,6 +296,9 @@ QUERIES: dict[str, Query] = {
     "stream_bars": q(streamed_bars),
     "trades_by_file": trades_by_file,
     "trades_by_day": trades_by_day,
+    "klines_by_file": q(klines_by_file),
+    "features_by_file": q(features_by_file),
+    "ingest_counters": ingested,
     "baseline_scores": baseline_scores,
     "mlp_scores": mlp_scores,
     "consolidate_days": lambda s, d: files.consolidate_days(trades(s, d).withColumn("day", S.day_of(F.col("timestamp"))), skipped_days(s, d), START_MS + 2 * DAY + 5, START_MS + 9 * DAY),

@@ -139,9 +139,20 @@ def label_sweep(bars: DataFrame, settings: list[tuple[int, float, float]], cost:
     return rows.groupBy("steps", "tp_pct", "sl_pct", "label").agg(F.count("*").alias("n"))
 
 
+def range_extremes(x: np.ndarray, most: int, better: np.ufunc) -> list[np.ndarray]:
+    """Extremes of x over stretches of 1, 2, 4 ... rows from each row, up to `most` rows; NaN counts nowhere where better is fmax or fmin."""
+    out = [x]
+    while 2 << (len(out) - 1) <= min(most, len(x)):
+        last, half = out[-1], 1 << (len(out) - 1)
+        out.append(better(last[:-half], last[half:]))
+    return out
+
+
 def first_touch_long_horizon(bars: DataFrame, steps: int, tp: float, sl: float, chunk: int = CHUNK) -> DataFrame:
     """bars with what the next `steps` rows hold, for horizons too long to collect: numpy over chunks with a halo of `steps` rows.
 
+    A touch is found in tables of extremes over stretches of powers of two, so a row costs the logarithm of the horizon, touched or not.
+
     ahead (rows ahead), top, bottom, last and last_s (their highest, lowest and last price, and the last one's time), long_hit
     and short_hit: the first row ahead that touches a barrier of the side, as first_touch() has it, null without. Rows are dealt by
     (symbol, chunk), so a symbol of any length is many groups of at most chunk + steps rows.
@@ -162,17 +173,16 @@ def first_touch_long_horizon(bars: DataFrame, steps: int, tp: float, sl: float,
         end = np.minimum(np.arange(n) + steps, len(pdf) - 1)
         out["last"], out["last_s"] = np.where(ahead > 0, close[end], np.nan), pd.array(at[end], "Int64")
         out["last_s"][ahead == 0] = pd.NA
+        tops, bottoms = range_extremes(high, steps, np.fmax), range_extremes(low, steps, np.fmin)
         for side, up, down in (("long", tp, sl), ("short", sl, tp)):
-            found, above, below, todo = np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool), np.arange(n)
-            for k in range(1, steps + 1):
-                todo = todo[todo + k < len(pdf)]
-                if not len(todo):
-                    break
-                over, under = high[todo + k] >= close[todo] * (1 + up), low[todo + k] <= close[todo] * (1 - down)
-                touched = over | under
-                own = todo[touched]
-                found[own], above[own], below[own] = k, over[touched], under[touched]
-                todo = todo[~touched]
+            at_up, at_down = close[:n] * (1 + up), close[:n] * (1 - down)
+            place, stop = np.arange(n) + 1, np.arange(n) + 1 + ahead
+            for k in range(len(tops) - 1, -1, -1):  # over the longest stretch without a touch, in steps of falling powers of two
+                here = np.minimum(place, len(tops[k]) - 1)
+                place = np.where((place + (1 << k) <= stop) & ~(tops[k][here] >= at_up) & ~(bottoms[k][here] <= at_down), place + (1 << k), place)
+            hit = place < stop
+            here = np.minimum(place, len(pdf) - 1)
+            found, above, below = np.where(hit, place - np.arange(n), 0), hit & (high[here] >= at_up), hit & (low[here] <= at_down)
             won, lost = (above, below) if side == "long" else (below, above)
             out[f"{side}_hit"] = [{"step": k, "timestamp_s": t, "tp": w, "sl": x} if k else None for k, t, w, x in zip(found.tolist(), at[np.arange(n) + found].tolist(), won.tolist(), lost.tolist(), strict=True)]
         return pd.DataFrame(out)

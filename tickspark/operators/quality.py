@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,25 +11,31 @@ from tickspark.operators.bars import CHUNK, dealt, numbered
 from tickspark.sources.files import TRADE_COLUMNS
 
 
-def ingest_report(raw: DataFrame, clean: DataFrame, days: DataFrame) -> DataFrame:
-    """(symbol, day, parsed, kept, dropped, skipped) of every symbol and day of the spine; rows whose time can't be read have a null day."""
-    parsed = raw.withColumn("day", day_of(F.when(whole_number(F.trim("timestamp")).between(0, 253402300799999), whole_number(F.trim("timestamp"))))).groupBy("symbol", "day").agg(F.count("*").alias("parsed"))
-    kept = clean.withColumn("day", day_of(F.col("timestamp"))).groupBy("symbol", "day").agg(F.count("*").alias("kept"))
-    spine = parsed.select("symbol").distinct().crossJoin(F.broadcast(days)).union(parsed.where("day is null").select("symbol", "day"))
-    same = lambda t: (F.col("s.symbol") == F.col(f"{t}.symbol")) & F.col("s.day").eqNullSafe(F.col(f"{t}.day"))
-    rows = spine.alias("s").join(parsed.alias("p"), same("p"), "left").join(kept.alias("k"), same("k"), "left")
-    n = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return rows.select("s.symbol", "s.day", n("p.parsed").alias("parsed"), n("k.kept").alias("kept"), (n("p.parsed") - n("k.kept")).alias("dropped"), (n("k.kept") == 0).alias("skipped"))
-
-
-def drop_reasons(raw: DataFrame) -> DataFrame:
-    """(symbol, day, reason, n) of rows that sanitize_trades() drops: the first column, in the file's order, that can't be read. Unreadable times have a null day."""
+def dropped_for() -> Column:
+    """Why sanitize_trades() drops a raw row: the first column, in the file's order, that can't be read; null for rows that stay."""
     clean = {c: F.trim(F.col(c)) for c in TRADE_COLUMNS}
     fine = {c: {"bigint": whole_number, "double": lambda x: x.try_cast("double"), "boolean": parse_flag}[kind](clean[c]).isNotNull() for c, kind in TRADE_COLUMNS.items()}
     fine["agg_trade_id"] = fine["agg_trade_id"] & clean["agg_trade_id"].rlike("^[0-9]+$")
-    reason = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(c)) for c, ok in fine.items()])
-    ms = whole_number(clean["timestamp"])
-    return raw.select("symbol", day_of(F.when(ms.between(0, 253402300799999), ms)).alias("day"), reason.alias("reason")).where("reason is not null").groupBy("symbol", "day", "reason").agg(F.count("*").alias("n"))
+    return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(c)) for c, ok in fine.items()])
+
+
+def _raw_day() -> Column:
+    ms = whole_number(F.trim("timestamp"))
+    return day_of(F.when(ms.between(0, 253402300799999), ms))
+
+
+def ingest_report(raw: DataFrame, days: DataFrame) -> DataFrame:
+    """(symbol, day, parsed, kept, dropped, skipped) of every symbol and day of the spine; rows whose time can't be read have a null day. Raw rows are read once."""
+    counts = raw.select("symbol", _raw_day().alias("day"), dropped_for().alias("reason")).groupBy("symbol", "day").agg(F.count("*").alias("parsed"), F.count_if(F.col("reason").isNull()).alias("kept"))
+    # each symbol's days as they are, and a zero for each day of the spine
+    zeros = counts.select("symbol").distinct().crossJoin(F.broadcast(days)).select("symbol", "day", F.lit(0).cast("long").alias("parsed"), F.lit(0).cast("long").alias("kept"), F.lit(1).alias("listed"))
+    rows = counts.withColumn("listed", F.when(F.col("day").isNull(), 1).otherwise(0)).unionByName(zeros).groupBy("symbol", "day").agg(F.sum("parsed").alias("parsed"), F.sum("kept").alias("kept"), F.max("listed").alias("listed"))
+    return rows.where("listed = 1").select("symbol", "day", "parsed", "kept", (F.col("parsed") - F.col("kept")).alias("dropped"), (F.col("kept") == 0).alias("skipped"))
+
+
+def drop_reasons(raw: DataFrame) -> DataFrame:
+    """(symbol, day, reason, n) of rows that sanitize_trades() drops. Unreadable times have a null day."""
+    return raw.select("symbol", _raw_day().alias("day"), dropped_for().alias("reason")).where("reason is not null").groupBy("symbol", "day", "reason").agg(F.count("*").alias("n"))
 
 
 def profile(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from datetime import UTC, datetime
 from urllib.parse import unquote, urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tickspark.functions.scalars import day_of, parse_flag, whole_number
@@ -78,6 +78,14 @@ def write_daily(trades: DataFrame, path: str) -> None:
     rows.repartition("symbol", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "day").parquet(path)
 
 
+def ingest_daily(raw: DataFrame, path: str) -> dict[str, int | None]:
+    """write_daily() of the rows that sanitize_trades() keeps, with parsed, kept, first_ms and last_ms observed in the same pass; times are null where nothing is kept."""
+    parsed, kept = Observation("parsed"), Observation("kept")
+    clean = sanitize_trades(raw.observe(parsed, F.count(F.lit(1)).alias("parsed")))
+    write_daily(clean.observe(kept, F.count(F.lit(1)).alias("kept"), F.min("timestamp").alias("first_ms"), F.max("timestamp").alias("last_ms")), path)
+    return {k: parsed.get.get(k, kept.get.get(k)) for k in ("parsed", "kept", "first_ms", "last_ms")}
+
+
 def require_rows(df: DataFrame, what: str) -> DataFrame:
     """df; an error if it is empty. It asks for one row, so call it where a job starts."""
     if df.isEmpty():
