@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(Q.SQL))
 def test_pair(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "labels", "benchmark"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     ours, theirs = Q.queries()[name](spark, SF).toPandas(), con.execute(Q.oracle_sql()[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
