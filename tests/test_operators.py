@@ -354,6 +354,21 @@ def test_standardizer_is_that_of_numpy(spark):
     assert dataset.fit_standardizer(spark.createDataFrame([], "x array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("rows_back", [1, 4, 9])
+def test_slot_statistics_equal_those_of_windows(spark, rows_back):
+    """Symbols of any length, also shorter than a window or with fewer training windows than rows in one."""
+    rng = random.Random(rows_back)
+    rows = [(s, 1000 * i, rng.gauss(5, 2), 7.0, i % 3) for s, n in (("a", 60), ("b", 13), ("c", 9), ("d", 3), ("e", 10)) for i in range(n)]
+    df = spark.createDataFrame(rows, "symbol string, timestamp_ms long, a double, b double, label int")
+    # time_split() refuses short symbols, whose splits are empty
+    windows = bars.numbered(dataset.lookback_windows(df, ["a", "b"], rows_back)).withColumn("split", F.when(F.col("i") < F.floor(F.col("n") * 0.7), "train").otherwise("rest"))
+    want = dataset.fit_standardizer(windows.where("split = 'train'")).orderBy("position").collect()
+    got = dataset.slot_statistics(df, ["a", "b"], rows_back).orderBy("position").collect()
+    assert [r.position for r in got] == [r.position for r in want] == list(range(2 * rows_back))
+    assert np.allclose([r.mean for r in got], [r.mean for r in want]) and np.allclose([r["std"] for r in got], [r["std"] for r in want])
+    assert dataset.slot_statistics(df.limit(0), ["a"], 3).count() == 0
+
+
 def test_feature_columns_leave_out_outcomes(spark):
     df = labels.build_labels(bar_rows(spark, [(1, 1, 1)] * 3), 1)
     assert dataset.feature_columns(df.schema) == ["close", "timeframe_s", "open", "high", "low"]

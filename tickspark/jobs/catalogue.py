@@ -270,6 +270,7 @@ QUERIES: dict[str, Query] = {
     "lookback_windows": lambda s, d: spread_x(windows(s, d)),
     "time_split": lambda s, d: split_windows(s, d).select("symbol", "timestamp_ms", "label", "split"),
     "standardizer": q(lambda s, d: dataset.fit_standardizer(split_windows(s, d).where("split = 'train'")), 4),
+    "slot_statistics": q(lambda s, d: dataset.slot_statistics(dataset.finite_rows(dataset.clean_labels(dirty_labels(s, d), need_close=True), ["close", "f1", "f2"]), ["close", "f1", "f2"], 4), 4),
     "standardized": lambda s, d: spread_x(standardized_splits(s, d)),
     "class_weights": q(lambda s, d: dataset.class_weights(split_windows(s, d).where("split = 'train'"))),
     "softmax_scores": q(lambda s, d: scored(s, d).withColumn("argmax", scoring.argmax_pred()).select("symbol", "timestamp_ms", "argmax", "p_no_trade", "p_long", "p_short")),

@@ -219,6 +219,7 @@ FINAL: dict[str, str] = {
     "lookback_windows": "SELECT symbol, timestamp_ms, label, " + ", ".join(f"round(x{i}::DOUBLE, 3) + 0.0e0 AS x{i}" for i in range(12)) + " FROM windows",
     "time_split": "SELECT symbol, timestamp_ms, label, split FROM parts",
     "standardizer": " UNION ALL ".join(f"SELECT {i} AS position, round(m{i}, 4) + 0.0e0 AS mean, round(s{i}, 4) AS std FROM moments" for i in range(12)),
+    "slot_statistics": " UNION ALL ".join(f"SELECT {i} AS position, round(m{i}, 4) + 0.0e0 AS mean, round(s{i}, 4) AS std FROM moments" for i in range(12)),
     "standardized": "SELECT symbol, timestamp_ms, label, split, " + ", ".join(f"round((((x{i}::DOUBLE - m{i}::FLOAT::DOUBLE) / s{i}::FLOAT::DOUBLE)::FLOAT)::DOUBLE, 3) + 0.0e0 AS x{i}" for i in range(12)) + " FROM parts, moments",
     "class_weights": f"SELECT label, round(weight, 6) AS weight FROM ({weights('parts', TRAIN)})",
     "softmax_scores": f"SELECT symbol, timestamp_ms, argmax, {r('p_no_trade p_long p_short')} FROM scores",

@@ -93,6 +93,28 @@ def fit_standardizer(train: DataFrame) -> DataFrame:
     return places.select("position", F.col("at.mean").alias("mean"), F.when(std < 1e-12, 1.0).otherwise(std).alias("std"))
 
 
+def slot_statistics(df: DataFrame, cols: list[str], rows_back: int, train: float = 0.7) -> DataFrame:
+    """fit_standardizer() of the training part of lookback_windows(df, cols, rows_back) under time_split(), from the rows themselves: no window is built.
+
+    The training windows of a symbol end in its rows from rows_back - 1 on, `first` of them. Slot p of them holds the rows from p to p + first - 1, so a row
+    that isn't within rows_back of either end is in every slot. Those are summed once for all slots; only the rows at the ends are dealt to their slots.
+    """
+    rows = numbered(df).select("i", "n", *[F.col(c).cast("float").cast("double").alias(f"v{k}") for k, c in enumerate(cols)])
+    first = F.floor((F.col("n") - (rows_back - 1)) * F.lit(train))
+    low, high = F.greatest(F.col("i") - first + 1, F.lit(0)), F.least(F.col("i"), F.lit(rows_back - 1))
+    rows = rows.withColumns({"low": low, "high": high}).where((F.col("n") >= rows_back) & (first > 0) & (F.col("low") <= F.col("high")))
+    # -1 stands for all slots
+    slot = F.when((F.col("low") == 0) & (F.col("high") == rows_back - 1), F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.col("low").cast("long"), F.col("high").cast("long")))
+    own = rows.withColumn("slot", F.explode(slot)).groupBy("slot").agg(*[F.struct(F.count("*").alias("n"), F.avg(f"v{k}").alias("mean"), (F.var_pop(f"v{k}") * F.count("*")).alias("squares")).alias(f"s{k}") for k in range(len(cols))])
+    parts = own.select("slot", F.posexplode(F.array(*[F.col(f"s{k}") for k in range(len(cols))])).alias("place", "s"))
+    parts = parts.withColumn("slot", F.explode(F.when(F.col("slot") < 0, F.sequence(F.lit(0).cast("long"), F.lit(rows_back - 1).cast("long"))).otherwise(F.array("slot"))))
+    total, mean = F.sum("s.n"), F.sum(F.col("s.n") * F.col("s.mean")) / F.sum("s.n")
+    sums = parts.groupBy("slot", "place").agg(total.alias("n"), mean.alias("mean"), F.sum("s.squares").alias("squares"), F.collect_list("s").alias("both"))  # the ends' and the rest
+    between = F.aggregate("both", F.lit(0.0), lambda a, s: a + s["n"] * (s["mean"] - F.col("mean")) * (s["mean"] - F.col("mean")))
+    std = F.sqrt((F.col("squares") + between) / F.col("n"))
+    return sums.select((F.col("slot") * len(cols) + F.col("place")).cast("int").alias("position"), "mean", F.when(std < 1e-12, 1.0).otherwise(std).alias("std"))
+
+
 def apply_standardizer(df: DataFrame, stats: DataFrame) -> DataFrame:
     """df with x standardized as floats. stats has one row for each place, so its arrays are one small value."""
     packed = stats.agg(F.array_sort(F.collect_list(F.struct("position", "mean", "std"))).alias("s"))
