@@ -315,6 +315,36 @@ def test_long_horizons_equal_a_search(spark, steps, chunk):
             assert (hit and (hit.step, hit.tp, hit.sl)) == first, (i, side)
 
 
+@pytest.mark.parametrize("seed,most", [(1, 1), (2, 3), (3, 20), (4, 500)])
+def test_chains_of_records_find_first_reaches(seed, most):
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.normal(size=200).cumsum(), 1)
+    x[rng.random(200) < 0.05] = np.nan
+    chains = labels.record_chains(x, most)
+    start, level = np.arange(200) + 1, np.where(rng.random(200) < 0.05, np.nan, np.where(np.isnan(x), 0.0, x) + rng.choice([-1, 0.0, 0.5, 3], 200))
+    got = labels.first_in_chain(x, chains, start, level)
+    for i in range(200):
+        want = next((j for j in range(i + 1, min(i + 1 + most, 200)) if x[j] >= level[i]), None)
+        assert (got[i] == want) if want is not None else (got[i] - i > most or got[i] == 200)
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 50_000])
+def test_sweep_equals_labels_one_by_one(spark, chunk):
+    rng = random.Random(chunk)
+    rows = []
+    for _ in range(80):
+        c = 100 + rng.random() * 2
+        rows.append((float("nan") if rng.random() < 0.03 else c + rng.random(), c - rng.random(), c))
+    settings = [(1, 0.2, 0.2), (4, 0.35, 0.25), (12, 1.5, 0.2), (12, 0.2, 1.5), (200, 2.5, 3.0), (5, 0.04, 0.2)]
+    got = {(r.steps, r.tp_pct, r.sl_pct, r.label): r.n for r in labels.label_sweep(bar_rows(spark, rows), settings, 0.0005, chunk).collect()}
+    want = {}
+    for h, tp, sl in settings:
+        for r in labels.build_labels(bar_rows(spark, rows), h, tp, sl, 0.05, 0.0).groupBy("label").count().collect():
+            want[h, tp, sl, r.label] = r["count"]
+    assert got == want and sum(got.values()) == 80 * len(settings)
+    assert labels.label_sweep(bar_rows(spark, rows).limit(0), settings).count() == 0
+
+
 def test_nan_touches_nothing(spark):
     got = labels.build_labels(bar_rows(spark, [(100, 100, 100), (float("nan"), float("nan"), 100)]), 1, 0.5, 0.5).orderBy("timestamp_ms").first()
     assert (got.long_event, got.short_event) == ("HORIZON", "HORIZON")
@@ -369,6 +399,30 @@ def test_slot_statistics_equal_those_of_windows(spark, rows_back):
     assert dataset.slot_statistics(df.limit(0), ["a"], 3).count() == 0
 
 
+@pytest.mark.parametrize("rows_back,chunk", [(1, 5), (4, 1), (4, 13), (30, 50_000)])
+def test_fused_windows_equal_stored_ones(spark, rows_back, chunk):
+    rng = np.random.default_rng(rows_back)
+    rows = [("ab"[k % 3 == 0], T0 + 1000 * int(t), int(k % 3), float(rng.normal()), float(rng.normal() * 50)) for k, t in enumerate(rng.permutation(150))]
+    df = spark.createDataFrame([*rows, ("short", T0, 1, 1.0, 1.0)] if rows_back > 1 else rows, "symbol string, timestamp_ms long, label int, u double, v double")
+    width = 2 * rows_back
+    w = {"w0a": rng.normal(size=(5, width)), "w0b": rng.normal(size=(5, 5)), "hw1": rng.normal(size=(4, 5)), "hb1": np.zeros(4), "hw2": rng.normal(size=(3, 4)), "hb2": np.zeros(3)}
+    w |= {f"{k}0{part}": np.full(5, float(k == "g")) for k in "bgs" for part in "ab"}
+    windows = dataset.time_split(dataset.lookback_windows(df, ["u", "v"], rows_back), least=2)
+    stats = dataset.fit_standardizer(windows.where("split = 'train'"))
+    want = scoring.score_mlp(dataset.apply_standardizer(windows, stats), w).drop("x").orderBy("symbol", "timestamp_ms").toPandas()
+    fused = scoring.score_windows(df, ["u", "v"], rows_back, stats, w, least=2, chunk=chunk, batch=7)
+    got = fused.orderBy("symbol", "timestamp_ms").toPandas()[list(want.columns)]
+    assert len(got) == len(want) > 40 and (got[["symbol", "timestamp_ms", "label", "split"]] == want[["symbol", "timestamp_ms", "label", "split"]]).all().all()
+    assert np.allclose(got[scoring.PROBABILITIES], want[scoring.PROBABILITIES], atol=1e-9)
+    assert scoring.score_windows(df.limit(0), ["u", "v"], rows_back, stats, w).count() == 0
+
+
+def test_wrong_number_of_statistics_is_an_error(spark):
+    df = spark.createDataFrame([], "symbol string, timestamp_ms long, label int, u double")
+    with pytest.raises(ValueError, match="places"):
+        scoring.score_windows(df, ["u"], 3, spark.createDataFrame([(0, 0.0, 1.0)], "position int, mean double, std double"), {})
+
+
 def test_feature_columns_leave_out_outcomes(spark):
     df = labels.build_labels(bar_rows(spark, [(1, 1, 1)] * 3), 1)
     assert dataset.feature_columns(df.schema) == ["close", "timeframe_s", "open", "high", "low"]

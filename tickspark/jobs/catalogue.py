@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickspark.functions import scalars as S
 from tickspark.jobs import sql
-from tickspark.jobs.settings import COEFFICIENTS, END_MS, GRID, INTERCEPTS, LABELS, START_MS, SWEEP, THRESHOLDS, TIMEFRAME_S
+from tickspark.jobs.settings import COEFFICIENTS, END_MS, GRID, INTERCEPTS, LABELS, START_MS, SWEEP, THRESHOLDS, TIMEFRAME_S, mlp_weights
 from tickspark.operators import backtest as B
 from tickspark.operators import bars, dataset, evaluate, features, labels, quality, scoring
 from tickspark.sources import adapters, files
@@ -226,13 +225,10 @@ def baseline_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mlp_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probabilities of every window by an MLP with seeded weights, in place of exported ones."""
-    rng = np.random.default_rng(5)
-    layer = lambda i, a, b: {f"w{i}": rng.normal(size=(b, a)) / np.sqrt(a), f"b{i}": np.zeros(b)}
-    norm = lambda i, b: {f"g{i}": np.ones(b), f"s{i}": np.zeros(b)}
-    weights = layer("0a", 12, 16) | norm("0a", 16) | layer("0b", 16, 16) | norm("0b", 16) | layer("1a", 16, 16) | norm("1a", 16) | layer("1b", 16, 16) | norm("1b", 16)
-    weights |= {f"h{k}": v for k, v in (layer("1", 16, 8) | layer("2", 8, 3)).items()}
-    return scoring.score_mlp(standardized_splits(spark, sf_dir), weights).drop("x")
+    """Probabilities of every window by an MLP with seeded weights, in place of exported ones; no window is stored."""
+    cols = ["close", "f1", "f2"]
+    rows = written(dataset.finite_rows(dataset.clean_labels(dirty_labels(spark, sf_dir), need_close=True), cols).select("symbol", "timestamp_ms", "label", *cols), "finite")
+    return scoring.score_windows(rows, cols, 4, dataset.slot_statistics(rows, cols, 4), mlp_weights(), least=10)
 
 
 DAY = S.DAY_MS
@@ -302,6 +298,7 @@ QUERIES: dict[str, Query] = {
     "ingest_counters": ingested,
     "baseline_scores": baseline_scores,
     "mlp_scores": mlp_scores,
+    "mlp_probabilities": q(mlp_scores),
     "consolidate_days": lambda s, d: files.consolidate_days(trades(s, d).withColumn("day", S.day_of(F.col("timestamp"))), skipped_days(s, d), START_MS + 2 * DAY + 5, START_MS + 9 * DAY),
 }
 

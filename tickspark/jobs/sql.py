@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-from tickspark.jobs.settings import COEFFICIENTS, END_MS, GRID, INTERCEPTS, LABELS, START_MS, SWEEP, THRESHOLDS, TIMEFRAME_S
+import numpy as np
+
+from tickspark.jobs.settings import COEFFICIENTS, END_MS, GRID, INTERCEPTS, LABELS, START_MS, SWEEP, THRESHOLDS, TIMEFRAME_S, mlp_weights
 
 DAY = 86_400_000
 START_S, END_S = START_MS // 1000, END_MS // 1000
@@ -148,6 +150,41 @@ CTES: dict[str, str] = {
 }
 
 
+def units(w: np.ndarray, b: np.ndarray, x: str) -> str:
+    """A list of w x + b."""
+    held = ", ".join("{'w': [" + ", ".join(e(v) for v in row) + "], 'b': " + e(shift) + "}" for row, shift in zip(w, b, strict=True))
+    return f"[list_inner_product(u.w, {x}) + u.b for u in [{held}]]"
+
+
+def gelu(x: str) -> str:
+    """Of a list; erf(v) is exp(-v^2) times the sum of v^(2n+1) over gamma(n + 3/2), all of one sign."""
+    return f"[v * 0.5e0 * (1 + exp(-v * v / 2) * list_sum([pow(v / sqrt(2.0e0), 2 * n + 1) / gamma(n + 1.5e0) for n in range(100)])) for v in {x}]"
+
+
+def mlp_ctes() -> dict[str, str]:
+    """The forward pass of mlp_weights() over the standardized windows, a table a layer. Gains are 1 and shifts 0."""
+    w = mlp_weights()
+    keys = "symbol, timestamp_ms, label, split"
+    x = ", ".join(f"((x{i}::DOUBLE - m{i}::FLOAT::DOUBLE) / s{i}::FLOAT::DOUBLE)::FLOAT::DOUBLE" for i in range(12))
+    out, last = {"net_in": f"SELECT {keys}, [{x}] AS h FROM parts, moments"}, "net_in"
+    for block in (0, 1):
+        for part in "ab":
+            name, source = f"net_{block}{part}", "h" if part == "a" else "z"
+            out[f"{name}_sum"] = f"SELECT *, {units(w[f'w{block}{part}'], w[f'b{block}{part}'], source)} AS y FROM {last}"
+            out[f"{name}_norm"] = f"SELECT * EXCLUDE (y), [(v - list_avg(y)) / sqrt(list_var_pop(y) + 1e-5) for v in y] AS y FROM {name}_sum"
+            out[name] = f"SELECT {keys}, h, {gelu('y')} AS z FROM {name}_norm"
+            last = name
+        out[f"net_{block}"] = f"SELECT {keys}, " + ("z" if block == 0 else "[z[k] + h[k] for k in range(1, 17)]") + f" AS h FROM {last}"
+        last = f"net_{block}"
+    out["net_head_sum"] = f"SELECT {keys}, {units(w['hw1'], w['hb1'], 'h')} AS y FROM {last}"
+    out["net_head"] = f"SELECT {keys}, {gelu('y')} AS y FROM net_head_sum"
+    out["net_out"] = f"SELECT {keys}, {units(w['hw2'], w['hb2'], 'y')} AS y FROM net_head"
+    return out
+
+
+CTES |= mlp_ctes()
+
+
 def weights(source: str, where: str = "true") -> str:
     return f"SELECT label, (sum(n) OVER ()) / (3 * n) AS weight FROM (SELECT c.x AS label, greatest(count(p.label), 1) AS n FROM (VALUES (0), (1), (2)) c(x) LEFT JOIN (SELECT label FROM {source} WHERE {where}) p ON p.label = c.x GROUP BY c.x)"
 
@@ -223,6 +260,7 @@ FINAL: dict[str, str] = {
     "standardized": "SELECT symbol, timestamp_ms, label, split, " + ", ".join(f"round((((x{i}::DOUBLE - m{i}::FLOAT::DOUBLE) / s{i}::FLOAT::DOUBLE)::FLOAT)::DOUBLE, 3) + 0.0e0 AS x{i}" for i in range(12)) + " FROM parts, moments",
     "class_weights": f"SELECT label, round(weight, 6) AS weight FROM ({weights('parts', TRAIN)})",
     "softmax_scores": f"SELECT symbol, timestamp_ms, argmax, {r('p_no_trade p_long p_short')} FROM scores",
+    "mlp_probabilities": "SELECT symbol, timestamp_ms, label, split, " + ", ".join(f"round(exp(y[{k + 1}] - list_max(y)) / list_sum([exp(v - list_max(y)) for v in y]), 6) AS {p}" for k, p in enumerate(("p_no_trade", "p_long", "p_short"))) + " FROM net_out",
     "log_loss": f"SELECT symbol, round(sum(weight * -ln(greatest(CASE label WHEN 0 THEN p_no_trade WHEN 1 THEN p_long ELSE p_short END, 1e-300))) / sum(weight), 6) AS loss FROM scores JOIN ({weights('scores')}) USING (label) GROUP BY symbol",
     "decisions": "SELECT symbol, timestamp_ms, label, pred, pred_name FROM decided",
     "confusion": "SELECT symbol, label, pred, n FROM cells",

@@ -67,16 +67,22 @@ def time_split(df: DataFrame, train: float = 0.7, val: float = 0.15, least: int
     Symbols with fewer than `least` rows, or with an empty split, are an error when the rows are read.
     """
     rows = numbered(df)
-    first, second = F.floor(F.col("n") * F.lit(train)), F.floor(F.col("n") * F.lit(train + val))
-    error = lambda text: F.raise_error(F.concat(F.lit(text), "symbol")).cast("string")
-    split = F.when(F.col("n") < least, error("too few rows for ")).when((first < 1) | (second <= first) | (second >= F.col("n")), error("an empty split for "))
-    split = split.when(F.col("i") < first, "train").when(F.col("i") < second, "val").otherwise("test")
-    rows = rows.withColumn("split", split)
+    n, i = F.col("n"), F.col("i")
+    rows = rows.withColumn("split", split_at(i, n, train, val, least))
     if embargo:
-        rows = rows.where(~(F.col("i").between(first, first + embargo - 1) | F.col("i").between(second, second + embargo - 1)))
+        first, second = F.floor(n * F.lit(train)), F.floor(n * F.lit(train + val))
+        rows = rows.where(~(i.between(first, first + embargo - 1) | i.between(second, second + embargo - 1)))
     return rows.drop("i", "n")
 
 
+def split_at(i: Column, n: Column, train: float = 0.7, val: float = 0.15, least: int = 100) -> Column:
+    """The split of place i of n in time order; an error, once read, for fewer than `least` or an empty split."""
+    first, second = F.floor(n * F.lit(train)), F.floor(n * F.lit(train + val))
+    error = lambda text: F.raise_error(F.concat(F.lit(text), "symbol")).cast("string")
+    split = F.when(n < least, error("too few rows for ")).when((first < 1) | (second <= first) | (second >= n), error("an empty split for "))
+    return split.when(i < first, "train").when(i < second, "val").otherwise("test")
+
+
 def fit_standardizer(train: DataFrame) -> DataFrame:
     """(position, mean, std) of each place of x, with population std, 1 where that is below 1e-12.
 

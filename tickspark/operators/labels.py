@@ -124,19 +124,74 @@ def build_labels_in_chunks(bars: DataFrame, chunk: int = CHUNK, steps: int = 12,
     return rows.where("own").drop("chunk", "own", "i", "n")
 
 
-def label_sweep(bars: DataFrame, settings: list[tuple[int, float, float]], cost: float = 0.0005) -> DataFrame:
-    """(steps, tp_pct, sl_pct, label, n) for each setting: the future is collected once, and sliced per setting.
+def label_sweep(bars: DataFrame, settings: list[tuple[int, float, float]], cost: float = 0.0005, chunk: int = CHUNK) -> DataFrame:
+    """(steps, tp_pct, sl_pct, label, n) for each setting, from the first rows ahead that reach each distinct level (level_steps()), whatever the settings' number and horizons.
 
-    The settings are a list in the program, so their table is small by construction.
+    A side is good if it takes profit first, inside the horizon, and at a gain. Both sides take the same profit, so the long wins where both are good;
+    returns at the horizon decide no label. The settings are a list in the program, so their table is small by construction.
     """
-    spark = bars.sparkSession
-    grid = F.broadcast(spark.createDataFrame(settings, "steps int, tp_pct double, sl_pct double"))
-    rows = future_frame(bars.select("symbol", "timestamp_ms", "timestamp_s", "close", "high", "low"), max(s for s, _, _ in settings))
-    rows = rows.crossJoin(grid).withColumn("future", F.slice("future", F.lit(1), F.col("steps")))
-    last = F.when(F.size("future") > 0, F.try_element_at(F.col("future.close"), F.size("future")))
-    rows = rows.withColumns({"long_horizon_return_pct": (last / F.col("close") - 1.0 - cost) * 100.0, "short_horizon_return_pct": (F.col("close") / last - 1.0 - cost) * 100.0})
-    rows = label_decision(touch_columns(rows, F.col("tp_pct") / 100.0, F.col("sl_pct") / 100.0, F.lit(cost)))
-    return rows.groupBy("steps", "tp_pct", "sl_pct", "label").agg(F.count("*").alias("n"))
+    levels = sorted({x for _, tp, sl in settings for x in (tp, sl)})
+    grid = [(h, tp, sl, levels.index(tp), levels.index(sl)) for h, tp, sl in settings]
+    grid = F.broadcast(bars.sparkSession.createDataFrame(grid, "steps int, tp_pct double, sl_pct double, tp_at int, sl_at int"))
+    rows = level_steps(bars, [x / 100.0 for x in levels], max(h for h, _, _ in settings), chunk).crossJoin(grid)
+    won = lambda there, back: (F.get(there, F.col("tp_at")) <= F.col("steps")) & (F.get(there, F.col("tp_at")) < F.get(back, F.col("sl_at")))
+    gain = (F.col("tp_pct") / 100.0 - cost) * 100.0 > 0
+    label = F.when(gain & won("up", "down"), LONG).when(gain & won("down", "up"), SHORT).otherwise(NO_TRADE)
+    return rows.withColumn("label", label).groupBy("steps", "tp_pct", "sl_pct", "label").agg(F.count("*").alias("n"))
+
+
+#: Stands for a level that no row ahead reaches.
+NEVER = 2**31 - 1
+
+
+def level_steps(bars: DataFrame, levels: list[float], steps: int, chunk: int = CHUNK) -> DataFrame:
+    """(symbol, timestamp_ms, up, down): for each level, in how many rows a high first lies that share above the close, or a low below it; NEVER if not in the next `steps` rows.
+
+    The records of what lies ahead of a row are the chain of next larger values from the row after it. A chunk works those pointers out once;
+    each level is a binary search in the chain, so it costs the logarithm of the records. Nulls and NaN reach nothing.
+    """
+    rows = dealt(numbered(bars.select("symbol", "timestamp_ms", "high", "low", "close")), chunk, after=steps)
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i", ignore_index=True)
+        own = pdf["own"].to_numpy()
+        here = np.flatnonzero(own)
+        close = pdf["close"].to_numpy(np.float64)[own]
+        found = []
+        for side, sign in (("high", 1.0), ("low", -1.0)):
+            x = sign * pdf[side].to_numpy(np.float64)
+            chain = record_chains(x, steps)
+            places = [first_in_chain(x, chain, here + 1, sign * (close * (1 + sign * level))) for level in levels]
+            ahead = np.stack(places, 1) - here[:, None]
+            found.append(np.where((ahead <= steps) & (np.stack(places, 1) < len(x)), ahead, NEVER).astype(np.int32))
+        return pd.DataFrame({"symbol": pdf["symbol"][own], "timestamp_ms": pdf["timestamp_ms"][own], "up": list(found[0]), "down": list(found[1])})
+
+    return rows.groupBy("symbol", "chunk").applyInPandas(search, "symbol string, timestamp_ms long, up array<int>, down array<int>")
+
+
+def record_chains(x: np.ndarray, most: int) -> list[np.ndarray]:
+    """Places of the 1st, 2nd, 4th ... next record after each place of x, each record the first larger value than the one before; len(x) without one in the next `most` places."""
+    n = len(x)
+    value = np.where(np.isnan(x), -np.inf, x)
+    place, stop = np.arange(n) + 1, np.minimum(np.arange(n) + 1 + most, n)
+    tables = range_extremes(value, most, np.maximum)
+    for k in range(len(tables) - 1, -1, -1):
+        seen = tables[k][np.minimum(place, len(tables[k]) - 1)]
+        place = np.where((place + (1 << k) <= stop) & (seen <= value), place + (1 << k), place)
+    chains = [np.append(np.where(place < stop, place, n), n)]
+    while (chains[-1] < n).any() and 1 << len(chains) <= most:
+        chains.append(chains[-1][chains[-1]])
+    return chains
+
+
+def first_in_chain(x: np.ndarray, chains: list[np.ndarray], start: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The first place from start on whose x is at least the level; len(x) without one in its chain of records."""
+    value = np.append(np.where(np.isnan(x), -np.inf, x), np.inf)
+    place = start
+    for chain in reversed(chains):
+        place = np.where(value[chain[place]] < level, chain[place], place)
+    place = np.where(value[place] < level, chains[0][place], place)
+    return np.where(np.isnan(level), len(x), place)
 
 
 def range_extremes(x: np.ndarray, most: int, better: np.ufunc) -> list[np.ndarray]:

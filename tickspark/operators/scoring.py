@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickspark.operators.bars import CHUNK, dealt, numbered
+from tickspark.operators.dataset import split_at
+
 PROBABILITIES = ["p_no_trade", "p_long", "p_short"]
 
 
@@ -85,6 +88,44 @@ def score_mlp(df: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
     return df.mapInPandas(score, f"{schema}, " + ", ".join(f"{n} double" for n in PROBABILITIES))
 
 
+def score_windows(df: DataFrame, cols: list[str], rows_back: int, stats: DataFrame, weights: dict[str, np.ndarray], keep: tuple[str, ...] = ("label",), least: int = 100, chunk: int = CHUNK, batch: int = 4096) -> DataFrame:
+    """(symbol, timestamp_ms, keep, split, probabilities): score_mlp() of the standardized lookback_windows() of df under time_split(), with no window stored.
+
+    Rows are dealt to chunks once, with the rows_back - 1 rows before each. There a strided view over the chunk's matrix stands for its windows; `batch` of
+    them at a time are standardized and scored, so what is shuffled doesn't grow with rows_back. stats has a row for each place of a window, a size that the
+    model sets, and goes to the driver with the weights. As in lookback_windows(), rows with fewer before them give none.
+    """
+    width = rows_back * len(cols)
+    places = {r["position"]: (r["mean"], r["std"]) for r in stats.collect()}
+    if places and set(places) != set(range(width)):
+        raise ValueError(f"statistics of {len(places)} places for windows of {width}")
+    single = np.array([places.get(p, (0.0, 1.0)) for p in range(width)], np.float32).astype(np.float64)
+    held = df.sparkSession.sparkContext.broadcast((weights, single[:, 0], single[:, 1]))
+    values = [f"v{k}" for k in range(len(cols))]
+    before = rows_back - 1
+    rows = numbered(df.select("symbol", "timestamp_ms", *keep, *[F.col(c).cast("float").alias(v) for c, v in zip(cols, values, strict=True)]))
+    split = F.when(F.col("i") >= before, split_at(F.col("i") - before, F.col("n") - before, least=least))
+    rows = dealt(rows.withColumn("split", split), chunk, before=before)
+    kept = ["symbol", "timestamp_ms", *keep, "split"]
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i", ignore_index=True)
+        model, mean, std = held.value
+        ends = np.flatnonzero(pdf["own"].to_numpy() & (pdf["i"].to_numpy() >= before))
+        matrix = pdf[values].to_numpy(np.float32)
+        p = np.zeros((len(ends), 3))
+        if len(ends):
+            view = np.lib.stride_tricks.sliding_window_view(matrix, rows_back, axis=0).swapaxes(1, 2)
+        for at in range(0, len(ends), batch):
+            x = view[ends[at : at + batch] - before].reshape(-1, width).astype(np.float64)
+            p[at : at + batch] = mlp_forward(((x - mean) / std).astype(np.float32), model)
+        return pdf.loc[ends, kept].assign(**{name: p[:, k] for k, name in enumerate(PROBABILITIES)})
+
+    types = dict(rows.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in kept) + "".join(f", {n} double" for n in PROBABILITIES)
+    return rows.select(*kept, "chunk", "own", "i", *values).groupBy("symbol", "chunk").applyInPandas(score, schema)
+
+
 def softmax_linear(df: DataFrame, coefficients: list[dict[str, float]], intercepts: list[float]) -> DataFrame:
     """df with logits (array of three) and the three probabilities of a linear scorer on columns."""
     logit = lambda i: sum((F.col(c) * F.lit(float(k)) for c, k in coefficients[i].items()), F.lit(float(intercepts[i])))
