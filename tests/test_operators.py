@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tickspark.functions import scalars
 from tickspark.operators import backtest, bars, dataset, evaluate, features, labels, quality, scoring
-from tickspark.sources import files
+from tickspark.sources import archives, files
 from tickspark.streaming.bars import stream_bars
 
 T0 = 1_704_067_200_000
@@ -80,6 +80,53 @@ def test_files_out_of_range_are_not_read(spark, tmp_path):
         files.read_trades_in_range(spark, str(tmp_path / "none"), "x", 0, 1)
 
 
+def test_archives_out_of_range_are_never_opened(spark, tmp_path):
+    for day, line in (("2024-01-01", "1,1,1,1,1,1704067200000,true"), ("2024-01-02", "2,1,1,1,1,1704153600000,true\n3,1,1,1,1,1704153600001,false,more")):
+        with zipfile.ZipFile(tmp_path / f"a-{day}.zip", "w") as z:
+            z.writestr("t.csv", line)
+    (tmp_path / "a-2024-01-03.zip").write_text("no archive at all")
+    (tmp_path / "a-20240104_000000__20240105_000000.zip").write_text("nor this")
+    day = 86_400_000
+    ids = lambda first, last: sorted(r.agg_trade_id for r in archives.read_archives(spark, str(tmp_path), first, last).collect())
+    assert ids(T0, T0 + 2 * day) == ["1", "2", "3"] and ids(T0 + day, T0 + 2 * day) == ["2", "3"] and ids(T0 - day, T0) == []
+    later = archives.read_archives(spark, str(tmp_path)).where((F.col("last_ms") > T0 + day) & (F.col("first_ms") < T0 + 2 * day) & (F.col("agg_trade_id") == "3"))
+    assert later.select("agg_trade_id", "buyer_is_maker").collect() == [("3", "false")]
+    with pytest.raises(Exception, match="not a zip file"):
+        ids(T0, T0 + 3 * day)
+    with pytest.raises(Exception, match="no archive"):
+        archives.read_archives(spark, str(tmp_path / "*.none")).collect()
+
+
+def test_spans_of_names():
+    assert archives.span_of("x/a-2024-01-01.zip") == (T0, T0 + 86_400_000)
+    assert archives.span_of("x/20240101_000000__20240101_000001.zip") == (T0, T0 + 1000)
+    assert archives.span_of("x/2024-13-01.zip") == archives.span_of("2024-01-01/a.zip") == archives.EVER
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 1000])
+def test_archives_hold_what_was_written(spark, tmp_path, chunk):
+    rng = random.Random(chunk)
+    texts = ["1", " 2 ", 'a "quoted", text', "two\nlines", "", "é"]
+    rows = [(rng.choice(["a", "b/c", "-"]), *[rng.choice(texts) for _ in range(5)], rng.choice([str(T0), str(T0 + 86_400_000), "soon"]), "true") for _ in range(60)]
+    columns = list(files.TRADE_COLUMNS)
+    raw = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in ("symbol", *columns)))
+    archives.write_archives(raw, str(tmp_path / "out"))
+    names = sorted(p.name for p in (tmp_path / "out").iterdir())
+    assert names == sorted({f"{s.replace('/', '%2F')}-{ {str(T0): '2024-01-01', str(T0 + 86_400_000): '2024-01-02'}.get(t, 'undated')}.zip" for s, *_, t, _ in rows})
+    got = files.read_trades_zip(spark, str(tmp_path / "out" / "*.zip"), "x", chunk).select(columns).collect()
+    assert sorted(map(tuple, got)) == sorted(r[1:] for r in rows)
+    archives.write_archives(raw.limit(0), str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == names
+
+
+def test_empty_and_odd_archives(spark, tmp_path):
+    for name, text in (("empty", ""), ("blank", "\n\n"), ("odd", "1,2\n,\n1,2,3,4,5,6,7,8,9\n")):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            z.writestr("t.CSV", text)
+    got = sorted((tuple(r)[:7] for r in archives.read_archives(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([("1", "2", *[None] * 5), ("", "", *[None] * 5), ("1", "2", "3", "4", "5", "6", "7")], key=str)
+
+
 def test_no_day_left_is_an_error(spark):
     daily = spark.sql("select 'a' symbol, date'2024-01-01' day")
     assert files.consolidate_days(daily, daily, T0, T0 + 1).count() == 0

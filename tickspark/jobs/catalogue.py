@@ -12,7 +12,7 @@ from tickspark.jobs import sql
 from tickspark.jobs.settings import COEFFICIENTS, END_MS, GRID, INTERCEPTS, LABELS, START_MS, SWEEP, THRESHOLDS, TIMEFRAME_S, mlp_weights
 from tickspark.operators import backtest as B
 from tickspark.operators import bars, dataset, evaluate, features, labels, quality, scoring
-from tickspark.sources import adapters, files
+from tickspark.sources import adapters, archives, files
 from tickspark.sources.scratch import scratch, written
 from tickspark.streaming.bars import stream_bars
 
@@ -182,6 +182,13 @@ def trades_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.sanitize_trades(files.read_trades_csv(spark, path, "all"))
 
 
+def trades_by_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw trades written as an archive for each symbol and day, read back and sanitized; the symbol is the archive's."""
+    path = scratch(spark, "archives")
+    archives.write_archives(raw(spark, sf_dir), path)
+    return files.sanitize_trades(archives.read_archives(spark, path).withColumn("symbol", F.regexp_extract("path", "([^/-]+)-[^/]*$", 1))).drop("path", "first_ms", "last_ms")
+
+
 def klines_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Klines written as CSV with header by symbol, read back and deduplicated."""
     path = scratch(spark, "klines")
@@ -292,6 +299,7 @@ QUERIES: dict[str, Query] = {
     "prune_by_stamp": lambda s, d: files.prune_by_stamp(file_names(s, d), START_MS + 3 * DAY, START_MS + 5 * DAY),
     "stream_bars": q(streamed_bars),
     "trades_by_file": trades_by_file,
+    "trades_by_archive": trades_by_archive,
     "trades_by_day": trades_by_day,
     "klines_by_file": q(klines_by_file),
     "features_by_file": q(features_by_file),

@@ -302,6 +302,7 @@ FINAL: dict[str, str] = {
     + ", ".join(f"sum({c}) AS {c}" for c in AMOUNTS.split()[:-1])
     + ", max(max_trade_size) AS max_trade_size FROM seconds GROUP BY ALL) WHERE (hour_s + 3600) * 1000 <= (SELECT max(timestamp) FROM trades) - 600000",
     "trades_by_file": "SELECT 'all' AS symbol, * EXCLUDE (symbol) FROM clean",
+    "trades_by_archive": "SELECT * FROM clean",
     "trades_by_day": f"SELECT symbol, {day('timestamp')} AS day, count(*) AS n FROM (SELECT *, count(*) FILTER (symbol = 'click' AND agg_trade_id % 2 = 0) OVER (PARTITION BY symbol, {day('timestamp')}) AS again FROM trades) WHERE again = 0 OR agg_trade_id % 2 = 0 GROUP BY ALL",
     "consolidate_days": f"SELECT t.*, {day('timestamp')} AS day FROM trades t WHERE {day('timestamp')} BETWEEN DATE '2024-01-03' AND DATE '2024-01-09' AND (symbol, {day('timestamp')}) NOT IN (SELECT (symbol, {day('timestamp')}) FROM trades WHERE agg_trade_id % 211 = 0)",
 }

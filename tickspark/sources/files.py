@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import csv
-import io
 import re
-import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from datetime import UTC, datetime
 from urllib.parse import unquote, urlsplit
 
-import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tickspark.functions.scalars import day_of, parse_flag, whole_number
+from tickspark.sources.archives import STAMPED, TRADE_COLUMNS, read_archives
 
-#: The seven columns of a trade file, in order, with their types.
-TRADE_COLUMNS = {"agg_trade_id": "bigint", "price": "double", "quantity": "double", "first_trade_id": "bigint", "last_trade_id": "bigint", "timestamp": "bigint", "buyer_is_maker": "boolean"}
 KLINE_SCHEMA = "open_time bigint, open double, high double, low double, close double"
 #: What the labeller needs of a feature file.
 FEATURES_NEEDED = {"timestamp_ms": "bigint", "timestamp_s": "bigint", "timeframe_s": "bigint", "open": "double", "high": "double", "low": "double", "close": "double"}
@@ -26,7 +21,6 @@ LABELS_NEEDED = {
     "timestamp": "string", "timestamp_ms": "bigint", "timestamp_s": "bigint", "label": "int", "label_name": "string", "close": "double", "long_net_return_pct": "double", "short_net_return_pct": "double",
     "time_to_exit_s": "double", "long_event": "string", "short_event": "string", "exit_reason": "string",
 }
-STAMPED = r"(\d{8}_\d{6})__(\d{8}_\d{6})(?:\.[^/]*)?$"
 
 
 def read_trades_csv(spark: SparkSession, path: str | list[str], symbol: str) -> DataFrame:
@@ -36,32 +30,11 @@ def read_trades_csv(spark: SparkSession, path: str | list[str], symbol: str) ->
 
 
 def read_trades_zip(spark: SparkSession, path: str, symbol: str, chunk: int = 250_000) -> DataFrame:
-    """The same of day archives: the first .csv of each, streamed; an archive without one is an error.
+    """The same of day archives (a file, a folder or wildcards): the first .csv of each, streamed in batches of at most `chunk` rows; an archive without one is an error.
 
-    An archive can't be split and takes one task; its bytes are the task's, its rows pass in chunks.
+    An archive can't be split and takes one task, which holds a block of text at a time.
     """
-    names = list(TRADE_COLUMNS)
-
-    def unzip(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for files_part in files:
-            for path, content in zip(files_part["path"], files_part["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    inner = next((n for n in archive.namelist() if n.lower().endswith(".csv")), None)
-                    if inner is None:
-                        raise ValueError(f"no .csv in {path}")
-                    with archive.open(inner) as data:
-                        lines: list[list[str | None]] = []
-                        for fields in csv.reader(io.TextIOWrapper(data, "utf-8", newline="")):
-                            if fields:
-                                lines.append([*fields[: len(names)], *[None] * (len(names) - len(fields))])
-                            if len(lines) == chunk:
-                                yield pd.DataFrame(lines, columns=names)
-                                lines = []
-                        if lines:
-                            yield pd.DataFrame(lines, columns=names)
-
-    archives = spark.read.format("binaryFile").load(path).select("path", "content")
-    return archives.mapInPandas(unzip, ", ".join(f"{c} string" for c in names)).withColumn("symbol", F.lit(symbol))
+    return read_archives(spark, path, rows=chunk).select(*TRADE_COLUMNS).withColumn("symbol", F.lit(symbol))
 
 
 def sanitize_trades(raw: DataFrame) -> DataFrame:
