@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tickspark.functions import scalars
 from tickspark.operators import backtest, bars, dataset, evaluate, features, labels, quality, scoring
 from tickspark.sources import archives, files
-from tickspark.streaming.bars import stream_bars
+from tickspark.streaming.bars import stream_bars, stream_filled_bars
 
 T0 = 1_704_067_200_000
 TRADE = "symbol string, agg_trade_id long, price double, quantity double, first_trade_id long, last_trade_id long, timestamp long, buyer_is_maker boolean"
@@ -607,3 +607,22 @@ def test_stream_equals_batch(spark, tmp_path):
     want = sorted(map(tuple, batch.select(cols).collect()))
     newest = max(r[1] for r in want)
     assert got and [r for r in want if r[1] < newest - 60] == [r for r in got if r[1] < newest - 60]
+
+
+@pytest.mark.parametrize("batches,tf,start", [(1, 60, 0), (5, 60, -90), (5, 300, 30)])
+def test_filled_stream_equals_build_bars(spark, tmp_path, batches, tf, start):
+    """Sparse trades, one symbol silent for long: every bar that has ended by the watermark is there once, gaps included."""
+    rows = [r for r in some_trades(60, 3000, batches) if r[0] == "a" or not 600_000 < r[4] < 2_000_000] + [("quiet", 1000, 7.0, 1.0, 100_500, True)]
+    source, out = tmp_path / "in", tmp_path / "out"
+    frame = trades(spark, sorted(rows, key=lambda r: r[4]))
+    width = 3_000_000 // batches
+    for i in range(batches):
+        frame.where((F.col("timestamp") >= T0 + i * width) & (F.col("timestamp") < T0 + (i + 1) * width)).coalesce(1).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema(TRADE).option("maxFilesPerTrigger", 1).parquet(str(source))
+    query = stream_filled_bars(stream, tf, T0 + start * 1000, "5 seconds").writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(200)
+    columns = ["symbol", "timestamp_s", "open", "high", "low", "close", "trade_count", "volume", "max_trade_size"]
+    got = sorted(tuple(r) for r in spark.read.parquet(str(out)).select(columns).collect())
+    passed = (max(r[4] for r in rows) + T0 - 5000) // 1000
+    want = sorted(tuple(r) for r in bars.build_bars(frame, tf, T0 + start * 1000, T0 + 3_000_000).select(columns).collect() if r.timestamp_s + tf <= passed)
+    assert got == want and {r[0] for r in got} == {"a", "b", "quiet"}

@@ -14,7 +14,7 @@ from tickspark.operators import backtest as B
 from tickspark.operators import bars, dataset, evaluate, features, labels, quality, scoring
 from tickspark.sources import adapters, archives, files
 from tickspark.sources.scratch import scratch, written
-from tickspark.streaming.bars import stream_bars
+from tickspark.streaming.bars import stream_bars, stream_filled_bars
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -175,6 +175,17 @@ def streamed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+def streamed_filled_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars without gaps of events in range, read as a stream; what the watermark hasn't passed stays out."""
+    schema = adapters.table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    out, state = scratch(spark, "stream"), scratch(spark, "stream-state")
+    rows = S.range_filter(adapters.trades_from_events(stream), START_MS, END_MS)
+    query = stream_filled_bars(rows, 3600, START_MS).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(out)
+
+
 def trades_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw trades written as CSV, read back and sanitized."""
     path = scratch(spark, "csv")
@@ -298,6 +309,7 @@ QUERIES: dict[str, Query] = {
     "quality_checks": q(lambda s, d: quality.quality_checks(label_table(s, d))),
     "prune_by_stamp": lambda s, d: files.prune_by_stamp(file_names(s, d), START_MS + 3 * DAY, START_MS + 5 * DAY),
     "stream_bars": q(streamed_bars),
+    "stream_filled_bars": q(streamed_filled_bars),
     "trades_by_file": trades_by_file,
     "trades_by_archive": trades_by_archive,
     "trades_by_day": trades_by_day,

@@ -301,6 +301,7 @@ FINAL: dict[str, str] = {
     "stream_bars": f"SELECT symbol, hour_s AS timestamp_s, trade_count, {r(OHLC + ' ' + AMOUNTS)} FROM (SELECT symbol, second_s // 3600 * 3600 AS hour_s, min_by(open, second_s) AS open, max(high) AS high, min(low) AS low, max_by(close, second_s) AS close, sum(trade_count)::BIGINT AS trade_count, "
     + ", ".join(f"sum({c}) AS {c}" for c in AMOUNTS.split()[:-1])
     + ", max(max_trade_size) AS max_trade_size FROM seconds GROUP BY ALL) WHERE (hour_s + 3600) * 1000 <= (SELECT max(timestamp) FROM trades) - 600000",
+    "stream_filled_bars": f"SELECT symbol, timestamp_s, trade_count, {r(OHLC + ' ' + AMOUNTS)} FROM hour WHERE (timestamp_s + 3600) * 1000 <= (SELECT max(timestamp) FROM trades WHERE timestamp >= {START_MS} AND timestamp < {END_MS}) - 600000",
     "trades_by_file": "SELECT 'all' AS symbol, * EXCLUDE (symbol) FROM clean",
     "trades_by_archive": "SELECT * FROM clean",
     "trades_by_day": f"SELECT symbol, {day('timestamp')} AS day, count(*) AS n FROM (SELECT *, count(*) FILTER (symbol = 'click' AND agg_trade_id % 2 = 0) OVER (PARTITION BY symbol, {day('timestamp')}) AS again FROM trades) WHERE again = 0 OR agg_trade_id % 2 = 0 GROUP BY ALL",

@@ -65,7 +65,7 @@ def archives_at(path: str) -> list[str]:
         return sorted(f.path for f in found if f.type == pa_fs.FileType.File and f.base_name.lower().endswith(".zip") and f.base_name[0] not in "._")
     found = system.get_file_info(pa_fs.FileSelector("/".join(parts[:wild]) or "/", recursive=wild < len(parts) - 1))
     fits = lambda p: len(p.split("/")) == len(parts) and all(fnmatchcase(a, b) for a, b in zip(p.split("/"), parts, strict=True))
-    return sorted(f.path for f in found if f.type == pa_fs.FileType.File and fits(f.path))
+    return sorted(f.path for f in found if f.type == pa_fs.FileType.File and f.base_name[0] not in "._" and fits(f.path))
 
 
 def text_batches(data: IO[bytes], rows: int, block: int) -> Iterator[pa.RecordBatch]:
@@ -150,7 +150,10 @@ class Moves(WriterCommitMessage):
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    """An archive for each run of equal (symbol, day) in a task's rows, written under a hidden name and renamed once all tasks are done, so a task that runs again leaves nothing behind."""
+    """An archive for each run of equal (symbol, day) in a task's rows, written under a hidden name and renamed once all tasks are done.
+
+    A task that is lost leaves hidden files at most, which readers pass over.
+    """
 
     def __init__(self, path: str):
         self.path = path
