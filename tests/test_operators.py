@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickspark.functions import scalars
-from tickspark.operators import backtest, bars, dataset, evaluate, features, labels, quality, scoring
+from tickspark.operators import backtest, bars, dataset, evaluate, features, labels, quality, refresh, scoring
 from tickspark.sources import archives, files
 from tickspark.streaming.bars import stream_bars, stream_filled_bars
 
@@ -290,6 +290,12 @@ def bar_rows(spark, rows, tf=300):
     return spark.createDataFrame([("a", str(i), 1000 * tf * i, tf * i, tf, float(c), float(h), float(low), float(c)) for i, (h, low, c) in enumerate(rows)], BAR)
 
 
+def test_chunks_smaller_than_the_reach_of_features(spark):
+    frame = trades(spark, some_trades(300, 4000, 12))
+    whole, small = (features.build_features(frame, None, 60, T0, T0 + 4_000_000, chunk=c).orderBy("symbol", "timestamp_s").collect() for c in (50_000, 7))
+    assert len(whole) == len(small) and all(x == y or abs(x - y) < 1e-9 * max(1, abs(y)) for p, q in zip(whole, small, strict=True) for x, y in zip(p, q, strict=True))
+
+
 def test_unit_label(spark):
     got = labels.build_labels(bar_rows(spark, [(100, 100, 100), (101, 99.9, 101)]), 1, 0.5, 0.5, 0.0, 0.0).orderBy("timestamp_ms").collect()
     assert (got[0].label_name, got[0].exit_reason, got[0].time_to_exit_s) == ("LONG_SETUP", "TP", 300.0)
@@ -626,3 +632,47 @@ def test_filled_stream_equals_build_bars(spark, tmp_path, batches, tf, start):
     passed = (max(r[4] for r in rows) + T0 - 5000) // 1000
     want = sorted(tuple(r) for r in bars.build_bars(frame, tf, T0 + start * 1000, T0 + 3_000_000).select(columns).collect() if r.timestamp_s + tf <= passed)
     assert got == want and {r[0] for r in got} == {"a", "b", "quiet"}
+
+
+def test_refreshed_tables_equal_full_ones_and_leave_other_days_alone(spark, tmp_path):
+    day, tf, steps, n = 86_400_000, 7200, 5, 16
+    rng = random.Random(8)
+    rows = [("ab"[k % 2], k, round(100 + rng.random() * 5, 2), rng.randrange(1, 9) * 0.25, rng.randrange(n * day), rng.random() < 0.5) for k in range(300)]
+    # "b" doesn't trade on days 3 to 6, nor before day 2
+    rows = [r for r in rows if r[0] == "a" or r[4] // day not in (0, 1, 3, 4, 5, 6)]
+    store, end = str(tmp_path / "store"), T0 + n * day
+
+    def check(kept):
+        frame = trades(spark, kept)
+        made = features.build_features(frame, None, tf, T0, end)
+        full = {"bars": bars.build_bars(frame, tf, T0, end), "features": made, "labels": labels.build_labels(made, steps)}
+        for name, want in full.items():
+            got = spark.read.parquet(f"{store}/{name}").drop("day").select(*want.columns)
+            key = lambda r: (r.symbol, r.timestamp_s)
+            a, b = (sorted(x.collect(), key=key) for x in (got, want))
+            assert len(a) == len(b) and all(x == y or (isinstance(x, float) and (abs(x - y) < 1e-9 * max(1, abs(y)) or (math.isnan(x) and math.isnan(y)))) for p, q in zip(a, b, strict=True) for x, y in zip(p, q, strict=True)), name
+
+    gone = {"a": {9}, "b": {2, 15}}
+    early = [r for r in rows if r[4] // day not in gone[r[0]]]
+    refresh.refresh(spark, store, trades(spark, early), tf, T0, end, steps)
+    check(early)
+    # files of days that can't change are broken, and mended again to compare
+    held = {p: p.read_bytes() for name in ("trades", "bars", "features", "labels") for p in (tmp_path / "store" / name / "symbol=a").glob("day=*/*.parquet") if not "2024-01-07" <= p.parent.name[4:] <= "2024-01-16"}
+    for p in held:
+        p.write_bytes(b"broken")
+        (p.parent / f".{p.name}.crc").unlink(missing_ok=True)
+    changed = refresh.refresh(spark, store, trades(spark, [r for r in rows if r not in early and r[0] == "a"]), tf, T0, end, steps)
+    assert all(p.read_bytes() == b"broken" for p in held) and len(held) > 10
+    for p, content in held.items():
+        p.write_bytes(content)
+    assert {s for x in changed.values() for s, _ in x} == {"a"} and len(changed["labels"]) < n
+    check([r for r in rows if r in early or r[0] == "a"])
+    refresh.refresh(spark, store, trades(spark, [r for r in rows if r not in early and r[0] == "b"]), tf, T0, end, steps, chunk=17)
+    check(rows)
+    # a replaced day
+    other = [(*r[:2], r[2] + 1, *r[3:]) if r[0] == "b" and r[4] // day == 12 else r for r in rows]
+    refresh.refresh(spark, store, trades(spark, [r for r in other if r not in rows]), tf, T0, end, steps)
+    check(other)
+    assert refresh.refresh(spark, store, trades(spark, []), tf, T0, end, steps)["labels"] == set()
+    with pytest.raises(ValueError, match="whole days"):
+        refresh.refresh(spark, store, trades(spark, []), 7000, T0, end)

@@ -12,6 +12,7 @@ from tickspark.jobs import sql
 from tickspark.jobs.settings import COEFFICIENTS, END_MS, GRID, INTERCEPTS, LABELS, START_MS, SWEEP, THRESHOLDS, TIMEFRAME_S, mlp_weights
 from tickspark.operators import backtest as B
 from tickspark.operators import bars, dataset, evaluate, features, labels, quality, scoring
+from tickspark.operators.refresh import refresh
 from tickspark.sources import adapters, archives, files
 from tickspark.sources.scratch import scratch, written
 from tickspark.streaming.bars import stream_bars, stream_filled_bars
@@ -165,6 +166,15 @@ def checked_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.backtest_checks(B.backtest_report(rows, every=symbols(spark, sf_dir)), evaluate.classification_report(cells, "symbol"), cells)
 
 
+def refreshed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly labels of a store that takes in all trades but those of every fifth day, and then those."""
+    store = scratch(spark, "store")
+    late = F.floor(F.col("timestamp") / S.DAY_MS) % 5 == 0
+    for part in (~late, late):
+        refresh(spark, store, trades(spark, sf_dir).where(part), 3600, START_MS, END_MS, *LABELS)
+    return spark.read.parquet(f"{store}/labels").select(F.col("symbol").cast("string").alias("symbol"), "timestamp_ms", "close", "label", "exit_reason", "time_to_exit_s")
+
+
 def streamed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars of events read as a stream and written once complete; what the watermark hasn't passed stays out."""
     schema = adapters.table(spark, sf_dir, "events").schema
@@ -308,6 +318,7 @@ QUERIES: dict[str, Query] = {
     "catalog_lookup": lambda s, d: quality.catalog_lookup(manifests(s, d).withColumns({c: F.col(c).cast("string") for c in ("created_at", "start_date", "end_date")}), "1995-01-01", "1995-06-30"),
     "quality_checks": q(lambda s, d: quality.quality_checks(label_table(s, d))),
     "prune_by_stamp": lambda s, d: files.prune_by_stamp(file_names(s, d), START_MS + 3 * DAY, START_MS + 5 * DAY),
+    "labels_refreshed": q(refreshed_labels),
     "stream_bars": q(streamed_bars),
     "stream_filled_bars": q(streamed_filled_bars),
     "trades_by_file": trades_by_file,

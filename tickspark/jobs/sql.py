@@ -280,6 +280,7 @@ FINAL: dict[str, str] = {
         LEFT JOIN (SELECT symbol, {day('timestamp')} AS day, count(*) AS n FROM clean GROUP BY ALL) k ON k.symbol = s.symbol AND k.day = s.day""",
     "klines_by_file": f"SELECT symbol, open_time, open_time AS seq, {r(OHLC)} FROM minutes",
     "features_by_file": f"SELECT o.symbol, o.timestamp_s * 1000 AS timestamp_ms, label, exit_reason, {r('o.close h.time_to_exit_s')} FROM hour_rows o JOIN h_labelled h USING (symbol, i)",
+    "labels_refreshed": f"SELECT o.symbol, o.timestamp_s * 1000 AS timestamp_ms, label, exit_reason, {r('o.close h.time_to_exit_s')} FROM hour_rows o JOIN h_labelled h USING (symbol, i)",
     "ingest_counters": "SELECT (SELECT count(*) FROM clean) AS stored, (SELECT count(*) FROM raw) AS parsed, (SELECT count(*) FROM clean) AS kept, (SELECT min(timestamp) FROM clean) AS first_ms, (SELECT max(timestamp) FROM clean) AS last_ms",
     "drop_reasons": f"""SELECT symbol, CASE WHEN NOT bad_time THEN {day('timestamp')} END AS day, reason, count(*) AS n FROM (SELECT *, CASE WHEN NOT regexp_full_match(id_text, '[0-9]+') THEN 'agg_trade_id' WHEN bad_price THEN 'price' WHEN no_quantity THEN 'quantity'
         WHEN bad_time THEN 'timestamp' WHEN flag_text = 'maybe' THEN 'buyer_is_maker' END AS reason FROM raw) WHERE reason IS NOT NULL GROUP BY ALL""",

@@ -82,11 +82,11 @@ CHUNK = 50_000
 
 
 def in_chunks(rows: DataFrame, start_ms: int, timeframe_s: int, size: int, before: int = 0, after: int = 0) -> DataFrame:
-    """rows with chunk and own: each row in its chunk (own), and copies of the last `before` and first `after` rows of a chunk in the neighbours'."""
+    """rows with chunk and own: each row in its chunk (own), and copies of the `before` rows before and the `after` rows after a chunk in it."""
     i = F.floor((F.col("timestamp_s") - start_ms // 1000) / timeframe_s)
     c = F.floor(i / size)
-    near = F.array_compact(F.array(c, F.when(i % size >= size - before, c + 1), F.when((i % size < after) & (c > 0), c - 1)))
-    return rows.withColumn("chunk", F.explode(near) if before or after else c).withColumn("own", F.col("chunk") == c)
+    reach = F.sequence(F.greatest(F.floor((i - after) / size), F.lit(0)), F.floor((i + before) / size))  # more than the neighbours where a halo is longer than a chunk
+    return rows.withColumn("chunk", F.explode(reach) if before or after else c).withColumn("own", F.col("chunk") == c)
 
 
 def numbered(rows: DataFrame, time: str = "timestamp_ms", span_ms: int = DAY_MS) -> DataFrame:

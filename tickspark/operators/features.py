@@ -112,7 +112,11 @@ def build_features(trades: DataFrame, klines: DataFrame | None, timeframe_s: int
         rows = in_chunks(rows, start_ms, timeframe_s, chunk).drop("own") if chunked else rows
         rows = kline_distances(join_kline_context(rows, known, chunked)).drop("chunk")
     rows = window_features(in_chunks(rows, start_ms, timeframe_s, chunk, before=REACH) if chunked else rows)
-    rows = bar_times(rows.where("own") if chunked else rows, timeframe_s)
-    plain = {f"{c}_1s": F.col(c).cast("double") for c in ("vwap", "trade_count", "volume", "notional_volume", "buy_volume", "sell_volume", "signed_volume", "trade_imbalance", "buy_sell_ratio", "avg_trade_size", "max_trade_size", "price_range")}
-    rows = rows.withColumns(plain | {"trade_count_5s": F.col("trade_count_5s").cast("double")})
+    rows = finished(rows.where("own") if chunked else rows, timeframe_s)
     return rows.select("symbol", *FEATURES, *(CONTEXT if klines is not None else []))
+
+
+def finished(rows: DataFrame, timeframe_s: int) -> DataFrame:
+    """window_features() with times and the names of a feature table."""
+    plain = {f"{c}_1s": F.col(c).cast("double") for c in ("vwap", "trade_count", "volume", "notional_volume", "buy_volume", "sell_volume", "signed_volume", "trade_imbalance", "buy_sell_ratio", "avg_trade_size", "max_trade_size", "price_range")}
+    return bar_times(rows, timeframe_s).withColumns(plain | {"trade_count_5s": F.col("trade_count_5s").cast("double")})
