@@ -211,6 +211,52 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [7, 300])
+def test_chat_blocks(spark, block):
+    """Conversations of many blocks against plain windows of each block: turn numbers dense, sparse, null and tied, the system turn in any block or none, copies of it included."""
+    rng = random.Random(block)
+    rows = []
+    for c, (n, step) in enumerate([(900, 1), (900, 1000), (700, 0), (301, 1), (300, 1), (1, 1), (1200, 3)]):
+        at = rng.randrange(0, n)
+        for t in range(n):
+            role = "system" if t in (at, at + 1) and c != 3 else ("user", "assistant")[t % 2]
+            number = None if c == 6 and t < 40 else -500 + (t * step if t != at + 1 else at * step)
+            rows.append((None if c == 4 else c, number, role, "same" if role == "system" else words(rng, rng.randrange(0, 30))))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    formatted = chat.format_chats(df, 64, 20, block)
+    made = {}
+    for r in formatted.orderBy("conv_id", "block", "window").collect():
+        made.setdefault(r.conv_id, {}).setdefault(r.block, []).append((chat.parse(r.formatted), r.n_repeated))
+    by = {}
+    for c, t, r, x in rows:
+        by.setdefault(c, []).append((t is not None, t or 0, r, x))
+    assert set(made) == set(by)
+    several = 0
+    for c, turns in by.items():
+        turns.sort()
+        if len(turns) <= block:
+            assert set(made[c]) == {0}
+        places, of_block = {}, {}
+        for i, t in enumerate(turns):
+            places.setdefault(t[1] >> 8 if t[0] else -(2**62), []).append(i)
+        for span in places.values():
+            of_block.setdefault(span[0] // block if len(turns) > block else 0, []).extend(span)
+        several += len(of_block) > 1
+        first = next((i for i, t in enumerate(turns) if t[2] == "system"), len(turns))
+        said = [(r, x) for _, _, r, x in turns]
+        for b, own in of_block.items():
+            begin, end = own[0], own[-1] + 1
+            system = said[first] if first < begin else None
+            assert list(chat.windows(said[begin:end], 64, 20, ahead=said[:begin], system=system)) == made[c][b], (c, b)
+        assert set(of_block) == set(made[c])
+    assert several >= 3
+    for r in chat.chat_facts(formatted.repartition(5)).collect():
+        turns = [t[2:] for t in by[r.conv_id]]
+        loss = "".join(x for role, x in turns if role == "assistant")
+        assert (r.n_turns, r.loss_chars, r.loss_sha256) == (len(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{role}\n{x}\n" for role, x in turns).encode()).hexdigest()
+
+
 # --- near-duplicates
 
 
