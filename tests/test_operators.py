@@ -222,6 +222,28 @@ def test_bars_equal_dense_fill(spark, seed, tf):
     assert {(r.symbol, r.timestamp_s): (r.open, r.high, r.low, r.close, r.volume) for r in got} == want
 
 
+@pytest.mark.parametrize("chunk", [1, 3, 8, 100])
+def test_gaps_filled_in_chunks(spark, chunk):
+    """Few trades, so that whole chunks have none, ahead of a symbol's first trade and after its last too; equal to the dense fill and to bars on a spine."""
+    rows = some_trades(4, 200, 11) + [("late", 1, 50.0, 1.0, 150_500, True), ("early", 1, 60.0, 1.0, 0, True), ("early", 2, 61.0, 1.0, 199_999, True)]
+    made = bars.build_bars(trades(spark, rows), 7, T0, T0 + 200_000, chunk=chunk)
+    got = made.collect()
+    assert {(r.symbol, r.timestamp_s): (r.open, r.high, r.low, r.close, r.volume) for r in got} == dense_bars(rows, 7, 200) and len(got) == 29 * len({r[0] for r in rows})
+    spine = bars.bar_spine(trades(spark, rows).select("symbol").distinct(), T0, T0 + 200_000, 7)
+    on_spine = bars.fill_bars(spine, bars.traded_bars(trades(spark, rows), 7, T0, T0 + 200_000)).select(made.columns)
+    assert sorted(map(tuple, on_spine.collect())) == sorted(map(tuple, got))
+    assert bars.build_bars(trades(spark, rows).limit(0), 7, T0, T0 + 200_000, chunk=chunk).count() == 0
+
+
+def test_trades_are_read_once_for_bars(spark, tmp_path):
+    """One scan and no join, whole histories or chunks: of the trades, or of the bars written from them."""
+    trades(spark, some_trades(30, 200, 2)).write.parquet(str(tmp_path / "t"))
+    plan = bars.build_bars(spark.read.parquet(str(tmp_path / "t")), 7, T0, T0 + 200_000, unique=True)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "Join" not in plan
+    plan = bars.build_bars(spark.read.parquet(str(tmp_path / "t")), 7, T0, T0 + 200_000, chunk=5)._jdf.queryExecution().sparkPlan().toString()
+    assert str(tmp_path / "t") not in plan
+
+
 def test_bars_do_not_depend_on_order_or_partitions_and_roll_up(spark):
     rows = some_trades(80, 240, 4)
     one = bars.build_bars(trades(spark, rows), 60, T0, T0 + 240_000)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickspark.functions.scalars import DAY_MS, EPS, range_filter, trade_measures
+from tickspark.sources.scratch import written
 
 #: Sums of trade_measures() and the names they get in bars.
 SUMS = {"quantity": "volume", "buy_volume": "buy_volume", "sell_volume": "sell_volume", "notional": "notional_volume", "buy_notional": "buy_notional", "sell_notional": "sell_notional"}
@@ -152,18 +153,53 @@ def fill_bars(spine: DataFrame, bars: DataFrame, chunked: bool = False) -> DataF
     return rows.select("symbol", "timestamp_s", *(["chunk"] if chunked else []), "open", "high", "low", "close", *AMOUNTS)
 
 
+def fill_gaps(bars: DataFrame, timeframe_s: int, start_ms: int, end_ms: int, chunk: int = CHUNK) -> DataFrame:
+    """Every bar of [start_ms, end_ms) of each symbol in bars (traded_bars()), with the prices that fill_bars() gives, but from the bars alone: no list of symbols, no spine and no join with it.
+
+    Each bar leaves the empty ones up to the next bar, and a symbol's first one those ahead of it. Ranges of more than `chunk` bars are dealt out: bars are written
+    once, a table of chunk ends carries closes from chunk to chunk, and chunks without any bar come from it. Bars without a close count as empty.
+    """
+    start_s = start_ms // 1000
+    last = (-(-end_ms // 1000) - 1 - start_s) // timeframe_s  # the place of the range's last bar
+    at = lambda place: F.lit(start_s) + place * timeframe_s
+    stretch = lambda begin, upto: F.explode(F.sequence(begin, upto, F.lit(timeframe_s).cast("long")))
+    bars, begin_s, last_s, keys, carry_in = bars.where(F.col("close").isNotNull()), F.lit(start_s).cast("long"), F.lit(start_s + last * timeframe_s).cast("long"), ["symbol"], F.col("first_s_close")
+    empty_chunks = None
+    if chunked := last >= chunk:
+        bars = written(bars, "bars").withColumn("chunk", F.floor((F.col("timestamp_s") - start_s) / timeframe_s / chunk))
+        keys, w = ["symbol", "chunk"], W.partitionBy("symbol").orderBy("chunk")
+        ends = bars.groupBy(*keys).agg(F.max_by("close", "timestamp_s").alias("end"), F.min_by("first_s_close", "timestamp_s").alias("begin"))
+        ends = ends.select(*keys, "end", F.coalesce(F.lag("end").over(w), "begin").alias("carry_in"), (F.row_number().over(w) == 1).alias("leads"), (F.coalesce(F.lead("chunk").over(w), F.lit(last // chunk + 1)) - 1).alias("upto"))
+        between = lambda first, upto: F.when(upto >= first, F.sequence(first, upto))
+        later = ends.select("symbol", F.explode(between(F.col("chunk") + 1, F.col("upto"))).alias("chunk"), F.col("end").alias("price"))
+        earlier = ends.where("leads").select("symbol", F.explode(between(F.lit(0).cast("long"), F.col("chunk") - 1)).alias("chunk"), F.col("carry_in").alias("price"))
+        begin_s, carry_in = at(F.col("chunk") * chunk), F.col("carry_in")
+        last_s = F.least(last_s, at(F.col("chunk") * chunk + (chunk - 1)))
+        flat = later.union(earlier).withColumn("t", stretch(begin_s, last_s))
+        empty_chunks = flat.select("symbol", F.col("t").alias("timestamp_s"), *[F.col("price").alias(c) for c in ("open", "high", "low", "close")], F.lit(0).cast("long").alias("trade_count"), *[F.lit(0.0).alias(c) for c in AMOUNTS[1:]])
+        bars = bars.join(ends.select(*keys, "carry_in"), keys)
+
+    w, own = W.partitionBy(*keys).orderBy("timestamp_s"), F.col("timestamp_s")
+    rows = bars.withColumns({"previous": F.lag("close").over(w), "following": F.lead("timestamp_s").over(w)})
+    rows = rows.withColumns({"carry": F.coalesce("previous", carry_in), "t": stretch(F.when(F.col("previous").isNull(), begin_s).otherwise(own), F.coalesce(F.col("following") - timeframe_s, last_s))})
+    here, late, flat = F.col("t") == own, F.col("first_s") > own, F.when(F.col("t") < own, F.col("carry")).otherwise(F.col("close"))
+    price = lambda c, opened: F.when(~here, flat).when(late, opened).otherwise(F.col(c)).alias(c)
+    made = rows.select(
+        "symbol", F.col("t").alias("timestamp_s"), price("open", F.col("carry")), price("high", F.greatest("high", "carry")), price("low", F.least("low", "carry")), F.when(here, F.col("close")).otherwise(flat).alias("close"),
+        F.when(here, F.col("trade_count")).otherwise(0).cast("long").alias("trade_count"), *[F.coalesce(F.when(here, F.col(c)), F.lit(0.0)).alias(c) for c in AMOUNTS[1:]],
+    )
+    return made.union(empty_chunks) if chunked else made
+
+
 def build_bars(trades: DataFrame, timeframe_s: int, start_ms: int, end_ms: int, chunk: int = CHUNK, unique: bool = False) -> DataFrame:
-    """Dense OHLCV bars of every symbol that trades in range.
+    """Dense OHLCV bars of every symbol that trades in range; trades are read once.
 
     Repeated trades count once, which costs a shuffle of the trades; `unique` spares it where the source has each trade once.
     """
     if end_ms <= start_ms or timeframe_s <= 0:
         raise ValueError("an empty range or time frame")
     bars = traded_bars(trades if unique else unique_trades(range_filter(trades, start_ms, end_ms)), timeframe_s, start_ms, end_ms)
-    spine = bar_spine(range_filter(trades, start_ms, end_ms).select("symbol").distinct(), start_ms, end_ms, timeframe_s)
-    if chunked := (end_ms - start_ms) > chunk * timeframe_s * 1000:
-        spine = in_chunks(spine, start_ms, timeframe_s, chunk).drop("own")
-    return fill_bars(spine, bars, chunked).drop("chunk")
+    return fill_gaps(bars, timeframe_s, start_ms, end_ms, chunk)
 
 
 def bar_ratios(bars: DataFrame) -> DataFrame:
