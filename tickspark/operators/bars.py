@@ -179,6 +179,8 @@ def fill_gaps(bars: DataFrame, timeframe_s: int, start_ms: int, end_ms: int, chu
         empty_chunks = flat.select("symbol", F.col("t").alias("timestamp_s"), *[F.col("price").alias(c) for c in ("open", "high", "low", "close")], F.lit(0).cast("long").alias("trade_count"), *[F.lit(0.0).alias(c) for c in AMOUNTS[1:]])
         bars = bars.join(ends.select(*keys, "carry_in"), keys)
 
+    # as many tasks as the session asks for: rows become more after this shuffle, so its size is no measure for them
+    bars = bars.repartition(int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     w, own = W.partitionBy(*keys).orderBy("timestamp_s"), F.col("timestamp_s")
     rows = bars.withColumns({"previous": F.lag("close").over(w), "following": F.lead("timestamp_s").over(w)})
     rows = rows.withColumns({"carry": F.coalesce("previous", carry_in), "t": stretch(F.when(F.col("previous").isNull(), begin_s).otherwise(own), F.coalesce(F.col("following") - timeframe_s, last_s))})
